@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("evaluate", "prepare", "fit")
+FAMILIES = ("evaluate", "prepare", "arrange", "fit")
 
 
 def catalog():

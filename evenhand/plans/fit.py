@@ -161,14 +161,14 @@ def _(spark, sf):
 
 
 @query("prior_shift_em", ctes=["prob_pair"], rounded=["pi"], sql="""
-WITH RECURSIVE p AS (SELECT site, greatest(least(pb, 1 - 1e-6), 1e-6) AS p FROM prob_pair),
+WITH RECURSIVE p AS (SELECT site, greatest(least(pa, 1 - 1e-6), 1e-6) AS p FROM prob_pair),
 em AS (SELECT 0 AS i, site, 0.5::DOUBLE AS pi, false AS done FROM (SELECT DISTINCT site FROM p)
  UNION ALL
  SELECT i + 1, site, npi, abs(npi - pi) < 1e-6 FROM (SELECT em.i, em.site, em.pi,
    avg((em.pi / 0.5 * p.p) / (em.pi / 0.5 * p.p + (1 - em.pi) / 0.5 * (1 - p.p))) AS npi FROM em JOIN p ON em.site = p.site WHERE NOT em.done AND em.i < 100 GROUP BY em.i, em.site, em.pi))
 SELECT site, arg_max(pi, i) AS pi FROM em GROUP BY site""")
 def _(spark, sf):
-    return H.prior_shift_em(X.prob_pair(spark, sf), "site", "pb")
+    return H.prior_shift_em(X.prob_pair(spark, sf), "site", "pa")
 
 
 DEST = """src AS (SELECT * FROM long_emb WHERE site = 'S0'), dst AS (SELECT * FROM long_emb WHERE site <> 'S0'),
