@@ -27,7 +27,7 @@ def site_leak_auc(vectors: DataFrame, ctx: str = "ctx", features: str = "full",
 
     d = strata_weights(vectors.drop("w"), ["site", "y"], [ctx, "role"], "w").withColumn("_x", array_to_vector(features))
     both = d.groupBy(ctx, "role", "site").agg(F.count(F.lit(1)).alias("n"))
-    both = attach_stats(both, [ctx, "role"], F.sum("n").alias("N")).where("n < N").groupBy(ctx, "site").agg(F.count(F.lit(1)).alias("k"))
+    both = attach_stats(both, [ctx, "role"], F.sum("n").alias("n_all")).where("n < n_all").groupBy(ctx, "site").agg(F.count(F.lit(1)).alias("k"))
     pairs = [(r[ctx], r["site"]) for r in both.where("k = 2").orderBy(ctx, "site").collect()]
 
     def one(c_id, s):

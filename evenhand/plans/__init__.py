@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("evaluate", "prepare", "arrange", "fit")
+FAMILIES = ("evaluate", "prepare", "arrange", "fit", "learn", "audit")
 
 
 def catalog():

@@ -110,6 +110,12 @@ def cells(spark, sf) -> DataFrame:
                      (F.col("l_linestatus") == "F").alias("region"), F.round(F.col("l_discount") * 150).alias("dist"))
 
 
+def grid(spark, sf) -> DataFrame:
+    """cells with one row per position."""
+    return cells(spark, sf).groupBy("case", "z", "y", "x").agg(
+        F.max("value").alias("value"), F.bool_or("mask").alias("mask"), F.bool_or("region").alias("region"), F.max("dist").alias("dist"))
+
+
 # The same frames for the SQL side.
 CTE = {
     "obs": "SELECT d.doc_id AS key, d.lang AS site, l.quality::INT AS y, d.n_chars::DOUBLE AS score "
@@ -140,6 +146,8 @@ CTE = {
     "cells": "SELECT l_suppkey AS \"case\", l_linenumber AS z, l_quantity::INT AS y, floor(l_partkey / 40)::INT AS x, "
              "l_extendedprice AS value, l_returnflag <> 'N' AS mask, l_linestatus = 'F' AS region, "
              "round(l_discount * 150) AS dist FROM lineitem",
+    "grid": 'SELECT "case", z, y, x, max(value) AS value, bool_or(mask) AS mask, bool_or(region) AS region, max(dist) AS dist '
+            "FROM cells GROUP BY ALL",
 }
-CTE_NEEDS = {"prob_pair": ("obs_pair",), "long_missing": ("long_emb",), "emb_rank": ("obs_emb",), "emb_split": ("emb_rank",),
+CTE_NEEDS = {"grid": ("cells",), "prob_pair": ("obs_pair",), "long_missing": ("long_emb",), "emb_rank": ("obs_emb",), "emb_split": ("emb_rank",),
              "long_folds": ("emb_split", "long_emb")}
