@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evenhand.session import cell_rows
+from evenhand.session import cell_rows, cut_lineage
 
 MAX_CELLS = 4096
 
@@ -42,48 +42,52 @@ def attach_stats(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     return same_keys(df, df.groupBy(*by).agg(*aggs), by)
 
 
-def value_cells(df: DataFrame, value: str, limit: int | None = None) -> DataFrame | None:
-    """``df`` with a monotone ``_cell`` of ``value``, or None when one cell holds it all."""
-    limit = limit or cell_rows(df.sparkSession)
-    n = df.count()
-    if n <= limit:
-        return None
-    cells = min(MAX_CELLS, n // limit + 1)
+def value_cells(df: DataFrame, value: str, rows: int | None = None) -> tuple[DataFrame, bool]:
+    """``df`` with a monotone ``_cell`` of ``value`` and True, or ``df`` itself and False when one cell holds it.
+
+    ``rows`` is a known upper bound of the row count, which saves the counting job. Beyond the limit the frame
+    is written once to the checkpoint folder, so the cut points and the passes that follow do not recompute it.
+    """
+    limit = cell_rows(df.sparkSession)
+    if (df.count() if rows is None else rows) <= limit:
+        return df, False
+    df = cut_lineage(df)
+    cells = min(MAX_CELLS, df.count() // limit + 1)
+    if cells == 1:
+        return df, False
     num = df.withColumn("_num", F.col(value).cast("double"))
-    cuts = num.agg(
-        F.percentile_approx("_num", [i / cells for i in range(1, cells)], max(1000, 10 * cells)).alias("c")
-    ).first()["c"] if cells > 1 else []
+    cuts = num.agg(F.percentile_approx("_num", [i / cells for i in range(1, cells)], max(1000, 10 * cells)).alias("c")).first()["c"]
     edges = sorted({c for c in (cuts or []) if c is not None})
     if not edges:
-        return None
+        return df, False
     splits = [-float("inf"), *edges, float("inf")]
     out = Bucketizer(splits=splits, inputCol="_num", outputCol="_cell", handleInvalid="keep").transform(num)
-    return out.withColumn("_cell", F.coalesce(F.col("_cell"), F.lit(-1.0)).cast("int")).drop("_num")
+    return out.withColumn("_cell", F.coalesce(F.col("_cell"), F.lit(-1.0)).cast("int")).drop("_num"), True
 
 
 def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
-                   descending: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+                   descending: bool = False, ties: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` and group totals ``tot_<c>`` along ``order`` within ``by``.
 
     Rows must be unique in (by, order, ties), as after a collapse to distinct values.
     """
     key = F.col(order).desc() if descending else F.col(order).asc()
-    celled = value_cells(df, order)
-    if celled is None:
-        run = W.partitionBy(*by).orderBy(key, *ties).rowsBetween(W.unboundedPreceding, 0)
-        whole = W.partitionBy(*by)
-        return df.select("*", *[F.sum(c).over(run).alias(f"cum_{c}") for c in sums],
-                         *[F.sum(c).over(whole).alias(f"tot_{c}") for c in sums])
+    names = df.columns
+    celled, cut = value_cells(df, order, rows)
+    whole = W.partitionBy(*by)
+    if not cut:
+        run = whole.orderBy(key, *ties).rowsBetween(W.unboundedPreceding, 0)
+        return celled.select("*", *[F.sum(c).over(run).alias(f"cum_{c}") for c in sums],
+                             *[F.sum(c).over(whole).alias(f"tot_{c}") for c in sums])
     cell_key = F.col("_cell").desc() if descending else F.col("_cell").asc()
     totals = celled.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    before = W.partitionBy(*by).orderBy(cell_key).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
+    before = whole.orderBy(cell_key).rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*by, "_cell",
                            *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
                            *[F.sum(f"_t_{c}").over(whole).alias(f"tot_{c}") for c in sums])
     run = W.partitionBy(*by, "_cell").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, 0)
     out = same_keys(celled, totals, [*by, "_cell"])
-    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(run)).alias(f"cum_{c}") for c in sums],
+    return out.select(*names, *[(F.col(f"_o_{c}") + F.sum(c).over(run)).alias(f"cum_{c}") for c in sums],
                       *[f"tot_{c}" for c in sums])
 
 
@@ -112,11 +116,12 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     names a multiplicity column.
     """
     src = df.where(F.col(value).isNotNull())
-    if method == "linear" and counts is None and src.count() <= cell_rows(df.sparkSession):
+    n = src.count()
+    if method == "linear" and counts is None and n <= cell_rows(df.sparkSession):
         aggs = [F.percentile(value, p).alias(k) for k, p in probs.items()]
         return src.groupBy(*by).agg(*aggs)
     t = collapse(src, by, value, _q=F.col(counts) if counts else F.lit(1).cast("bigint"))
-    t = running_totals(t, by, value, ["_q"])
+    t = running_totals(t, by, value, ["_q"], rows=n)
     aggs, outs = [], []
     for k, p in probs.items():
         pos = (F.col("tot__q") - 1) * p if method == "linear" else (F.col("tot__q") + 1) * p - 1

@@ -104,7 +104,7 @@ def position_features(cells: DataFrame, spacing: float = 1.0) -> DataFrame:
     span = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(1e-3 / spacing))
     inner = F.when(left, F.col("x_lo")).otherwise(F.col("x_hi"))
     return g.where("n_mask > 0").select(
-        "case", left.cast("double").alias("left"), unit(F.abs(cx - inner) / F.greatest(F.col("x_hi") - F.col("x_lo"), F.lit(1e-3))).alias("rel_lateral"),
+        "case", left.cast("double").alias("on_left"), unit(F.abs(cx - inner) / F.greatest(F.col("x_hi") - F.col("x_lo"), F.lit(1e-3))).alias("rel_lateral"),
         unit((F.col("c_y") - F.col("y_lo")) / span("y_lo", "y_hi")).alias("rel_ap"), unit((F.col("c_z") - F.col("z_lo")) / span("z_lo", "z_hi")).alias("rel_z"),
         (F.abs(cx - F.col("midline")) / F.greatest("half_w", F.lit(1e-3))).alias("midline_dist"), F.col("depth").alias("centroid_depth"),
         (F.col("depth") / F.greatest(F.coalesce("max_depth", F.lit(1.0)), F.lit(1e-3))).alias("depth_rel"),

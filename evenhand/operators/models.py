@@ -25,7 +25,7 @@ from evenhand.operators import harmonise as H
 from evenhand.operators import selection as S
 from evenhand.operators.core import attach_stats, quantiles, same_keys
 from evenhand.operators.metrics import auc_by_group, fold_logits, line_logistic, site_balanced_auc, weighted_auc
-from evenhand.operators.resample import draw_counts
+from evenhand.operators.resample import draws
 from evenhand.operators.splits import strata_weights
 from evenhand.operators.windows import argmax_tie, zscore_within
 from evenhand.session import cut_lineage
@@ -57,7 +57,7 @@ def fit_logistic(df: DataFrame, c: float = 1.0, l1_ratio: float = 0.0, label: st
                  features: str = "features", max_iter: int = 200):
     """Penalised logistic regression; ``C`` maps to 1 / (C * total weight), the intercept is free."""
     est = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (c * _total(df, weight)), elasticNetParam=l1_ratio,
-                             standardization=False, maxIter=max_iter, tol=1e-8, family="binomial")
+                             standardization=False, maxIter=max_iter, tol=1e-6, family="binomial")
     return (est.setWeightCol(weight) if weight else est).fit(df)
 
 
@@ -236,7 +236,7 @@ def fuse(oof: DataFrame, combos: DataFrame, within: Sequence[str], block: str =
 
 def late_fusion(oof: DataFrame, loso: DataFrame, combos: DataFrame, b: int = 2000, seed: int = 1) -> DataFrame:
     """Per combination: site-balanced AUC and mean site AUC (mean over seeds), its interval, mean leave-site-out AUC."""
-    f = fuse(oof, combos, ["seed"])
+    f = cut_lineage(fuse(oof, combos, ["seed"]))
     sb = site_balanced_auc(f, by=["combo", "n_items", "seed"]).groupBy("combo", "n_items").agg(F.avg("sb_auc").alias("sb_auc"))
     site = auc_by_group(f, "site", by=["combo", "seed"]).groupBy("combo", "seed").agg(F.avg("auc").alias("a")).groupBy(
         "combo").agg(F.avg("a").alias("site_auc"))
@@ -244,11 +244,10 @@ def late_fusion(oof: DataFrame, loso: DataFrame, combos: DataFrame, b: int = 200
         F.avg("auc").alias("a")).groupBy("combo").agg(F.avg("a").alias("loso_mean"))
     avg = f.groupBy("combo", "key", "site", "y").agg(F.avg("score").alias("score"))
     # the same drawn rows serve every combination
-    rows = avg.select("key", "site", "y").distinct()
-    size = rows.groupBy("site", "y").agg(F.count(F.lit(1)).alias("_ns"))
-    drawn = same_keys(draw_counts(rows, ["site", "y"], "key", b, seed), size, ["site", "y"]).select(
-        "key", "b", (F.col("m") / F.col("_ns")).alias("w"))
-    reps = weighted_auc(avg.join(drawn, "key"), w="w", by=["combo", "b"])
+    avg = cut_lineage(avg)
+    base = attach_stats(avg.select("key", "site", "y").distinct(), ["site", "y"], (1 / F.count(F.lit(1))).alias("w"))
+    drawn, _ = draws(base, ["site", "y"], "key", b, seed)
+    reps = weighted_auc(avg.join(drawn.select("key", "b", "w"), "key"), w="w", by=["combo", "b"], rows=b * avg.count())
     ci = quantiles(reps, ["combo"], "auc", {"ci_lo": 0.025, "ci_hi": 0.975})
     out = same_keys(sb, site, ["combo"])
     return same_keys(same_keys(out, lo, ["combo"]), ci, ["combo"])

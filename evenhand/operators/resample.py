@@ -1,8 +1,8 @@
 """Bootstrap as joins.
 
 Draw j of replicate b in a stratum of n rows takes row ``hash(seed, b, stratum, j) mod n + 1``. Rows already
-carry their position, so every row emits its own B draws; draws are counted per drawn position before the
-shuffle to the rows. Exact stratum sizes, deterministic, and no stratum is gathered anywhere.
+carry their position, so every row emits its own B draws, and drawn rows are folded to distinct scores
+map-side. Exact stratum sizes, deterministic, and no stratum is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -13,32 +13,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions import expr as E
-from evenhand.operators.core import quantiles, row_numbers, same_keys
-from evenhand.operators.metrics import pr_auc, site_balanced_auc, weighted_auc
+from evenhand.operators.core import attach_stats, quantiles, row_numbers, same_keys
+from evenhand.operators.metrics import rank_areas, weighted_auc
+from evenhand.session import cut_lineage
 
 
-def draw_counts(df: DataFrame, strata: Sequence[str], key: str, b: int, seed: int) -> DataFrame:
-    """``df`` repeated per replicate it is drawn in: columns of df, ``b`` and multiplicity ``m``."""
-    pos = row_numbers(df.withColumn("_k", E.hash_order("order", key)), strata, "_k", [key], out="_j", total="_n").drop("_k")
+def draws(df: DataFrame, strata: Sequence[str], key: str, b: int, seed: int) -> tuple[DataFrame, int]:
+    """``df`` once per draw with its replicate ``b``, and the number of drawn rows.
+
+    The one wide step is the join of draws to positions; it is a plain equi-join on a text stratum and the
+    position, so a base small enough is broadcast and a large one is hashed evenly, positions being unique.
+    Rows are spread before they multiply, or a small base would draw all replicates in one task.
+    """
+    spark = df.sparkSession
+    n = df.count()
     named = F.concat_ws("|", *strata) if strata else F.lit("all")
-    draws = pos.select(*strata, "_n", "_j", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b")).select(
-        *strata, "b", (E.hash_order(seed, "b", named, "_j") % F.col("_n") + 1).alias("_j"))
-    counts = draws.groupBy(*strata, "b", "_j").agg(F.count(F.lit(1)).alias("m"))
-    return same_keys(counts, pos.drop("_n"), [*strata, "_j"]).drop("_j")
+    pos = row_numbers(df.withColumn("_k", E.hash_order("order", key)), strata, "_k", [key], out="_j", total="_n").drop("_k")
+    pos = pos.withColumn("_s", named)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = pos.select("_s", "_n", "_j").repartition(spread, "_j").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
+    drawn = drawn.select("_s", "b", (E.hash_order(seed, "b", "_s", "_j") % F.col("_n") + 1).alias("_j"))
+    return drawn.join(pos.drop("_n"), ["_s", "_j"]).drop("_s", "_j"), n * b
+
+
+def _both(a: str, c: str) -> Column:
+    return F.array(F.struct(F.lit("a").alias("model"), F.col(a).alias("score")), F.struct(F.lit("c").alias("model"), F.col(c).alias("score")))
 
 
 def _interval(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    values = cut_lineage(values) if not by else values
     return quantiles(values, by, value, {"lo": 0.025, "median": 0.5, "hi": 0.975})
 
 
 def stratified_bootstrap(df: DataFrame, b: int = 2000, seed: int = 1, key: str = "key", y: str = "y", s: str = "score",
                          site: str = "site") -> DataFrame:
     """Replicate values of the site-balanced AUC, resampling within site x label."""
-    drawn = draw_counts(df.select(key, site, y, s), [site, y], key, b, seed)
-    # stratum sizes are unchanged by the draw, so a row's weight is its multiplicity over its stratum's size
-    size = df.groupBy(site, y).agg(F.count(F.lit(1)).alias("_ns"))
-    w = same_keys(drawn, size, [site, y]).withColumn("w", F.col("m") / F.col("_ns"))
-    return weighted_auc(w, y, s, "w", by=["b"])
+    # stratum sizes are unchanged by the draw, so a drawn row weighs one over its stratum's size
+    base = attach_stats(df.select(key, site, y, s), [site, y], (1 / F.count(F.lit(1))).alias("w"))
+    drawn, n = draws(base, [site, y], key, b, seed)
+    return weighted_auc(drawn, y, s, "w", by=["b"], rows=n)
 
 
 def stratified_bootstrap_ci(df: DataFrame, **kw) -> DataFrame:
@@ -47,8 +60,8 @@ def stratified_bootstrap_ci(df: DataFrame, **kw) -> DataFrame:
 
 def class_bootstrap_ci(df: DataFrame, b: int = 2000, seed: int = 1, key: str = "key", y: str = "y", s: str = "score") -> DataFrame:
     """Percentile interval of the plain AUC, resampling within each class."""
-    drawn = draw_counts(df.select(key, y, s), [y], key, b, seed)
-    return _interval(weighted_auc(drawn, y, s, "m", by=["b"]), [], "auc")
+    drawn, n = draws(df.select(key, y, s), [y], key, b, seed)
+    return _interval(weighted_auc(drawn, y, s, by=["b"], rows=n), [], "auc")
 
 
 def paired_bootstrap(df: DataFrame, a: str, c: str, strata: Sequence[str] = (), b: int = 2000, seed: int = 1,
@@ -58,13 +71,9 @@ def paired_bootstrap(df: DataFrame, a: str, c: str, strata: Sequence[str] = (),
     With ``strata`` the draw keeps the size of each stratum (the per-cohort form).
     """
     cols = list(dict.fromkeys([key, y, a, c, *strata]))
-    drawn = draw_counts(df.select(*cols), strata, key, b, seed)
-    long = drawn.select("b", y, "m", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col(a).alias("score")),
-                                                       F.struct(F.lit("c").alias("model"), F.col(c).alias("score")))).alias("x")
-                        ).select("b", y, "m", "x.*")
-    roc = weighted_auc(long, y, "score", "m", by=["b", "model"])
-    pr = pr_auc(long, y, "score", "m", by=["b", "model"])
-    both = same_keys(roc, pr, ["b", "model"])
+    drawn, n = draws(df.select(*cols), strata, key, b, seed)
+    long = drawn.select("b", y, F.explode(_both(a, c)).alias("x")).select("b", y, "x.*")
+    both = rank_areas(long, y, "score", by=["b", "model"], rows=2 * n)
     pick = lambda m, v: F.max(F.when(F.col("model") == m, F.col(v)))
     return both.groupBy("b").agg((pick("a", "auc") - pick("c", "auc")).alias("d_roc"),
                                  F.when(pick("a", "auc").isNotNull(), pick("a", "pr_auc") - pick("c", "pr_auc")).alias("d_pr"))
@@ -73,14 +82,13 @@ def paired_bootstrap(df: DataFrame, a: str, c: str, strata: Sequence[str] = (),
 def paired_bootstrap_summary(df: DataFrame, a: str, c: str, **kw) -> DataFrame:
     """Observed difference beside the replicates' mean, median, sd, interval, share above zero; skipped counted."""
     y = kw.get("y", "y")
-    reps = paired_bootstrap(df, a, c, **kw).unpivot(["b"], ["d_roc", "d_pr"], "metric", "value")
+    # few rows (one per replicate), read three times below
+    reps = cut_lineage(paired_bootstrap(df, a, c, **kw)).unpivot(["b"], ["d_roc", "d_pr"], "metric", "value")
     ci = _interval(reps, ["metric"], "value")
     ok = F.col("value").isNotNull()
     mom = reps.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
                                      F.count_if(~ok).alias("n_skipped"), F.avg(F.when(ok, (F.col("value") > 0).cast("int"))).alias("share_above"))
-    both = df.select(y, F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col(a).alias("score")),
-                                          F.struct(F.lit("c").alias("model"), F.col(c).alias("score")))).alias("x")).select(y, "x.*")
-    m = same_keys(weighted_auc(both, y, "score", by=["model"]), pr_auc(both, y, "score", by=["model"]), ["model"])
+    m = rank_areas(df.select(y, F.explode(_both(a, c)).alias("x")).select(y, "x.*"), y, "score", by=["model"])
     sign = F.when(F.col("model") == "a", 1.0).otherwise(-1.0)
     obs = m.agg(F.sum(sign * F.col("auc")).alias("d_roc"), F.sum(sign * F.col("pr_auc")).alias("d_pr"))
     obs = obs.unpivot([], ["d_roc", "d_pr"], "metric", "observed")

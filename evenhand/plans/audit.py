@@ -272,7 +272,7 @@ def _(spark, sf):
     return G.region_stats(X.grid(spark, sf), ["case", "mask"], 10000.0, 50000.0, 2.5)
 
 
-POS = ["left", "rel_lateral", "rel_ap", "rel_z", "midline_dist", "centroid_depth", "depth_rel", "contact_frac", "contact_medial", "outside_frac", "log_volume"]
+POS = ["on_left", "rel_lateral", "rel_ap", "rel_z", "midline_dist", "centroid_depth", "depth_rel", "contact_frac", "contact_medial", "outside_frac", "log_volume"]
 
 
 @query("position_features", ctes=["grid"], rounded=POS, digits=5, sql="""
@@ -282,7 +282,7 @@ a AS (SELECT "case", any_value(cz) AS cz, any_value(cy) AS cy, any_value(cx) AS
  min(x) FILTER (side AND z BETWEEN mz0 AND mz1) AS xl, max(x) FILTER (side AND z BETWEEN mz0 AND mz1) AS xh, min(y) FILTER (side AND z BETWEEN mz0 AND mz1) AS yl, max(y) FILTER (side AND z BETWEEN mz0 AND mz1) AS yh,
  min(z) FILTER (side) AS zl, max(z) FILTER (side) AS zh, coalesce(max(dist) FILTER (region AND z = round_even(cz, 0) AND y = round_even(cy, 0) AND x = round_even(cx, 0)), 0) AS dep, max(dist) FILTER (side) AS md,
  count(*) FILTER (shell AND NOT region) AS nt, count(*) FILTER (shell) AS ns, count(*) FILTER (shell AND NOT region AND abs(x - mid) < abs(cx - mid)) AS nm, count(*) FILTER (mask AND NOT region) AS nout, count(*) FILTER (mask) AS n FROM j GROUP BY 1)
-SELECT "case", lf::INT::DOUBLE AS "left", greatest(least(abs(cx - CASE WHEN lf THEN xl ELSE xh END) / greatest(xh - xl, 1e-3), 1), 0) AS rel_lateral, greatest(least((cy - yl) / greatest(yh - yl, 1e-3), 1), 0) AS rel_ap,
+SELECT "case", lf::INT::DOUBLE AS on_left, greatest(least(abs(cx - CASE WHEN lf THEN xl ELSE xh END) / greatest(xh - xl, 1e-3), 1), 0) AS rel_lateral, greatest(least((cy - yl) / greatest(yh - yl, 1e-3), 1), 0) AS rel_ap,
  greatest(least((cz - zl) / greatest(zh - zl, 1e-3), 1), 0) AS rel_z, abs(cx - mid) / greatest(hw, 1e-3) AS midline_dist, dep AS centroid_depth, dep / greatest(coalesce(md, 1), 1e-3) AS depth_rel, nt::DOUBLE / greatest(ns, 1) AS contact_frac,
  coalesce(nm::DOUBLE / nullif(nt, 0), 0) AS contact_medial, nout::DOUBLE / n AS outside_frac, ln(n) AS log_volume FROM a WHERE n > 0""")
 def _(spark, sf):
