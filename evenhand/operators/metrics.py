@@ -62,10 +62,11 @@ def site_balanced_auc(df: DataFrame, y: str = "y", s: str = "score", site: str =
 
 def auc_by_group(df: DataFrame, group: str, y: str = "y", s: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Per group: n, positives and AUC (NULL where a group has one class)."""
-    mass = _class_mass(df, [*by, group], y, s, None)
-    size = mass.groupBy(*by, group).agg(F.sum(F.col("w0") + F.col("w1")).cast("bigint").alias("n"),
-                                        F.sum("w1").cast("bigint").alias("n_pos"))
-    return same_keys(size, _auc_from_mass(mass, [*by, group], s, df.count()), [*by, group])
+    keys = [*by, group]
+    run = running_totals(_class_mass(df, keys, y, s, None), keys, s, ["w0"], rows=df.count())
+    wins = F.sum(F.col("w1") * (F.col("cum_w0") - 0.5 * F.col("w0")))
+    return run.groupBy(*keys).agg(F.sum(F.col("w0") + F.col("w1")).cast("bigint").alias("n"), F.sum("w1").cast("bigint").alias("n_pos"),
+                                  E.ratio(wins, F.sum("w1") * F.sum("w0")).alias("auc"))
 
 
 def mean_group_auc(df: DataFrame, group: str, y: str = "y", s: str = "score", by: Sequence[str] = ()) -> DataFrame:

@@ -197,6 +197,11 @@ def lattice_audit(blocks: DataFrame, case: str, axes: Sequence[str], size: Seque
     return same_keys(g, d, [case])
 
 
+def missing_starts(reference: DataFrame, blocks: DataFrame, case: str, axes: Sequence[str]) -> DataFrame:
+    """Reference starts absent from the new blocks; empty when they are a subset."""
+    return reference.select(case, *axes).join(blocks.select(case, *axes), [case, *axes], "left_anti")
+
+
 def expect_plausible(long: DataFrame, key: str, names: dict[str, str], lo: float, hi: float) -> DataFrame:
     """Per entity lo <= min <= mean <= max <= hi, entropy in [0, 12], positive volume; ``names`` maps roles to feature names."""
     at = lambda r: F.max(F.when(F.col("feature") == names[r], F.col("value"))).alias(r)

@@ -51,15 +51,19 @@ def abs_corr_matrix(vectors: DataFrame, features: str, by: Sequence[str] = ()) -
     d = d.select(group.alias("g"), F.zip_with("_f", "_c", lambda x, c: x - c).alias("x"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[str, np.ndarray] = {}
+        # rows arrive sorted by group, so one matrix is held at a time
+        now, m = None, None
         for pdf in batches:
-            for g, part in pdf.groupby("g"):
+            for g, part in pdf.groupby("g", sort=True):
+                if now is not None and g != now:
+                    yield pd.DataFrame({"g": now, "i": np.arange(len(m)), "row": list(m)})
+                    m = None
                 x = np.stack(part["x"].to_numpy())
-                acc[g] = acc.get(g, 0.0) + x.T @ x
-        for g, m in acc.items():
-            yield pd.DataFrame({"g": g, "i": np.arange(len(m)), "row": list(m)})
+                now, m = g, x.T @ x if m is None else m + x.T @ x
+        if m is not None:
+            yield pd.DataFrame({"g": now, "i": np.arange(len(m)), "row": list(m)})
 
-    rows = d.mapInPandas(partial, "g string, i int, row array<double>")
+    rows = d.sortWithinPartitions("g").mapInPandas(partial, "g string, i int, row array<double>")
     cell = rows.select("g", "i", F.posexplode("row").alias("j", "v")).where("j >= i").groupBy("g", "i", "j").agg(F.sum("v").alias("v"))
     diag = cell.where("i = j").select("g", F.col("i").alias("k"), F.col("v").alias("s"))
     c = cell.where("i < j").join(diag.select("g", F.col("k").alias("i"), F.col("s").alias("si")), ["g", "i"]).join(

@@ -251,6 +251,12 @@ def _(spark, sf):
     return Q.lattice_audit(G.lattice_blocks(g, SIZE, STRIDE, LEAST), "case", G.AXES, SIZE, STRIDE, dims, LEAST)
 
 
+@query("missing_starts", ctes=["grid"], sql=f"""WITH {BLOCKS} SELECT "case", z, y, x FROM bl WHERE n_mask > 0 AND verdict <> 'kept'""")
+def _(spark, sf):
+    b = G.lattice_blocks(X.grid(spark, sf), SIZE, STRIDE, LEAST)
+    return Q.missing_starts(b, b.where("verdict = 'kept'"), "case", G.AXES)
+
+
 @query("slice_boxes", ctes=["grid"], sql="""SELECT "case", z, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM grid WHERE mask GROUP BY ALL""")
 def _(spark, sf):
     return G.slice_boxes(X.grid(spark, sf))

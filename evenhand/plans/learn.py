@@ -15,6 +15,7 @@ from evenhand.plans import frames as X
 from evenhand.plans.evaluate import CONF, ERFC, RATES, _auc_sql, _kw_sql, _mw_sql
 from evenhand.plans.fit import COMBAT
 from evenhand.plans.registry import query
+from evenhand.session import cut_lineage
 
 GRID = L.candidate_grid(top_k=(10,), logreg_c=(0.1, 1.0), ridge_c=(0.001, 0.01), svm_c=(), leaves=())
 
@@ -72,7 +73,8 @@ def _vectors(spark, sf, harm="combat"):
     labels = X.obs_emb(spark, sf)
     outer = K.stratified_kfold(labels, "key", ["site", "y"], 2, 11)
     inner = K.inner_kfold(outer, labels, "key", ["site", "y"], 2)
-    return L.prepared_vectors(X.long_emb(spark, sf), L.contexts(outer, inner, 2), harm, kmax=25)
+    # the split is frozen as a table, so no later step can draw it anew
+    return L.prepared_vectors(X.long_emb(spark, sf), cut_lineage(L.contexts(outer, inner, 2)), harm, kmax=25)
 
 
 @query("inner_surface", rounded=["sb_auc"], digits=4)
@@ -108,6 +110,11 @@ def _(spark, sf):
     return L.fit_once_predict(d.where("site <> 'S3'"), d.where("site = 'S3'").drop("y"), {"candidate": 0, "kind": "logreg", "k": 10, "setting": 0.1})
 
 
+@query("transport_scores", rounded=["score", "p"], digits=4)
+def _(spark, sf):
+    return L.transport_scores(X.long_emb(spark, sf), "S0", "S1", {"candidate": 0, "kind": "logreg", "k": 10, "setting": 0.1}, em_steps=3)
+
+
 @query("pca_project", rounded=["pc1", "pc2"], digits=4)
 def _(spark, sf):
     p = L.pca_project(X.wide_emb(spark, sf), "features")
