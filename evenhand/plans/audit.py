@@ -238,8 +238,8 @@ def _(spark, sf):
     return G.lattice_blocks(X.grid(spark, sf), SIZE, STRIDE, LEAST)
 
 
-@query("lattice_report", ctes=["grid"], sql=f"""WITH {BLOCKS} SELECT "case", count(*) AS n_candidates, count(*) FILTER (verdict = 'kept') AS n_kept, count(*) FILTER (verdict = 'too few cells') AS too_few_cells,
- count(*) FILTER (verdict = 'centre outside') AS centre_outside FROM bl GROUP BY 1""")
+@query("lattice_report", ctes=["grid"], sql=f"""WITH {BLOCKS} SELECT "case", count(bl.z) AS n_candidates, count(*) FILTER (verdict = 'kept') AS n_kept, count(*) FILTER (verdict = 'too few cells') AS too_few_cells,
+ count(*) FILTER (verdict = 'centre outside') AS centre_outside FROM ext LEFT JOIN bl USING ("case") WHERE z0 IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
     return G.lattice_report(X.grid(spark, sf), SIZE, STRIDE, LEAST)
 

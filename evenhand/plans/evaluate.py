@@ -282,7 +282,7 @@ ERFC = """(1 / (1 + 0.5 * {x})) * exp(-{x} * {x} - 1.26551223 + (1 / (1 + 0.5 *
 
 
 def _mw_sql(src, by, v):
-    return f"""SELECT {by}, n1::BIGINT AS n1, n0::BIGINT AS n0, u, u / (n1 * n0) AS auc, z, {ERFC.format(x='(z / sqrt(2.0::DOUBLE))')} AS p FROM (
+    return f"""SELECT {by}, n1::BIGINT AS n1, n0::BIGINT AS n0, u, u / nullif(n1 * n0, 0) AS auc, z, {ERFC.format(x='(z / sqrt(2.0::DOUBLE))')} AS p FROM (
   SELECT *, greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / nullif(sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - t / ((n1 + n0) * (n1 + n0 - 1)))), 0) AS z FROM (
    SELECT {by}, sum(c1) AS n1, sum(c0) AS n0, sum(c1 * (cum - 0.5 * c0)) AS u, sum(pow(c1 + c0, 3) - (c1 + c0)) AS t FROM (
     SELECT *, sum(c0) OVER (PARTITION BY {by} ORDER BY {v} ROWS UNBOUNDED PRECEDING) AS cum FROM (
