@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evenhand.operators.core import attach_stats, same_keys
+from evenhand.operators.core import same_keys
 from evenhand.operators.metrics import weighted_auc
 
 
@@ -27,7 +27,8 @@ def anova_f(long: DataFrame, by: Sequence[str] = (), label: str = "y") -> DataFr
     keys = [*by, "feature"]
     c = long.where("value IS NOT NULL").groupBy(*keys, label).agg(F.count("value").alias("n"), F.avg("value").alias("m"),
                                                                 F.var_pop("value").alias("v"))
-    c = attach_stats(c, keys, (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_g"))
+    w = W.partitionBy(*keys)  # one row per class
+    c = c.withColumn("_g", F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
     g = c.groupBy(*keys).agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("_g"), 2)).alias("_b"), F.sum(F.col("n") * F.col("v")).alias("_w"),
                              F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
     pooled = F.col("_w") / (F.col("n") - F.col("k"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand.functions import expr as E
-from evenhand.operators.core import attach_stats, row_numbers, same_keys
+from evenhand.operators.core import row_numbers, same_keys
 
 
 def _folds(df: DataFrame, key: str, strata: Sequence[str], k: int, seed, out: str) -> DataFrame:
@@ -83,8 +84,8 @@ def transport_pairs(df: DataFrame, key: str = "key", site: str = "site") -> Data
 def strata_weights(df: DataFrame, strata: Sequence[str], by: Sequence[str] = (), out: str = "weight") -> DataFrame:
     """w = N / (S * n_s) within ``by``: equal total per stratum, mean one."""
     counts = df.groupBy(*by, *strata).agg(F.count(F.lit(1)).alias("_ns"))
-    counts = attach_stats(counts, by, F.sum("_ns").alias("_N"), F.count(F.lit(1)).alias("_S"))
-    counts = counts.select(*by, *strata, (F.col("_N") / (F.col("_S") * F.col("_ns"))).alias(out))
+    w = W.partitionBy(*by)  # one row per stratum
+    counts = counts.select(*by, *strata, (F.sum("_ns").over(w) / (F.count(F.lit(1)).over(w) * F.col("_ns"))).alias(out))
     return same_keys(df, counts, [*by, *strata])
 
 

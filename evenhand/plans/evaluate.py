@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from evenhand.operators import metrics as M
 from evenhand.operators import resample as B
 from evenhand.operators import stattests as T
-from evenhand.operators.core import same_keys
 from evenhand.plans import frames as X
 from evenhand.plans.registry import query
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenhand.functions import expr as E
 from evenhand.operators import harmonise as H
 from evenhand.operators import selection as S
 from evenhand.plans import frames as X
