@@ -156,6 +156,7 @@ def qualify_candidates(entries: DataFrame, flags: Sequence[str], n_pos: str = "n
 def feasibility_table(entries: DataFrame) -> DataFrame:
     """The fixed report row per candidate; missing text is empty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # Report columns and text formats.
     fixed = ["pre_treatment", "segmentation_provenance", "institution_independence", "acquisition_diversity", "processing_difficulty", "manual_work", "suitable"]
     return entries.select(
         F.col("label").alias("candidate"), text("n_pos").alias("total_pos"), text("n_neg").alias("total_neg"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions import expr as E
 from evenhand.functions.special import chi2_tail, normal_two_sided
-from evenhand.operators.core import attach_stats, collapse, row_numbers, running_totals, same_keys
+from evenhand.operators.core import collapse, row_numbers, running_totals, same_keys
 from evenhand.operators.metrics import weighted_auc
 
 
@@ -62,21 +62,27 @@ def attach_one(df: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def chi2_independence(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """Contingency chi-squared with p; a 2 x 2 table gets the Yates correction."""
-    cell = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("o"))
-    ra = cell.groupBy(*by, a).agg(F.sum("o").alias("ra"))
-    rb = cell.groupBy(*by, b).agg(F.sum("o").alias("rb"))
-    rb_tot = attach_stats(rb, by, F.sum("rb").alias("n"), F.count(F.lit(1)).alias("kb"))
-    ra_k = attach_stats(ra, by, F.count(F.lit(1)).alias("ka"))
-    # every (a, b) combination of the observed levels, including empty cells
-    levels = same_keys(ra_k, rb_tot, by) if by else ra_k.withColumn("_j", F.lit(1)).join(
-        rb_tot.withColumn("_j", F.lit(1)), "_j").drop("_j")
-    full = same_keys(levels, cell, [*by, a, b], "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    e = F.col("ra").cast("double") * F.col("rb") / F.col("n")
-    gap = F.abs(F.col("o") - e)
-    gap = F.when((F.col("ka") == 2) & (F.col("kb") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    g = full.groupBy(*by).agg(F.sum(gap * gap / e).alias("chi2"), F.max((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df"))
-    return g.withColumn("p", chi2_tail("chi2", F.col("df").cast("double")))
+    """Contingency chi-squared with p; a 2 x 2 table gets the Yates correction.
+
+    Only observed cells are formed: the plain statistic is n (sum o^2 / (row * column) - 1), and in a 2 x 2
+    table every cell misses its expectation by the same amount, so the margins give the corrected sum.
+    """
+    keys = list(by)
+    cell = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, a, b).agg(F.count(F.lit(1)).cast("double").alias("o"))
+    margin = lambda c: cell.groupBy(*keys, c).agg(F.sum("o").alias("m"))
+    inverse = lambda c, n: margin(c).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"k{n}"), F.sum(1 / F.col("m")).alias(f"i{n}"), F.sum("m").alias(f"n{n}"))
+    size = same_keys(inverse(a, "a"), inverse(b, "b"), keys) if keys else attach_one(inverse(a, "a"), inverse(b, "b"))
+    full = same_keys(cell, margin(a).withColumnRenamed("m", "ra"), [*keys, a])
+    full = same_keys(full, margin(b).withColumnRenamed("m", "rb"), [*keys, b])
+    g = full.groupBy(*keys).agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("rb"))).alias("s"),
+                                F.max(F.struct("o", "ra", "rb")).alias("one"))
+    g = same_keys(g, size, keys) if keys else attach_one(g, size)
+    n = F.col("na")
+    gap = F.abs(F.col("one.o") - F.col("one.ra") * F.col("one.rb") / n)
+    yates = F.pow(gap - F.least(F.lit(0.5), gap), 2) * n * F.col("ia") * F.col("ib")
+    chi2 = F.when((F.col("ka") == 2) & (F.col("kb") == 2), yates).otherwise(F.greatest(n * (F.col("s") - 1), F.lit(0.0)))
+    out = g.select(*keys, chi2.alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df"))
+    return out.withColumn("p", chi2_tail("chi2", F.col("df").cast("double")))
 
 
 def bh_fdr(df: DataFrame, p: str = "p", by: Sequence[str] = (), q: float = 0.05, key: str = "feature") -> DataFrame:
