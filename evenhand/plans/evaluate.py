@@ -133,7 +133,17 @@ def _(spark, sf):
     return M.brier(X.prob_pair(spark, sf), "pa", by=["site"])
 
 
-@query("calibration_slope_intercept", rounded=["slope", "intercept"], digits=4)
+# Newton steps of the one-feature logistic as a recursive query, the slope lightly penalised.
+NEWTON = """z AS (SELECT y, ln(greatest(least(pa, 1 - 1e-6), 1e-6) / (1 - greatest(least(pa, 1 - 1e-6), 1e-6))) AS z FROM prob_pair),
+nw AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+ SELECT i + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+  SELECT i, a, b, sum(y - m) AS gb, sum((y - m) * z) - a / 1e6 AS ga, sum(m * (1 - m)) AS hbb, sum(m * (1 - m) * z) AS hab, sum(m * (1 - m) * z * z) + 1 / 1e6 AS haa
+  FROM (SELECT *, 1 / (1 + exp(-(a * z + b))) AS m FROM nw, z WHERE i < 25) GROUP BY i, a, b)),
+ic AS (SELECT 0 AS i, 0.0::DOUBLE AS b UNION ALL SELECT i + 1, b + sum(y - m) / sum(m * (1 - m)) FROM (SELECT *, 1 / (1 + exp(-(z + b))) AS m FROM ic, z WHERE i < 25) GROUP BY i, b)"""
+
+
+@query("calibration_slope_intercept", ctes=["prob_pair"], rounded=["slope", "intercept"], digits=4, sql=f"""WITH RECURSIVE {NEWTON}
+SELECT (SELECT count(*) FROM z) AS n, (SELECT arg_max(a, i) FROM nw) AS slope, (SELECT arg_max(b, i) FROM ic) AS intercept""")
 def _(spark, sf):
     return M.calibration(X.prob_pair(spark, sf), "pa")
 

@@ -258,10 +258,13 @@ def _(spark, sf):
     return S.within_site_auc_rank(_train(spark, sf), ["fold"])
 
 
-@query("anova_f", ctes=["long_folds"], rounded=["f"], digits=4, sql="""
+ANOVA = """
 WITH t AS (SELECT * FROM long_folds WHERE role = 'train'), c AS (SELECT fold, feature, y, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM t GROUP BY ALL),
 g AS (SELECT fold, feature, avg(value) AS gm FROM t GROUP BY ALL)
-SELECT fold, feature, sum(n * pow(m - gm, 2)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) AS f FROM c JOIN g USING (fold, feature) GROUP BY ALL""")
+SELECT fold, feature, sum(n * pow(m - gm, 2)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) AS f FROM c JOIN g USING (fold, feature) GROUP BY ALL"""
+
+
+@query("anova_f", ctes=["long_folds"], rounded=["f"], digits=4, sql=ANOVA)
 def _(spark, sf):
     return S.anova_f(_train(spark, sf), ["fold"])
 
@@ -283,6 +286,13 @@ def _(spark, sf):
     return S.corr_prune_topk(ranked, S.abs_corr_matrix(_train_vectors(spark, sf), "features", ["fold"]), ["fold"], 0.25, 10)
 
 
-@query("mrmr_rank", rounded=["relevance", "redundancy", "score"])
+@query("mrmr_rank", ctes=["long_folds"], rounded=["relevance", "redundancy", "score"], digits=4, sql=f"""
+WITH RECURSIVE fs AS ({ANOVA}), pairs AS ({CORR}), bo AS (SELECT fold, i AS feature, j AS other, r FROM pairs UNION ALL SELECT fold, j, i, r FROM pairs),
+walk AS (SELECT DISTINCT fold, 0 AS i, []::INT[] AS sel, NULL::INT AS feature, NULL::DOUBLE AS f, NULL::DOUBLE AS red, NULL::DOUBLE AS score FROM fs
+ UNION ALL SELECT fold, i + 1, list_append(sel, feature), feature, f, red, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, feature) AS rn FROM (
+   SELECT w.fold, w.i, w.sel, c.feature, c.f, avg(b.r) AS red, c.f - coalesce(avg(b.r), 0) AS score FROM walk w JOIN fs c ON w.fold = c.fold AND NOT list_contains(w.sel, c.feature)
+    LEFT JOIN bo b ON b.fold = c.fold AND b.feature = c.feature AND list_contains(w.sel, b.other) WHERE w.i < 10 GROUP BY w.fold, w.i, w.sel, c.feature, c.f)) WHERE rn = 1)
+SELECT fold, feature, i AS position, f AS relevance, red AS redundancy, score FROM walk WHERE i > 0""")
 def _(spark, sf):
     return S.mrmr_rank(S.anova_f(_train(spark, sf), ["fold"]), S.abs_corr_matrix(_train_vectors(spark, sf), "features", ["fold"]), ["fold"], 10)

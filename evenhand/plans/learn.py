@@ -12,7 +12,7 @@ from evenhand.operators import models as L
 from evenhand.operators import setops as U
 from evenhand.operators import splits as K
 from evenhand.plans import frames as X
-from evenhand.plans.evaluate import CONF, ERFC, RATES, _auc_sql, _kw_sql, _mw_sql
+from evenhand.plans.evaluate import CONF, ERFC, NEWTON, RATES, _auc_sql, _kw_sql, _mw_sql
 from evenhand.plans.fit import COMBAT
 from evenhand.plans.registry import query
 from evenhand.session import cut_lineage
@@ -202,7 +202,9 @@ def _(spark, sf):
     return L.stacked_fusion(pair, "za", "zb").select("fold", "key", "score")
 
 
-@query("platt_calibrate", rounded=["p_cal"], digits=4)
+@query("platt_calibrate", ctes=["prob_pair"], rounded=["p_cal"], digits=4, sql=f"""WITH RECURSIVE {NEWTON}, f AS (SELECT arg_max(a, i) AS a, arg_max(b, i) AS b FROM nw)
+SELECT key, y, 1 / (1 + exp(-(CASE WHEN f.a > 0 THEN f.a ELSE 1 END * ln(greatest(least(pa, 1 - 1e-6), 1e-6) / (1 - greatest(least(pa, 1 - 1e-6), 1e-6)))
+ + CASE WHEN f.a > 0 THEN f.b ELSE 0 END))) AS p_cal, f.a > 0 AS valid FROM prob_pair, f""")
 def _(spark, sf):
     d = X.prob_pair(spark, sf)
     a, b, valid = L.platt_fit(d, "pa")
