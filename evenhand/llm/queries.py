@@ -12,11 +12,24 @@ from evenhand.llm.common import documents
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.pfor import token_files
+
+    return token_files(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evenhand.llm.bpe import encode_decode_digests
 
     return encode_decode_digests(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_bpe_round_trip,)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.quality import fit, score
+
+    docs = documents(spark, sf_dir)
+    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_token_files, op7_bpe_round_trip, op9_quality_rules)}
 SQL: dict[str, str] = {}
