@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evenhand.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.transducer import token_counts
+
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evenhand.llm.quality import fit, score
 
@@ -31,5 +38,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_token_files, op7_bpe_round_trip, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_token_files, op7_bpe_round_trip, op8_token_counts, op9_quality_rules)}
 SQL: dict[str, str] = {}
