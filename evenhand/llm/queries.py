@@ -13,6 +13,18 @@ WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 
+def op2_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.embeddings import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.decontaminate import report
+
+    return report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("_hash")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evenhand.llm.pfor import token_files
 
@@ -38,5 +50,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_token_files, op7_bpe_round_trip, op8_token_counts, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_embedding_near_dups, op3_decontamination, op6_token_files, op7_bpe_round_trip, op8_token_counts, op9_quality_rules)}
 SQL: dict[str, str] = {}
