@@ -50,5 +50,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_embedding_near_dups, op3_decontamination, op6_token_files, op7_bpe_round_trip, op8_token_counts, op9_quality_rules)}
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.substrings import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_embedding_near_dups, op3_decontamination, op6_token_files, op7_bpe_round_trip, op8_token_counts, op9_quality_rules, op10_repeated_strings)}
 SQL: dict[str, str] = {}
