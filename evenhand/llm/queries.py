@@ -13,6 +13,12 @@ WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.jaccard import with_components
+
+    return with_components(documents(spark, sf_dir))
+
+
 def op2_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evenhand.llm.embeddings import near_duplicates
 
@@ -56,5 +62,5 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_embedding_near_dups, op3_decontamination, op6_token_files, op7_bpe_round_trip, op8_token_counts, op9_quality_rules, op10_repeated_strings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dups, op3_decontamination, op6_token_files, op7_bpe_round_trip, op8_token_counts, op9_quality_rules, op10_repeated_strings)}
 SQL: dict[str, str] = {}
