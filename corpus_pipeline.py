@@ -1,21 +1,53 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns of
+documents. What a stage does with nulls, empty texts and repeated rows stands with its operator.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evenhand.llm.bpe import encode_decode_digests
+from evenhand.llm.decontaminate import keep_clean
+from evenhand.llm.jaccard import keep_one
+from evenhand.llm.lines import drop_repeated_lines
+from evenhand.llm.quality import fit, keep_good
 from evenhand.llm.queries import WORD_BPE
 from evenhand.session import cut_lineage
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble accepts; it learns from the labels of the documents at hand."""
+    return keep_good(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones; n_chars follows the text."""
+    out = drop_repeated_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest id."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes every text that is left."""
+    """Digests of the ids and of the decoded text of every document that is left."""
     return encode_decode_digests(docs, public_tokenizers.path(WORD_BPE))
 
 
-STAGES = [("bpe", bpe)]
+STAGES = [("quality", quality), ("lines", lines), ("jaccard", jaccard), ("decontamination", decontamination), ("bpe", bpe)]
 ORACLE_SQL = None
 
 

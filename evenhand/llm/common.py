@@ -78,14 +78,24 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+KEPT: dict[int, np.ndarray] = {}
+
+
+def kept_powers(base: int, n: int) -> np.ndarray:
+    """As ``powers``, computed once for a worker and grown as needed."""
+    if len(KEPT.get(base, ())) < n:
+        KEPT[base] = powers(base, max(n, SLICE_BYTES + SLICE_BYTES // 4))
+    return KEPT[base][:n]
+
+
 class Rolling:
     """Fingerprints of any substring of a byte array: random byte codes times powers of an odd number, summed."""
 
     def __init__(self, body: np.ndarray):
         n = len(body)
-        self.back = powers(BACK, n + 1)
+        self.back = kept_powers(BACK, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODES[body] * powers(STEP, n), out=self.sums[1:])
+        np.cumsum(BYTE_CODES[body] * kept_powers(STEP, n), out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))

@@ -31,6 +31,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("_hash")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.secrets import secret_spans
+
+    return secret_spans(documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.lines import line_report
+
+    return line_report(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evenhand.llm.pfor import token_files
 
@@ -62,5 +74,8 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dups, op3_decontamination, op6_token_files, op7_bpe_round_trip, op8_token_counts, op9_quality_rules, op10_repeated_strings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dups, op3_decontamination, op4_secrets, op5_line_dedup, op6_token_files,
+                            op7_bpe_round_trip, op8_token_counts, op9_quality_rules, op10_repeated_strings)
+}
 SQL: dict[str, str] = {}
