@@ -454,7 +454,11 @@ def with_components(df: DataFrame, key: str = "doc_id", text: str = "text", limi
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose key is the smallest of its component, with all their columns; rows that repeat a kept key go once."""
+    """The rows of ``df`` whose key is the smallest of its component, with all their columns.
+
+    Of rows that repeat both key and text one stays; rows that repeat a kept key with another text stay.
+    """
     parts = with_components(df, key, text, **options)
     keep = parts.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return df.join(keep, df[key].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates([key])
+    kept = df.join(keep, df[key].eqNullSafe(keep["_kept"]), "left_semi").withColumn("_same", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return kept.dropDuplicates([key, "_same"]).drop("_same")
