@@ -458,7 +458,10 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options)
 
     Of rows that repeat both key and text one stays; rows that repeat a kept key with another text stay.
     """
-    parts = with_components(df, key, text, **options)
+    parts = with_components(df.select(key, text), key, text, **options)
     keep = parts.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    kept = df.join(keep, df[key].eqNullSafe(keep["_kept"]), "left_semi").withColumn("_same", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return kept.dropDuplicates([key, "_same"]).drop("_same")
+    names = df.columns
+    safe = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    own, body = F.col(f"_c{names.index(key)}"), F.col(f"_c{names.index(text)}")
+    kept = safe.join(keep, own.cast("long").eqNullSafe(F.col("_kept")), "left_semi").withColumn("_same", F.xxhash64(F.coalesce(body, F.lit(""))))
+    return kept.dropDuplicates([f"_c{names.index(key)}", "_same"]).drop("_same").toDF(*names)
