@@ -1,24 +1,20 @@
 """Grouped ranking without a hot task.
 
-A window over ``partitionBy(site)`` puts a whole site in one task. The operators here first fold equal
-values together, count what is left, and only when that count fits one cell use the plain window. Beyond
-it they cut the value axis at approximate quantiles of the whole frame: a (group, cell) pair then holds at
-most about one cell of rows however skewed the groups are, and a second, small window over the cell totals
-supplies the offsets.
+A window over ``partitionBy(site)`` puts a whole site in one task. The operators here fold equal values
+together where they can, cut the rows into ranges of (group, value, ties) with Spark's range partitioning, run the window
+inside each range, and take the offsets from a second, small window over the range totals. One plan serves
+every size, type and tie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evenhand.session import cell_rows, cut_lineage
-
-MAX_CELLS = 4096
+from evenhand.session import cut_lineage
 
 
 def same_keys(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -42,50 +38,26 @@ def attach_stats(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     return same_keys(df, df.groupBy(*by).agg(*aggs), by)
 
 
-def value_cells(df: DataFrame, value: str, rows: int | None = None) -> tuple[DataFrame, bool]:
-    """``df`` with a monotone ``_cell`` of ``value`` and True, or ``df`` itself and False when one cell holds it.
-
-    ``rows`` is a known upper bound of the row count, which saves the counting job. Beyond the limit the frame
-    is written once to the checkpoint folder, so the cut points and the passes that follow do not recompute it.
-    """
-    limit = cell_rows(df.sparkSession)
-    if (df.count() if rows is None else rows) <= limit:
-        return df, False
-    df = cut_lineage(df)
-    cells = min(MAX_CELLS, df.count() // limit + 1)
-    if cells == 1:
-        return df, False
-    num = df.withColumn("_num", F.col(value).cast("double"))
-    cuts = num.agg(F.percentile_approx("_num", [i / cells for i in range(1, cells)], max(1000, 10 * cells)).alias("c")).first()["c"]
-    edges = sorted({c for c in (cuts or []) if c is not None})
-    if not edges:
-        return df, False
-    splits = [-float("inf"), *edges, float("inf")]
-    out = Bucketizer(splits=splits, inputCol="_num", outputCol="_cell", handleInvalid="keep").transform(num)
-    return out.withColumn("_cell", F.coalesce(F.col("_cell"), F.lit(-1.0)).cast("int")).drop("_num"), True
-
-
 def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
-                   descending: bool = False, ties: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+                   descending: bool = False, ties: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` and group totals ``tot_<c>`` along ``order`` within ``by``.
 
-    Rows must be unique in (by, order, ties), as after a collapse to distinct values.
+    Rows must be unique in (by, order, ties), as after a collapse to distinct values. ``order`` and ``ties`` may be of any
+    type that sorts; NULL counts as the smallest.
     """
-    key = F.col(order).desc() if descending else F.col(order).asc()
+    asc = lambda c: F.col(c).asc_nulls_first()
+    key = F.col(order).desc_nulls_last() if descending else asc(order)
     names = df.columns
-    celled, cut = value_cells(df, order, rows)
-    whole = W.partitionBy(*by)
-    if not cut:
-        run = whole.orderBy(key, *ties).rowsBetween(W.unboundedPreceding, 0)
-        return celled.select("*", *[F.sum(c).over(run).alias(f"cum_{c}") for c in sums],
-                             *[F.sum(c).over(whole).alias(f"tot_{c}") for c in sums])
-    cell_key = F.col("_cell").desc() if descending else F.col("_cell").asc()
+    # Cells are ranges of (by, order, ties), written once so that totals and rows see the same cuts.
+    celled = df.repartitionByRange(*[asc(c) for c in by], key, *[asc(c) for c in ties]).withColumn("_cell", F.spark_partition_id())
+    celled = cut_lineage(celled)
     totals = celled.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    before = whole.orderBy(cell_key).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*by)
+    before = whole.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*by, "_cell",
                            *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
                            *[F.sum(f"_t_{c}").over(whole).alias(f"tot_{c}") for c in sums])
-    run = W.partitionBy(*by, "_cell").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy(*by, "_cell").orderBy(key, *[asc(c) for c in ties]).rowsBetween(W.unboundedPreceding, 0)
     out = same_keys(celled, totals, [*by, "_cell"])
     return out.select(*names, *[(F.col(f"_o_{c}") + F.sum(c).over(run)).alias(f"cum_{c}") for c in sums],
                       *[f"tot_{c}" for c in sums])
@@ -111,17 +83,11 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     """Exact quantiles per group, one column per entry of ``probs``.
 
     ``linear`` puts p at position (n-1)p, ``exclusive`` at (n+1)p - 1 (clamped to the ends). NULLs are
-    skipped. The built-in ``percentile`` keeps every distinct value of a group in one buffer, so it is used
-    only while the whole frame fits one cell; beyond it positions come from running counts. ``counts``
-    names a multiplicity column.
+    skipped. Positions come from running counts of the distinct values, so no group is held in one
+    buffer. ``counts`` names a multiplicity column.
     """
-    src = df.where(F.col(value).isNotNull())
-    n = src.count()
-    if method == "linear" and counts is None and n <= cell_rows(df.sparkSession):
-        aggs = [F.percentile(value, p).alias(k) for k, p in probs.items()]
-        return src.groupBy(*by).agg(*aggs)
-    t = collapse(src, by, value, _q=F.col(counts) if counts else F.lit(1).cast("bigint"))
-    t = running_totals(t, by, value, ["_q"], rows=n)
+    t = collapse(df, by, value, _q=F.col(counts) if counts else F.lit(1).cast("bigint"))
+    t = running_totals(t, by, value, ["_q"])
     aggs, outs = [], []
     for k, p in probs.items():
         pos = (F.col("tot__q") - 1) * p if method == "linear" else (F.col("tot__q") + 1) * p - 1

@@ -18,34 +18,29 @@ def _class_mass(df: DataFrame, by, y, s, w) -> DataFrame:
                     w1=F.when(F.col(y) == 1, weight).otherwise(0.0), w0=F.when(F.col(y) == 0, weight).otherwise(0.0))
 
 
-def _areas_from_mass(mass: DataFrame, by, s, rows: int | None) -> DataFrame:
+def _areas_from_mass(mass: DataFrame, by, s) -> DataFrame:
     """ROC and PR areas from one ascending pass: the counts above a score are totals less what lies below it."""
-    run = running_totals(mass, by, s, ["w0", "w1"], rows=rows)
+    run = running_totals(mass, by, s, ["w0", "w1"])
     wins = F.sum(F.col("w1") * (F.col("cum_w0") - 0.5 * F.col("w0")))
     tp, fp = F.col("tot_w1") - F.col("cum_w1") + F.col("w1"), F.col("tot_w0") - F.col("cum_w0") + F.col("w0")
     ap = F.sum(F.when(F.col("w1") > 0, F.col("w1") / F.col("tot_w1") * tp / (tp + fp)).otherwise(F.when(F.col("tot_w1") > 0, 0.0)))
     return run.groupBy(*by).agg(E.ratio(wins, F.sum("w1") * F.sum("w0")).alias("auc"), ap.alias("pr_auc"))
 
 
-def _auc_from_mass(mass: DataFrame, by, s, rows: int | None) -> DataFrame:
-    run = running_totals(mass, by, s, ["w0"], rows=rows)
+def _auc_from_mass(mass: DataFrame, by, s) -> DataFrame:
+    run = running_totals(mass, by, s, ["w0"])
     wins = F.sum(F.col("w1") * (F.col("cum_w0") - 0.5 * F.col("w0")))
     return run.groupBy(*by).agg(E.ratio(wins, F.sum("w1") * F.sum("w0")).alias("auc"))
 
 
-def weighted_auc(df: DataFrame, y: str = "y", s: str = "score", w: str | None = None, by: Sequence[str] = (),
-                 rows: int | None = None) -> DataFrame:
-    """Weighted Mann-Whitney AUC with half-ties; NULL when a group holds one class.
-
-    ``rows`` bounds the number of input rows when the caller knows it; otherwise they are counted.
-    """
-    return _auc_from_mass(_class_mass(df, by, y, s, w), by, s, df.count() if rows is None else rows)
+def weighted_auc(df: DataFrame, y: str = "y", s: str = "score", w: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Weighted Mann-Whitney AUC with half-ties; NULL when a group holds one class."""
+    return _auc_from_mass(_class_mass(df, by, y, s, w), by, s)
 
 
-def rank_areas(df: DataFrame, y: str = "y", s: str = "score", w: str | None = None, by: Sequence[str] = (),
-               rows: int | None = None) -> DataFrame:
+def rank_areas(df: DataFrame, y: str = "y", s: str = "score", w: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """``auc`` and ``pr_auc`` (average precision) together, from one sort of the distinct scores."""
-    return _areas_from_mass(_class_mass(df, by, y, s, w), by, s, df.count() if rows is None else rows)
+    return _areas_from_mass(_class_mass(df, by, y, s, w), by, s)
 
 
 def site_balanced_auc(df: DataFrame, y: str = "y", s: str = "score", site: str = "site", by: Sequence[str] = ()) -> DataFrame:
@@ -56,14 +51,14 @@ def site_balanced_auc(df: DataFrame, y: str = "y", s: str = "score", site: str =
     folded = collapse(df.where(F.col(y).isNotNull()), [*by, site, y], s)
     strata = folded.groupBy(*by, site, y).agg(F.sum("n").alias("_ns"))
     unit = same_keys(folded, strata, [*by, site, y]).withColumn("_w", F.col("n") / F.col("_ns"))
-    out = _auc_from_mass(_class_mass(unit, by, y, s, "_w"), by, s, df.count())
+    out = _auc_from_mass(_class_mass(unit, by, y, s, "_w"), by, s)
     return out.withColumnRenamed("auc", "sb_auc")
 
 
 def auc_by_group(df: DataFrame, group: str, y: str = "y", s: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Per group: n, positives and AUC (NULL where a group has one class)."""
     keys = [*by, group]
-    run = running_totals(_class_mass(df, keys, y, s, None), keys, s, ["w0"], rows=df.count())
+    run = running_totals(_class_mass(df, keys, y, s, None), keys, s, ["w0"])
     wins = F.sum(F.col("w1") * (F.col("cum_w0") - 0.5 * F.col("w0")))
     return run.groupBy(*keys).agg(F.sum(F.col("w0") + F.col("w1")).cast("bigint").alias("n"), F.sum("w1").cast("bigint").alias("n_pos"),
                                   E.ratio(wins, F.sum("w1") * F.sum("w0")).alias("auc"))
@@ -77,7 +72,7 @@ def mean_group_auc(df: DataFrame, group: str, y: str = "y", s: str = "score", by
 
 def cumulative_counts(df: DataFrame, y: str = "y", s: str = "score", w: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """tp, fp and the class totals at each distinct threshold, highest first."""
-    run = running_totals(_class_mass(df, by, y, s, w), by, s, ["w1", "w0"], descending=True, rows=df.count())
+    run = running_totals(_class_mass(df, by, y, s, w), by, s, ["w1", "w0"], descending=True)
     return run.select(*by, F.col(s).alias("threshold"), F.col("cum_w1").alias("tp"), F.col("cum_w0").alias("fp"),
                       F.col("tot_w1").alias("pos"), F.col("tot_w0").alias("neg"), F.col("w1").alias("d_tp"))
 

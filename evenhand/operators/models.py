@@ -27,7 +27,7 @@ from evenhand.operators.core import attach_stats, quantiles, same_keys
 from evenhand.operators.metrics import auc_by_group, fold_logits, line_logistic, site_balanced_auc, weighted_auc
 from evenhand.operators.resample import draws
 from evenhand.operators.splits import strata_weights
-from evenhand.operators.windows import argmax_tie, zscore_within
+from evenhand.operators.windows import argmax_tie, top_n, zscore_within
 from evenhand.session import cut_lineage
 
 # The search grids and the boosted-tree settings.
@@ -102,11 +102,13 @@ def margin(model, rows: DataFrame, features: str = "features") -> DataFrame:
 def lasso_select(df: DataFrame, c: float, label: str = "y", weight: str | None = None, features: str = "values") -> DataFrame:
     """Support of an L1 logistic fit: (feature position, coef) with |coef| > 1e-8. No row means the candidate is invalid."""
     vec = df.withColumn("_x", array_to_vector(features))
-    coef = fit_logistic(vec, c, 1.0, label, weight, "_x").coefficients.toArray()
-    names = df.select(F.posexplode(features).alias("feature", "_v")).select("feature").distinct()
-    # coefficients are one number per column of the data; attach them to the column list
-    table = F.array(*[F.lit(float(v)) for v in coef])
-    return names.withColumn("coef", F.element_at(table, F.col("feature") + 1)).where(F.abs("coef") > 1e-8)
+    return coefficient_table(fit_logistic(vec, c, 1.0, label, weight, "_x"), df).where(F.abs("coef") > 1e-8)
+
+
+def coefficient_table(model, df: DataFrame) -> DataFrame:
+    """(feature position, coef) of a fitted linear model: one row per column of the data, none of its rows read."""
+    values = F.array(*[F.lit(float(v)) for v in model.coefficients.toArray()])
+    return df.sparkSession.range(1).select(F.posexplode(values).alias("feature", "coef"))
 
 
 def capped_elastic_net(train: DataFrame, rows: DataFrame, c: float, l1_ratio: float, cap: int = 8, label: str = "y",
@@ -116,8 +118,9 @@ def capped_elastic_net(train: DataFrame, rows: DataFrame, c: float, l1_ratio: fl
     With nothing kept the score is the log odds of the weighted training prior.
     """
     vec = train.withColumn("_x", array_to_vector(features))
-    coef = fit_logistic(vec, c, l1_ratio, label, weight, "_x").coefficients.toArray()
-    keep = sorted(sorted(np.flatnonzero(coef).tolist(), key=lambda j: (-abs(coef[j]), j))[:cap])
+    table = coefficient_table(fit_logistic(vec, c, l1_ratio, label, weight, "_x"), train).where("coef <> 0")
+    strongest = top_n(table, [F.abs("coef").desc(), F.col("feature")], cap)
+    keep = [r["feature"] for r in strongest.orderBy("feature").collect()]
     if not keep:
         w = F.col(weight) if weight else F.lit(1.0)
         prior = float(train.agg(F.sum(w * F.col(label)) / F.sum(w)).first()[0])
@@ -246,8 +249,8 @@ def late_fusion(oof: DataFrame, loso: DataFrame, combos: DataFrame, b: int = 200
     # the same drawn rows serve every combination
     avg = cut_lineage(avg)
     base = attach_stats(avg.select("key", "site", "y").distinct(), ["site", "y"], (1 / F.count(F.lit(1))).alias("w"))
-    drawn, _ = draws(base, ["site", "y"], "key", b, seed)
-    reps = weighted_auc(avg.join(drawn.select("key", "b", "w"), "key"), w="w", by=["combo", "b"], rows=b * avg.count())
+    drawn = draws(base, ["site", "y"], "key", b, seed)
+    reps = weighted_auc(avg.join(drawn.select("key", "b", "w"), "key"), w="w", by=["combo", "b"])
     ci = quantiles(reps, ["combo"], "auc", {"ci_lo": 0.025, "ci_hi": 0.975})
     out = same_keys(sb, site, ["combo"])
     return same_keys(same_keys(out, lo, ["combo"]), ci, ["combo"])

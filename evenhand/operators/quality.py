@@ -86,9 +86,13 @@ def duplicate_rows(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
 
 def frame_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Row-order-free content hash: sum of 64-bit md5 prefixes as a decimal, and the row count."""
+    """Row-order-free content hash: sum of 64-bit md5 prefixes as a decimal, and the row count.
+
+    Every field goes in with its length, so no text can pass for two fields or for NULL.
+    """
     cols = list(cols or df.columns)
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in cols])
+    field = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    text = F.concat(*[field(c) for c in cols])
     h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("fingerprint"), F.count(F.lit(1)).alias("n"))
 

@@ -18,22 +18,21 @@ from evenhand.operators.metrics import rank_areas, weighted_auc
 from evenhand.session import cut_lineage
 
 
-def draws(df: DataFrame, strata: Sequence[str], key: str, b: int, seed: int) -> tuple[DataFrame, int]:
-    """``df`` once per draw with its replicate ``b``, and the number of drawn rows.
+def draws(df: DataFrame, strata: Sequence[str], key: str, b: int, seed: int) -> DataFrame:
+    """``df`` once per draw with its replicate ``b``.
 
-    The one wide step is the join of draws to positions; it is a plain equi-join on a text stratum and the
-    position, so a base small enough is broadcast and a large one is hashed evenly, positions being unique.
+    The one wide step is the join of draws to positions; it is a plain equi-join on the strata columns (NULL equal to NULL) and
+    the position, so a base small enough is broadcast and a large one is hashed evenly, positions being unique.
     Rows are spread before they multiply, or a small base would draw all replicates in one task.
     """
     spark = df.sparkSession
-    n = df.count()
     named = F.concat_ws("|", *strata) if strata else F.lit("all")
     pos = row_numbers(df.withColumn("_k", E.hash_order("order", key)), strata, "_k", [key], out="_j", total="_n").drop("_k")
-    pos = pos.withColumn("_s", named)
+    pos = cut_lineage(pos)
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = pos.select("_s", "_n", "_j").repartition(spread, "_j").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    drawn = drawn.select("_s", "b", (E.hash_order(seed, "b", "_s", "_j") % F.col("_n") + 1).alias("_j"))
-    return drawn.join(pos.drop("_n"), ["_s", "_j"]).drop("_s", "_j"), n * b
+    drawn = pos.select(*strata, "_n", "_j").withColumn("_s", named).repartition(spread, "_j").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
+    drawn = drawn.select(*strata, "b", (E.hash_order(seed, "b", "_s", "_j") % F.col("_n") + 1).alias("_j"))
+    return same_keys(drawn, pos.drop("_n"), [*strata, "_j"]).drop("_j")
 
 
 def _both(a: str, c: str) -> Column:
@@ -50,8 +49,7 @@ def stratified_bootstrap(df: DataFrame, b: int = 2000, seed: int = 1, key: str =
     """Replicate values of the site-balanced AUC, resampling within site x label."""
     # stratum sizes are unchanged by the draw, so a drawn row weighs one over its stratum's size
     base = attach_stats(df.select(key, site, y, s), [site, y], (1 / F.count(F.lit(1))).alias("w"))
-    drawn, n = draws(base, [site, y], key, b, seed)
-    return weighted_auc(drawn, y, s, "w", by=["b"], rows=n)
+    return weighted_auc(draws(base, [site, y], key, b, seed), y, s, "w", by=["b"])
 
 
 def stratified_bootstrap_ci(df: DataFrame, **kw) -> DataFrame:
@@ -60,8 +58,7 @@ def stratified_bootstrap_ci(df: DataFrame, **kw) -> DataFrame:
 
 def class_bootstrap_ci(df: DataFrame, b: int = 2000, seed: int = 1, key: str = "key", y: str = "y", s: str = "score") -> DataFrame:
     """Percentile interval of the plain AUC, resampling within each class."""
-    drawn, n = draws(df.select(key, y, s), [y], key, b, seed)
-    return _interval(weighted_auc(drawn, y, s, by=["b"], rows=n), [], "auc")
+    return _interval(weighted_auc(draws(df.select(key, y, s), [y], key, b, seed), y, s, by=["b"]), [], "auc")
 
 
 def paired_bootstrap(df: DataFrame, a: str, c: str, strata: Sequence[str] = (), b: int = 2000, seed: int = 1,
@@ -71,9 +68,9 @@ def paired_bootstrap(df: DataFrame, a: str, c: str, strata: Sequence[str] = (),
     With ``strata`` the draw keeps the size of each stratum (the per-cohort form).
     """
     cols = list(dict.fromkeys([key, y, a, c, *strata]))
-    drawn, n = draws(df.select(*cols), strata, key, b, seed)
+    drawn = draws(df.select(*cols), strata, key, b, seed)
     long = drawn.select("b", y, F.explode(_both(a, c)).alias("x")).select("b", y, "x.*")
-    both = rank_areas(long, y, "score", by=["b", "model"], rows=2 * n)
+    both = rank_areas(long, y, "score", by=["b", "model"])
     pick = lambda m, v: F.max(F.when(F.col("model") == m, F.col(v)))
     return both.groupBy("b").agg((pick("a", "auc") - pick("c", "auc")).alias("d_roc"),
                                  F.when(pick("a", "auc").isNotNull(), pick("a", "pr_auc") - pick("c", "pr_auc")).alias("d_pr"))

@@ -48,7 +48,7 @@ def abs_corr_matrix(vectors: DataFrame, features: str, by: Sequence[str] = ()) -
         d = same_keys(vectors.select(*by, F.col(features).alias("_f")), centre, by)
     else:
         d = vectors.select(F.col(features).alias("_f")).withColumn("_c", centre.scalar())
-    group = F.concat_ws("|", *by) if by else F.lit("")
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
     d = d.select(group.alias("g"), F.zip_with("_f", "_c", lambda x, c: x - c).alias("x"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -157,12 +157,20 @@ def farthest_points(df: DataFrame, bag: str, inst: str, features: str, k: int =
     return reduce(DataFrame.unionByName, [start, *[p.select("bag", "pick", "inst") for p in picks]])
 
 
-def fixed_bins(df: DataFrame, by: Sequence[str], value: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Histogram on fixed edges; the last bin includes its upper edge, values outside are dropped."""
+def fixed_bins(df: DataFrame, by: Sequence[str], value: str, lo: float | None, hi: float | None, bins: int) -> DataFrame:
+    """Histogram on equal bins from ``lo`` to ``hi``; an edge not given is the extreme of the data.
+
+    The last bin includes its upper edge. Values below the edges count in bin -1, values above in bin ``bins``; NULL values have a NULL bin.
+    """
     v = F.col(value)
-    inside = df.where((v >= lo) & (v <= hi))
-    b = F.least(F.floor((v - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
-    return inside.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first() if lo is None or hi is None else None
+    lo, hi = (ends["lo"] if lo is None else lo), (ends["hi"] if hi is None else hi)
+    if lo is None or hi is None:
+        return df.groupBy(*by, F.lit(None).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    lo, hi = float(lo), float(hi)
+    width = (hi - lo) / bins or 1.0
+    b = F.when(v.isNull(), None).when(v < lo, -1).when(v > hi, bins).otherwise(F.least(F.floor((v - lo) / width), F.lit(bins - 1))).cast("int")
+    return df.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, n: int, seed: int = 1) -> DataFrame:

@@ -148,10 +148,16 @@ def _(spark, sf):
     return Wn.top_n_per_key(c, ["event_type"], [F.col("n").desc(), F.col("user_id")], 12)
 
 
-@query("decile_strips", sql="""SELECT l_returnflag, least(floor((l_extendedprice - 0) / (100000.0 / 10)), 9)::INT AS bin, count(*) AS n FROM lineitem
-  WHERE l_extendedprice BETWEEN 0 AND 100000 GROUP BY ALL""")
+@query("decile_strips", sql="""SELECT l_returnflag, least(floor((l_extendedprice - 0.0) / ((hi - 0.0) / 10)), 9)::INT AS bin, count(*) AS n
+  FROM lineitem, (SELECT max(l_extendedprice)::DOUBLE AS hi FROM lineitem) GROUP BY ALL""")
 def _(spark, sf):
-    return Wn.fixed_bins(tb(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.0, 100000.0, 10)
+    return Wn.fixed_bins(tb(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.0, None, 10)
+
+
+@query("outside_strips", sql="""SELECT l_linestatus, CASE WHEN l_quantity < 10 THEN -1 WHEN l_quantity > 40 THEN 6 ELSE least(floor((l_quantity - 10) / 5.0), 5) END::INT AS bin,
+  count(*) AS n FROM lineitem GROUP BY ALL""")
+def _(spark, sf):
+    return Wn.fixed_bins(tb(spark, sf, "lineitem"), ["l_linestatus"], "l_quantity", 10.0, 40.0, 6)
 
 
 HASH = "('0x' || substr(md5({seed} || '|' || {key}), 1, 15))::BIGINT"

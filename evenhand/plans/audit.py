@@ -97,7 +97,7 @@ def _(spark, sf):
 FP = "sum(('0x' || substr(md5({}), 1, 15))::BIGINT::DECIMAL(38, 0))::DECIMAL(38, 0)::VARCHAR"
 
 
-@query("frame_fingerprint", sql=f"SELECT {FP.format('o_orderkey || chr(124) || o_orderstatus || chr(124) || o_orderpriority')} AS fingerprint, count(*) AS n FROM orders")
+@query("frame_fingerprint", sql=f"SELECT {FP.format(" || ".join(f"length({c}::VARCHAR) || ':' || {c}" for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")))} AS fingerprint, count(*) AS n FROM orders")
 def _(spark, sf):
     return Q.frame_fingerprint(tb(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 

@@ -7,14 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows one sorted window cell may hold before a group is cut into value ranges.
-CELL_ROWS_CONF = "spark.evenhand.cellRows"
-CELL_ROWS_DEFAULT = 1_000_000
-
-
-def cell_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(CELL_ROWS_CONF, str(CELL_ROWS_DEFAULT)))
-
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "evenhand") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -40,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     fresh = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(fresh)

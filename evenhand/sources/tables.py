@@ -24,9 +24,13 @@ def read_json_listing(spark: SparkSession, path: str, schema: str, multi_line: b
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
-def read_entity_records(spark: SparkSession, path: str, schema: str, columns: dict[str, str]) -> DataFrame:
-    """One nested record per entity, flattened by ``columns`` (output name to path), with the source file name."""
-    rec = spark.read.schema(schema).json(path)
+def read_entity_records(spark: SparkSession, path: str, schema: str, columns: dict[str, str], multi_line: bool = False) -> DataFrame:
+    """One nested record per entity, flattened by ``columns`` (output name to path), with the source file name.
+
+    Records stand one per line, or with ``multi_line`` one per file, indented as they may be. A file that holds no record
+    fails the query.
+    """
+    rec = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     return rec.select(*[F.col(p).alias(n) for n, p in columns.items()],
                       F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"))
 

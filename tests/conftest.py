@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from evenhand.session import CELL_ROWS_CONF, local_session  # noqa: E402
+from evenhand.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,10 +15,14 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(params=["window", "cells"])
+@pytest.fixture(params=["one cell", "many cells"])
 def both_paths(request, spark):
-    """Runs a test with the plain window and again with groups cut into small value cells."""
-    if request.param == "cells":
-        spark.conf.set(CELL_ROWS_CONF, "7")
+    """Runs a test with ranges merged into one cell and again with five small ones."""
+    many = request.param == "many cells"
+    if many:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield request.param
-    spark.conf.unset(CELL_ROWS_CONF)
+    if many:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

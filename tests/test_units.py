@@ -138,8 +138,8 @@ def test_holdout_bounds(spark):
 
 
 def test_bootstrap_keeps_stratum_sizes(obs):
-    d, n = B.draws(obs, ["site", "y"], "key", 5, 1)
-    assert n == 5 * obs.count()
+    d = B.draws(obs, ["site", "y"], "key", 5, 1)
+    assert d.count() == 5 * obs.count()
     sizes = obs.groupBy("site", "y").count()
     drawn = d.groupBy("b", "site", "y").agg(F.count(F.lit(1)).alias("m"))
     assert drawn.join(sizes, ["site", "y"]).where("m <> count").count() == 0
@@ -404,14 +404,55 @@ def test_gate_needs_both_conditions_and_known_metrics(spark):
     assert got == {1: False, 2: True, 3: False}
 
 
-def test_hot_group_is_split_into_cells(spark):
-    """One site with most rows: no (site, cell) pair may hold more than a few cells' worth."""
-    from evenhand.session import CELL_ROWS_CONF
+def test_text_keys_and_ties_rank_alike_in_any_number_of_cells(spark, both_paths):
+    d = spark.range(500).select(F.when(F.col("id") % 10 < 9, "hot").alias("site"), F.concat(F.lit("k"), F.col("id") % 3).alias("v"), F.col("id").cast("string").alias("tie"))
+    got = core.row_numbers(d, ["site"], "v", ["tie"], out="rn", total="n").collect()
+    rows = [(r["site"], r["v"], r["tie"]) for r in d.collect()]
+    for site in ("hot", None):
+        own = sorted(r for r in rows if r[0] == site) if site else sorted(((r[1], r[2]) for r in rows if r[0] is None))
+        own = [r[-2:] for r in own]
+        assert [(r["v"], r["tie"]) for r in sorted((g for g in got if g["site"] == site), key=lambda r: r["rn"])] == own
+        assert {r["n"] for r in got if r["site"] == site} == {len(own)}
 
-    d = spark.range(4000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("site"), (F.col("id") * 37 % 4001).cast("double").alias("v"))
-    spark.conf.set(CELL_ROWS_CONF, "200")
-    try:
-        celled, cut = core.value_cells(d, "v")
-        assert cut and celled.groupBy("site", "_cell").count().agg(F.max("count")).first()[0] <= 400
-    finally:
-        spark.conf.unset(CELL_ROWS_CONF)
+
+def test_equal_scores_fill_several_cells(spark, both_paths):
+    d = spark.range(400).select(F.lit("a").alias("bag"), F.lit(0.25).alias("w"), F.col("id").alias("inst"))
+    r = Wn.concentration(d, "bag", "w", "inst").first()
+    assert r["n"] == 400 and abs(r["top_mass"] - 10.0) < 1e-9
+
+
+def test_apply_refuses_an_unseen_site(spark):
+    d = spark.createDataFrame([(i, s, i % 2, f, float(i * 7 % 5 + f)) for i in range(12) for s in "ab" for f in range(3)], "key int, site string, y int, feature int, value double")
+    params = H.combat_fit(d.where("site = 'a'"), eb=False)
+    with pytest.raises(Exception, match="no harmoniser state for site b"):
+        H.combat_apply(d, params).collect()
+    assert H.combat_apply(d.where("site = 'a'"), params).count() == 36
+
+
+def test_draws_keep_strata_with_bars_and_nulls_apart(spark):
+    from evenhand.operators.resample import draws
+
+    rows = [(1, "a|b", "c"), (2, "a", "b|c"), (3, None, "a"), (4, "a", None), (5, None, "a"), (6, "a", None)]
+    got = draws(spark.createDataFrame(rows, "key int, s string, t string"), ["s", "t"], "key", 3, 1)
+    assert got.count() == 18
+    assert got.groupBy("b", "s", "t").count().where("count NOT IN (1, 2)").count() == 0
+
+
+def test_indented_records_are_read(spark, tmp_path):
+    from evenhand.sources.tables import read_entity_records
+
+    for i in range(3):
+        (tmp_path / f"r{i}.json").write_text('{\n  "id": %d,\n  "meta": {\n    "kind": "x"\n  }\n}\n' % i)
+    d = read_entity_records(spark, str(tmp_path), "id int, meta struct<kind:string>", {"id": "id", "kind": "meta.kind"}, multi_line=True)
+    assert sorted(r["id"] for r in d.collect()) == [0, 1, 2]
+
+
+def test_fingerprint_tells_fields_apart(spark):
+    one = lambda a, b: Q.frame_fingerprint(spark.createDataFrame([(a, b)], "x string, y string")).first()["fingerprint"]
+    assert len({one("a|b", "c"), one("a", "b|c"), one(None, "c"), one("<null>", "c"), one("a1:b", ""), one("", "a1:b")}) == 6
+
+
+def test_fixed_bins_keep_every_row(spark):
+    d = spark.createDataFrame([(v,) for v in (-5.0, 0.0, 9.9, 10.0, 11.0, None)], "v double")
+    assert {r["bin"]: r["n"] for r in Wn.fixed_bins(d, [], "v", 0.0, 10.0, 2).collect()} == {-1: 1, 0: 1, 1: 2, 2: 1, None: 1}
+    assert sum(r["n"] for r in Wn.fixed_bins(d, [], "v", None, None, 4).collect()) == 6
