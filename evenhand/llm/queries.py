@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from evenhand.llm import oracle
 from evenhand.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -78,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dups, op3_decontamination, op4_secrets, op5_line_dedup, op6_token_files,
                             op7_bpe_round_trip, op8_token_counts, op9_quality_rules, op10_repeated_strings)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_ngram_jaccard": oracle.NGRAM_JACCARD, "op2_embedding_near_dups": oracle.NEAR_VECTORS, "op3_decontamination": oracle.DECONTAMINATION, "op5_line_dedup": oracle.LINES}
