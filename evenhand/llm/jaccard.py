@@ -120,7 +120,7 @@ def postings(docs: DataFrame, frequent, buckets: int, k: int, limit: int) -> Dat
 
 
 def groups_of(rows: DataFrame, parts: int) -> DataFrame:
-    """(gid, chunk, chunks, members): the distinct sets of classes that share a leading shingle."""
+    """(gid, chunk, chunks, shared, members): the distinct sets of classes that share leading shingles, and how many they share."""
 
     def close(tokens, classes):
         t = np.frombuffer(b"".join(tokens), "<u4")
@@ -139,16 +139,17 @@ def groups_of(rows: DataFrame, parts: int) -> DataFrame:
             return
         size = np.diff(np.r_[head, len(t)])
         gid = mix(np.add.reduceat(mix(c.view(U)), head) + size.astype(U)).view(np.int64)
-        _, first = np.unique(gid, return_index=True)
-        out = ([], [], [], [])
-        for g in first[size[first] > 1].tolist():
+        _, first, times = np.unique(gid, return_index=True, return_counts=True)
+        out = ([], [], [], [], [])
+        for g, shared in zip(first[size[first] > 1].tolist(), times[size[first] > 1].tolist()):
             a, n = head[g], size[g]
             for j in range(0, n, BLOCK):
-                for col, x in zip(out, (gid[g], j // BLOCK, -(-n // BLOCK), c[a + j: a + min(n, j + BLOCK)])):
+                for col, x in zip(out, (gid[g], j // BLOCK, -(-n // BLOCK), shared, c[a + j: a + min(n, j + BLOCK)])):
                     col.append(x)
         if out[0]:
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in out[3]])].astype(np.int32)), pa.array(np.concatenate(out[3])))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), lists], names=["gid", "chunk", "chunks", "members"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in out[4]])].astype(np.int32)), pa.array(np.concatenate(out[4])))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), lists],
+                                             names=["gid", "chunk", "chunks", "shared", "members"])
 
     def run(batches):
         bucket, tokens, classes = None, [], []
@@ -164,12 +165,63 @@ def groups_of(rows: DataFrame, parts: int) -> DataFrame:
             yield from close(tokens, classes)
 
     dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "gid long, chunk int, chunks int, members array<long>").dropDuplicates(["gid", "chunk"])
+    made = dealt.mapInArrow(run, "gid long, chunk int, chunks int, shared long, members array<long>")
+    return made.groupBy("gid", "chunk").agg(F.first("chunks").alias("chunks"), F.sum("shared").alias("shared"), F.first("members").alias("members"))
+
+
+def possible(groups: DataFrame, sizes: DataFrame, parts: int, limit: int) -> DataFrame:
+    """(gid, chunk, chunks, cls): the members of each group that may have a partner in it.
+
+    Of two sets, all common shingles up to the end of the shorter lead are counted in both leads, so their overlap is at
+    most the number of leading shingles they share and what follows the longer lead. A class shares at most as
+    many as it has in all its groups. Groups of several chunks keep all members.
+    """
+    members = groups.select("gid", "chunk", "chunks", "shared", F.explode("members").alias("cls"))
+    shares = members.groupBy("cls").agg(F.sum("shared").alias("most")).join(sizes.select(F.col("cls").alias("_c"), "n"), F.col("cls") == F.col("_c")).select("_c", "most", "n")
+    rows = members.join(shares, F.col("cls") == F.col("_c")).select("gid", "chunk", "chunks", "cls", "most", "n")
+
+    def close(cls, most, n):
+        cls, most, n = np.array(cls), np.array(most), np.array(n)
+        after = -(-limit * n // 100) - 1
+        least, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+        overlap = np.minimum(most[:, None], most[None, :]) + np.maximum(after[:, None], after[None, :])
+        ok = (100 * least >= limit * large) & ((100 + limit) * overlap >= limit * (n[:, None] + n[None, :]))
+        np.fill_diagonal(ok, False)
+        return cls[ok.any(axis=1)].tolist()
+
+    def run(batches):
+        def flush():
+            kept = group[0] if key[2] > 1 else close(*group)
+            for c, x in zip(out, key):
+                c += [x] * len(kept)
+            out[3].extend(kept)
+
+        def made():
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gid", "chunk", "chunks", "cls"])
+
+        key, group, out = None, ([], [], []), ([], [], [], [])
+        for batch in batches:
+            for gid, chunk, chunks, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (gid, chunk, chunks) != key:
+                    if group[0]:
+                        flush()
+                    key, group = (gid, chunk, chunks), ([], [], [])
+                for c, x in zip(group, row):
+                    c.append(x)
+            if len(out[0]) > 100_000:
+                yield made()
+                out = ([], [], [], [])
+        if group[0]:
+            flush()
+        yield made()
+
+    return rows.repartition(parts, "gid", "chunk").sortWithinPartitions("gid", "chunk").mapInArrow(run, "gid long, chunk int, chunks int, cls long")
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    """Two to four bits per shingle, a power of two of 64-bit words."""
-    size = 1 << max(0, (2 * len(own) - 1).bit_length() - 6)
+    """Four to eight bits per shingle, a power of two of 64-bit words."""
+    size = 1 << max(0, (4 * len(own) - 1).bit_length() - 6)
     out = np.zeros(size, U)
     bit = own % U(64 * size)
     np.bitwise_or.at(out, (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
@@ -360,15 +412,17 @@ def candidates(rows: DataFrame, parts: int, limit: int, star: bool) -> DataFrame
 
 
 def verified(pairs: DataFrame, sets: DataFrame, parts: int, limit: int) -> DataFrame:
-    """The pairs (a, b) at or above the limit. Pairs of one ``a`` are verified together, so its set moves once."""
+    """The pairs (a, b) at or above the limit, their ends perhaps exchanged."""
     own = sets.select(F.col("cls").alias("_c"), "n", "shingles")
-    right = pairs.join(own, F.col("b") == F.col("_c")).select("a", "b", "n", "shingles")
-    left = pairs.select("a").distinct().join(own, F.col("a") == F.col("_c")).select("a", F.lit(None).cast("long").alias("b"), "n", "shingles")
-    # A class with very many partners is dealt over several tasks, with a copy of its set for each.
-    salts = 16
-    right = right.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    used = right.select("a", "salt").distinct()
-    left = left.join(used.select(F.col("a").alias("_a"), "salt"), F.col("a") == F.col("_a")).drop("_a")
+    # Every pair goes to the end with more pairs, whose set then moves once for up to 64 of them.
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("k"))
+    of = lambda c: degree.select(F.col("_d").alias(f"_{c}"), F.col("k").alias(f"k{c}"))
+    both = pairs.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
+    turn = F.col("ka") >= F.col("kb")
+    turned = both.select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("ka", "kb").alias("k"))
+    turned = cut_lineage(turned.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / 64)).cast("int").alias("salt")))
+    right = turned.join(own, F.col("b") == F.col("_c")).select("a", "salt", "b", "n", "shingles")
+    left = turned.select("a", "salt").distinct().join(own, F.col("a") == F.col("_c")).select("a", "salt", F.lit(None).cast("long").alias("b"), "n", "shingles")
 
     def run(batches):
         key, n, own = None, 0, None
@@ -387,8 +441,7 @@ def verified(pairs: DataFrame, sets: DataFrame, parts: int, limit: int) -> DataF
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
-    both = left.select("a", "salt", "b", "n", "shingles").unionAll(right.select("a", "salt", "b", "n", "shingles"))
-    dealt = both.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    dealt = left.unionAll(right).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -402,7 +455,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
     often = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
     late = np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64).view(U))  # FREQUENT numbers at most
     groups = cut_lineage(groups_of(postings(docs, spark.sparkContext.broadcast(late), parts, k, limit), parts))
-    members = groups.select("gid", "chunk", "chunks", F.explode("members").alias("cls"))
+    members = cut_lineage(possible(groups, table.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n")), parts, limit))
     wanted = members.select("cls").distinct()
     of_class = table.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("doc"))
     needed = of_class.join(wanted.select(F.col("cls").alias("_c")), F.col("cls") == F.col("_c"), "left_semi")
