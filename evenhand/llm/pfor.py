@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.llm.bpe import encoder
-from evenhand.llm.common import slices, strings
+from evenhand.llm.common import slices
 from evenhand.session import scratch_path
 
 MAGIC = b"PFORIDS1"
@@ -168,7 +168,7 @@ def write_tokens(df: DataFrame, path: str, root: str, key: str = "doc_id", text:
         small = "<u2" if max(enc.names) < 1 << 16 and end_id < 1 << 16 else "<u4"
         for batch in batches:
             for part in slices(batch, "_text"):
-                flat, counts = enc.ids(strings(part.column("_text")))
+                flat, counts = enc.ids(part.column("_text"))
                 ends = np.cumsum(counts)
                 with_end = np.insert(flat, ends, end_id).astype(small)
                 stops = (ends + np.arange(1, len(ends) + 1)) * with_end.itemsize
