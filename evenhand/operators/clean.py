@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions import expr as E
+from evenhand.operators.core import same_keys
 
 
 def select_block(df: DataFrame, keys: Sequence[str], prefixes: Sequence[str], exclude: Sequence[str] = (),
@@ -31,8 +32,15 @@ def prefix_columns(df: DataFrame, block: str, keys: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({c: f"{block}__{c}" for c in df.columns if c not in keys})
 
 
-def with_entity_key(df: DataFrame, site: str, local_id: str) -> DataFrame:
-    return df.withColumn("key", E.entity_key(site, local_id))
+def with_entity_key(df: DataFrame, site: str, local_id: str, fail: bool = False) -> DataFrame:
+    """``df`` with the key of site and local id; with ``fail`` a local id that two sites use, or a NULL site, fails the query."""
+    if not fail:
+        return df.withColumn("key", E.entity_key(site, local_id))
+    seen = df.groupBy(local_id).agg(F.min(site).alias("_first"), F.max(site).alias("_last"))
+    both = same_keys(df, seen, [local_id], "left")
+    clash = F.raise_error(F.concat(F.lit("local id of several sites: "), F.coalesce(F.col(local_id).cast("string"), F.lit("NULL")))).cast("string")
+    key = F.when(F.col(site).isNotNull() & F.col("_first").eqNullSafe(F.col("_last")), E.entity_key(site, local_id)).otherwise(clash)
+    return both.withColumn("key", key).drop("_first", "_last")
 
 
 def id_collisions(df: DataFrame, site: str, local_id: str) -> DataFrame:

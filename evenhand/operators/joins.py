@@ -50,12 +50,14 @@ def membership_join(a: DataFrame, b: DataFrame, key: str, compare: Sequence[str]
     return j.select(key, tag.alias("membership"), *[f"{c}_a" for c in compare], *[f"{c}_b" for c in compare], *same)
 
 
-def paired_predictions(a: DataFrame, b: DataFrame, key: str, label: str, score: str) -> DataFrame:
-    """Inner pair of two prediction tables; ``sound`` is false on duplicate keys or label disagreement."""
+def paired_predictions(a: DataFrame, b: DataFrame, key: str, label: str, score: str, fail: bool = False) -> DataFrame:
+    """Inner pair of two prediction tables; ``sound`` is false on duplicate keys or label disagreement, and with ``fail`` such a row fails the query."""
     dup = lambda d, n: d.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{n}"), F.min(label).alias(f"y_{n}"),
                                           F.min(score).alias(f"p_{n}"))
     j = dup(a, "a").join(dup(b, "b"), key)
     ok = (F.col("n_a") == 1) & (F.col("n_b") == 1) & F.col("y_a").eqNullSafe(F.col("y_b"))
+    if fail:
+        ok = F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("unsound pair: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))).cast("boolean"))
     return j.select(key, F.col("y_a").alias(label), F.col("p_a").alias("pa"), F.col("p_b").alias("pb"), ok.alias("sound"))
 
 

@@ -92,8 +92,8 @@ def corr_prune_topk(ranked: DataFrame, corr: DataFrame, by: Sequence[str] = (),
     rows = same_keys(ranked.select(*by, "feature", "rank"), clash, [*by, "feature"], "left")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        taken: set[int] = set()
+        kept: list = []
+        taken: set = set()
         for f, bad in pdf.sort_values("rank")[["feature", "clash"]].itertuples(index=False):
             if len(kept) >= kmax:
                 break
@@ -104,7 +104,7 @@ def corr_prune_topk(ranked: DataFrame, corr: DataFrame, by: Sequence[str] = (),
         head = {c: pdf[c].iloc[0] for c in by}
         return pd.DataFrame({**head, "feature": kept, "position": range(1, len(kept) + 1)})
 
-    schema = ", ".join([*[f"{c} {ranked.schema[c].dataType.simpleString()}" for c in by], "feature int", "position int"])
+    schema = ", ".join([*[f"{c} {ranked.schema[c].dataType.simpleString()}" for c in by], f"feature {ranked.schema['feature'].dataType.simpleString()}", "position int"])
     return rows.groupBy(*by).applyInPandas(walk, schema)
 
 
@@ -138,5 +138,5 @@ def mrmr_rank(f: DataFrame, corr: DataFrame, by: Sequence[str] = (), k: int = 10
         return pd.DataFrame(out, columns=["feature", "position", "relevance", "redundancy", "score"]).assign(**head)
 
     schema = ", ".join([*[f"{c} {f.schema[c].dataType.simpleString()}" for c in by],
-                        "feature int, position int, relevance double, redundancy double, score double"])
+                        f"feature {f.schema['feature'].dataType.simpleString()}, position int, relevance double, redundancy double, score double"])
     return rows.groupBy(*by).applyInPandas(lambda pdf: greedy(pdf)[[*by, "feature", "position", "relevance", "redundancy", "score"]], schema)

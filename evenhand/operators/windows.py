@@ -50,7 +50,7 @@ def seed_average(oof: DataFrame, key: Sequence[str], seed: str, value: str, eps:
 def pick_probes(df: DataFrame, key: str, size: str, n: int = 6) -> DataFrame:
     """Smallest, largest, first, last and the rows at 1/3 and 2/3 by key, then fill by key; at most ``n`` distinct rows."""
     num = row_numbers(df.select(key, size), [], key, out="_i", total="_n")
-    lo = num.agg(F.min_by(key, F.struct(size, key)).alias("a"), F.max_by(key, F.struct(F.col(size), -F.col(key))).alias("b"))
+    lo = num.agg(F.min_by(key, F.struct(size, key)).alias("a"), F.min_by(key, F.struct(-F.col(size), F.col(key))).alias("b"))
     num = num.withColumn("_e", lo.select(F.struct("a", "b")).scalar())
     at = lambda f: F.bround((F.col("_n") - 1) * f) + 1
     why = F.coalesce(F.when(F.col(key) == F.col("_e.a"), 1), F.when(F.col(key) == F.col("_e.b"), 2),

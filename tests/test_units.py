@@ -456,3 +456,29 @@ def test_fixed_bins_keep_every_row(spark):
     d = spark.createDataFrame([(v,) for v in (-5.0, 0.0, 9.9, 10.0, 11.0, None)], "v double")
     assert {r["bin"]: r["n"] for r in Wn.fixed_bins(d, [], "v", 0.0, 10.0, 2).collect()} == {-1: 1, 0: 1, 1: 2, 2: 1, None: 1}
     assert sum(r["n"] for r in Wn.fixed_bins(d, [], "v", None, None, 4).collect()) == 6
+
+
+def test_text_features_and_keys(spark):
+    ranked = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "feature string, rank int")
+    corr = spark.createDataFrame([("a", "b", 0.95), ("a", "c", 0.1), ("b", "c", 0.2)], "i string, j string, r double")
+    assert [r["feature"] for r in S.corr_prune_topk(ranked, corr).orderBy("position").collect()] == ["a", "c"]
+    f = spark.createDataFrame([("a", 5.0), ("b", 4.9), ("c", 1.0)], "feature string, f double")
+    assert [r["feature"] for r in S.mrmr_rank(f, corr, k=3).orderBy("position").collect()] == ["a", "b", "c"]
+    sizes = spark.createDataFrame([(f"k{i}", float(i % 4)) for i in range(9)], "key string, size double")
+    got = {r["key"]: r["priority"] for r in Wn.pick_probes(sizes, "key", "size").collect()}
+    assert got["k0"] == 1 and got["k3"] == 2 and len(got) == 6
+
+
+def test_violated_expectations_fail_on_request(spark):
+    from evenhand.operators.clean import with_entity_key
+
+    d = spark.createDataFrame([("x", "1"), ("y", "1"), ("x", "2")], "site string, id string")
+    assert with_entity_key(d, "site", "id").count() == 3
+    with pytest.raises(Exception, match="local id of several sites: 1"):
+        with_entity_key(d, "site", "id", fail=True).collect()
+    assert with_entity_key(d.where("id = '2'"), "site", "id", fail=True).count() == 1
+    a = spark.createDataFrame([(1, 0, 0.2), (2, 1, 0.5)], "key int, y int, score double")
+    b = spark.createDataFrame([(1, 0, 0.3), (2, 0, 0.4)], "key int, y int, score double")
+    assert J.paired_predictions(a, b, "key", "y", "score").where("NOT sound").count() == 1
+    with pytest.raises(Exception, match="unsound pair: 2"):
+        J.paired_predictions(a, b, "key", "y", "score", fail=True).collect()
