@@ -26,7 +26,8 @@ from evenhand.session import cut_lineage
 LIMIT = 75
 TOKEN = 44  # bits of a shingle
 PAIRS = 1 << 21  # pairs looked at together
-HEAVY = 4096  # lines of one shingle in one task; beyond, blocks of them are dealt out
+HEAVY = 32  # lines of one shingle that are paired at once; beyond, the earliest comes first
+BLOCK = 2048  # lines of one shingle in one task
 U = np.uint64
 
 
@@ -229,34 +230,51 @@ def chunked(many: np.ndarray):
         at = stop
 
 
+def passes(nx: str, rx: str, ny: str, ry: str):
+    """``close_pairs`` as a column."""
+    small, large = F.least(nx, ny), F.greatest(nx, ny)
+    most = F.least(F.col(nx) - F.col(rx), F.col(ny) - F.col(ry))
+    return ((100 * small >= LIMIT * large) & ((100 + LIMIT) * most >= LIMIT * (F.col(nx) + F.col(ny)))) | (large == TOP)
+
+
+def first_meetings(records: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of each line of a heavy shingle with the earliest line of it, and the earliest (token, hub)."""
+    placed = records.join(firsts.select(F.col("cls").alias("_c"), "at"), F.col("a") == F.col("_c")).drop("_c")
+    hubs = placed.groupBy(F.col("token").alias("_t")).agg(F.min_by(F.struct("a", "n", "rank"), "at").alias("h")).select("_t", F.col("h.a").alias("hub"), F.col("h.n").alias("hn"), F.col("h.rank").alias("hr"))
+    met = records.join(hubs, F.col("token") == F.col("_t")).where((F.col("a") != F.col("hub")) & passes("n", "rank", "hn", "hr"))
+    return met.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")), hubs.select("_t", "hub")
+
+
 def heavy_meetings(records: DataFrame, parts: int) -> DataFrame:
-    """(a, b) pairs of heavy shingles: every pair of blocks of a shingle's lines is a group of its own."""
-    sizes = records.groupBy(F.col("token").alias("_t")).agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("blocks"))
+    """(a, b) pairs of heavy shingles with an ``open`` line: every pair of blocks of a shingle's lines is a group of its own."""
+    sizes = records.groupBy(F.col("token").alias("_t")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.bool_or("open").alias("_any")).where("_any").drop("_any")
     cut = records.join(sizes, F.col("token") == F.col("_t")).withColumn("own", F.pmod(F.xxhash64("a", F.lit(3)), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "a", "n", "rank")
+    cut = cut.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "a", "n", "rank", "open")
 
     def close(key, group):
-        left, cls, n, rank = (np.array(c) for c in group)
+        left, cls, n, rank, open_ = (np.array(c) for c in group)
         r = np.empty(len(cls), RECORD)
         r["cls"], r["n"], r["rank"], r["token"] = cls, n, rank, 0
-        x, y = r[left], r if key[1] == key[2] else r[~left]
-        for at in range(0, len(x), max(1, PAIRS // max(1, len(y)))):
-            part = x[at: at + max(1, PAIRS // max(1, len(y)))]
-            a, b = np.repeat(part, len(y)), np.tile(y, len(part))
-            ok = close_pairs(a, b)
-            if ok.any():
-                yield pair_batch(a["cls"][ok], b["cls"][ok])
+        sides = [(r[open_], r)] if key[1] == key[2] else [(r[left & open_], r[~left]), (r[~left & open_], r[left])]
+        for x, y in sides:
+            step = max(1, PAIRS // max(1, len(y)))
+            for at in range(0, len(x), step):
+                part = x[at: at + step]
+                a, b = np.repeat(part, len(y)), np.tile(y, len(part))
+                ok = close_pairs(a, b)
+                if ok.any():
+                    yield pair_batch(a["cls"][ok], b["cls"][ok])
 
     def run(batches):
-        key, group = None, ([], [], [], [])
+        key, group = None, ([], [], [], [], [])
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j")))
-            for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("left", "a", "n", "rank")))):
+            for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("left", "a", "n", "rank", "open")))):
                 if k != key:
                     if group[0]:
                         yield from close(key, group)
-                    key, group = k, ([], [], [], [])
+                    key, group = k, ([], [], [], [], [])
                 for c, x in zip(group, row):
                     c.append(x)
         if group[0]:
@@ -289,7 +307,7 @@ def sets_of(docs: DataFrame, bloom, texts) -> DataFrame:
     return docs.mapInArrow(run, "cls long, n long, shingles binary")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the limit."""
     x = sets.select(F.col("cls").alias("_x"), F.col("n").alias("nx"), F.col("shingles").alias("sx"))
     y = sets.select(F.col("cls").alias("_y"), F.col("n").alias("ny"), F.col("shingles").alias("sy"))
@@ -321,19 +339,30 @@ def decisions(docs: DataFrame) -> DataFrame:
     often = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
     late = np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64).view(U))  # FREQUENT numbers at most
     met = cut_lineage(meetings(postings(docs, spark.sparkContext.broadcast(late), parts), parts))
-    pairs = met.where("b is not null").select("a", "b").unionAll(heavy_meetings(met.where("b is null").select("a", "token", "n", "rank"), parts)).distinct()
-    pairs = cut_lineage(pairs)
     each = table.select("doc", "uid", F.posexplode("classes").alias("line", "cls")).where("cls <> 0")
     firsts = cut_lineage(each.groupBy("cls").agg(F.min(F.struct("doc", "uid", "line")).alias("at")))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct()
+    # Lines of a heavy shingle first meet its earliest line alone.
+    heavy = met.where("b is null").select("a", "token", "n", "rank").distinct()
+    star, hubs = first_meetings(heavy, firsts)
+    pairs = cut_lineage(met.where("b is not null").select("a", "b").unionAll(star).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_c")).unionAll(heavy.select("a")).distinct()
     needed = firsts.join(wanted, F.col("cls") == F.col("_c"), "left_semi").select("cls", F.col("at.uid").alias("uid"))
     bloom = spark.sparkContext.broadcast(bloom_of(needed.select(F.col("cls").alias("doc"))))
     texts = spark.sparkContext.broadcast(bloom_of(needed.select(F.col("uid").alias("doc"))))
     sets = cut_lineage(sets_of(docs, bloom, texts).dropDuplicates(["cls"]))
-    equal = similar(pairs, sets, parts)
     at = firsts.select(F.col("cls").alias("_c"), "at")
-    placed = equal.join(at, F.col("a") == F.col("_c")).select("a", "b", F.col("at").alias("at_a")).join(at, F.col("b") == F.col("_c"))
-    beaten = placed.select(F.when(F.col("at_a") < F.col("at"), F.col("b")).otherwise(F.col("a")).alias("_late")).distinct()
+
+    def later(some: DataFrame) -> DataFrame:
+        placed = similar(some, sets).join(at, F.col("a") == F.col("_c")).select("a", "b", F.col("at").alias("at_a")).join(at, F.col("b") == F.col("_c"))
+        return cut_lineage(placed.select(F.when(F.col("at_a") < F.col("at"), F.col("b")).otherwise(F.col("a")).alias("_late")).distinct())
+
+    # The later line of a pair is decided. Lines still open then meet all others of their shingles.
+    beaten = later(pairs)
+    still = heavy.join(beaten.withColumn("_beaten", F.lit(True)), F.col("a") == F.col("_late"), "left").join(hubs, F.col("token") == F.col("_t"))
+    still = still.select("a", "token", "n", "rank", (F.col("_beaten").isNull() & (F.col("a") != F.col("hub"))).alias("open"))
+    rest = heavy_meetings(cut_lineage(still), parts).distinct()
+    rest = rest.join(pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    beaten = beaten.unionAll(later(rest)).distinct()
     stays = firsts.join(beaten, F.col("cls") == F.col("_late"), "left_anti")
     kept = stays.groupBy(F.col("at.uid").alias("_u")).agg(F.collect_list("at.line").alias("kept"))
     lines = F.filter(F.transform("classes", lambda c, i: F.when(c != 0, i)), lambda i: i.isNotNull())

@@ -82,7 +82,7 @@ def test_signature_bounds_never_lose_a_link():
                 assert frozenset((a, b)) in found
 
 
-@pytest.mark.parametrize("heavy", [4096, 1])
+@pytest.mark.parametrize("heavy", [32, 1])
 def test_lines_against_all_pairs(spark, monkeypatch, heavy):
     monkeypatch.setattr(lines, "HEAVY", heavy)
     rows = [r for r in texts(spark, 100) if r[0] is not None]
