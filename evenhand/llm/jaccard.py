@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import flat_bytes, mix, slices
@@ -33,6 +34,7 @@ COUNTED = 1 << 22  # shingles a task counts at a time
 OFTEN = 4  # occurrences among those from which a shingle is reported
 BLOCK = 1024
 LEAF, FAN = 16, 8
+STARS = 4  # groups in which a class meets the centre before all others
 BLOOM_WORDS = 1 << 18  # 64-bit words of the filter for texts whose sets are needed
 U = np.uint64
 
@@ -170,7 +172,7 @@ def groups_of(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def possible(groups: DataFrame, sizes: DataFrame, parts: int, limit: int) -> DataFrame:
-    """(gid, chunk, chunks, cls): the members of each group that may have a partner in it.
+    """(gid, chunk, chunks, cls, size): the members of each group that may have a partner in it, and how many they are.
 
     Of two sets, all common shingles up to the end of the shorter lead are counted in both leads, so their overlap is at
     most the number of leading shingles they share and what follows the longer lead. A class shares at most as
@@ -192,15 +194,14 @@ def possible(groups: DataFrame, sizes: DataFrame, parts: int, limit: int) -> Dat
     def run(batches):
         def flush():
             kept = group[0] if key[2] > 1 else close(*group)
-            for c, x in zip(out, key):
-                c += [x] * len(kept)
-            out[3].extend(kept)
+            for c, x in zip(out, (*key, None, len(kept))):
+                c += kept if x is None else [x] * len(kept)
 
         def made():
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gid", "chunk", "chunks", "cls"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gid", "chunk", "chunks", "cls", "size"])
 
-        key, group, out = None, ([], [], []), ([], [], [], [])
+        key, group, out = None, ([], [], []), ([], [], [], [], [])
         for batch in batches:
             for gid, chunk, chunks, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (gid, chunk, chunks) != key:
@@ -211,12 +212,12 @@ def possible(groups: DataFrame, sizes: DataFrame, parts: int, limit: int) -> Dat
                     c.append(x)
             if len(out[0]) > 100_000:
                 yield made()
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
         if group[0]:
             flush()
         yield made()
 
-    return rows.repartition(parts, "gid", "chunk").sortWithinPartitions("gid", "chunk").mapInArrow(run, "gid long, chunk int, chunks int, cls long")
+    return rows.repartition(parts, "gid", "chunk").sortWithinPartitions("gid", "chunk").mapInArrow(run, "gid long, chunk int, chunks int, cls long, size int")
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
@@ -470,10 +471,12 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
         plain = of.select("gid", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.col("chunks").alias("blocks"), F.lit(2).alias("side"), "cls", F.col("cls").alias("part"), "lead")
         return candidates(rows(plain), parts, limit, True)
 
-    # Round one: the centre of each group.
-    star = cut_lineage(centre(members.withColumn("lead", F.lit(0))))
+    # Round one: the centre of each group, for each class in its largest groups.
+    rank = F.row_number().over(W.partitionBy("cls").orderBy(F.desc("chunks"), F.desc("size"), "gid"))
+    largest = cut_lineage(members.withColumn("rank", rank).where(F.col("rank") <= STARS).select("gid", "chunk", "chunks", "cls"))
+    star = cut_lineage(centre(largest.withColumn("lead", F.lit(0))))
     hubs = star.where("b is null").groupBy("gid").agg(F.max_by("a", F.struct("score", "a")).alias("hub"))
-    large = members.where("chunks > 1").join(hubs.select(F.col("gid").alias("_g"), "hub"), F.col("gid") == F.col("_g")).drop("_g")
+    large = largest.where("chunks > 1").join(hubs.select(F.col("gid").alias("_g"), "hub"), F.col("gid") == F.col("_g")).drop("_g")
     given = large.select("gid", "chunk", "chunks", F.col("hub").alias("cls")).distinct().withColumn("lead", F.lit(1))
     more = centre(large.where("cls <> hub").select("gid", "chunk", "chunks", "cls").withColumn("lead", F.lit(0)).unionAll(given))
     pairs = star.where("b is not null").select("a", "b").unionAll(more.where("b is not null").select("a", "b"))
