@@ -25,6 +25,7 @@ from evenhand.session import cut_lineage
 
 LIMIT = 75
 TOKEN = 44  # bits of a shingle
+ROOM = 1 << 63 - TOKEN  # lines that are sorted together
 PAIRS = 1 << 21  # pairs looked at together
 HEAVY = 32  # lines of one shingle that are paired at once; beyond, the earliest comes first
 BLOCK = 2048  # lines of one shingle in one task
@@ -53,9 +54,16 @@ def line_sets(body: np.ndarray, off: np.ndarray, late: np.ndarray | None = None)
     if late is not None and len(late):
         at = np.minimum(np.searchsorted(late, token), len(late) - 1)
         behind = (late[at] == token).astype(U)
-    key = np.sort(own.astype(U) << U(TOKEN + 1) | behind << U(TOKEN) | token)
-    key = key[np.r_[True, key[1:] != key[:-1]]]
-    return (key >> U(TOKEN + 1)).astype(np.int64), key & U((1 << TOKEN) - 1), (key >> U(TOKEN)) & U(1) > 0, first, count
+    # A sort key holds the line's number among ROOM; a text of more lines is sorted piece by piece.
+    lines, keys = [], []
+    edge = np.searchsorted(own, np.arange(0, len(starts) + ROOM, ROOM))
+    for base, a, b in zip(range(0, len(starts), ROOM), edge[:-1], edge[1:]):
+        key = np.sort((own[a:b] - base).astype(U) << U(TOKEN + 1) | behind[a:b] << U(TOKEN) | token[a:b])
+        key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+        lines.append((key >> U(TOKEN + 1)).astype(np.int64) + base)
+        keys.append(key)
+    line, key = np.concatenate(lines), np.concatenate(keys)
+    return line, key & U((1 << TOKEN) - 1), (key >> U(TOKEN)) & U(1) > 0, first, count
 
 
 def word_starts(body: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -107,6 +107,16 @@ def test_lines_keep_columns_and_nulls(spark):
     assert out.columns[:-2] == frame(spark, [(1, "x")]).columns
 
 
+def test_lines_beyond_two_to_the_19(spark):
+    many = (1 << 19) + 3
+    long = "\n".join(["a b c d e f", *[""] * (many - 3), "p q r s t u", "a b c d e f"])
+    out = lines.line_report(frame(spark, [(1, long), (2, "p q r s t u\nv w x y z 1")])).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in out} == {
+        1: (many, 1, hashlib.sha256(long[: long.rindex("\n")].encode()).hexdigest()), 2: (2, 1, hashlib.sha256(b"v w x y z 1").hexdigest())}
+    body, off = np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)])
+    assert np.unique(lines.line_sets(body, off)[0]).tolist() == [0, many - 2, many - 1]
+
+
 @pytest.mark.parametrize("most", [50_000, 1])
 def test_repeated_strings(spark, monkeypatch, most):
     monkeypatch.setattr(substrings, "MOST", most)
