@@ -26,7 +26,7 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įĲ-ſ"
 RARE = re.compile("[^\\x00-\\x1b\\x20-±´-¸º»¿-įĲ-ſ]")
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
 MOST_WORDS = 250_000  # of the words a worker remembers; then it starts anew
-SLOTS = 1 << 20
+SLOTS = 1 << 20  # of an empty table; it doubles when more than half of them would be taken
 # Classes of lower-case bytes: blank, letter, digit, other. The bytes of two-byte letters count as letters.
 BLANK, LETTER, DIGIT, OTHER = range(4)
 CLASS = np.full(256, OTHER, np.uint8)
@@ -207,23 +207,38 @@ class Encoder:
         self.starts[n: n + len(codes)] = k + np.cumsum(counts) - counts
         self.counts[n: n + len(codes)] = counts
         self.used, self.words = k + len(ids), n + len(codes)
-        left, slot = np.arange(len(codes)), (codes & U(SLOTS - 1)).astype(np.int64)
+        slots = len(self.slot_word)
+        if 2 * self.words > slots:
+            known = np.flatnonzero(self.slot_word >= 0)
+            codes, words = np.concatenate([self.slot_code[known], codes]), np.concatenate([self.slot_word[known], np.arange(n, self.words)])
+            while 2 * self.words > slots:
+                slots *= 2
+            self.slot_code, self.slot_word = np.zeros(slots, U), np.full(slots, -1, np.int64)
+            self.place(codes, words)
+        else:
+            self.place(codes, np.arange(n, self.words))
+
+    def place(self, codes: np.ndarray, words: np.ndarray) -> None:
+        """Gives words of codes that the table lacks their slots."""
+        slots = len(self.slot_word)
+        left, slot = np.arange(len(codes)), (codes & U(slots - 1)).astype(np.int64)
         while len(left):
             free = self.slot_word[slot] < 0
             taken, first = np.unique(slot[free], return_index=True)
             own = left[free][first]
-            self.slot_code[taken], self.slot_word[taken] = codes[own], n + own
+            self.slot_code[taken], self.slot_word[taken] = codes[own], words[own]
             rest = np.ones(len(left), bool)
             rest[np.flatnonzero(free)[first]] = False
-            left, slot = left[rest], (slot[rest] + 1) % SLOTS
+            left, slot = left[rest], (slot[rest] + 1) % slots
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         """The remembered word of each code, or -1."""
-        slot = (codes & U(SLOTS - 1)).astype(np.int64)
+        slots = len(self.slot_word)
+        slot = (codes & U(slots - 1)).astype(np.int64)
         out = self.slot_word[slot]
         other = np.flatnonzero((out >= 0) & (self.slot_code[slot] != codes))
         while len(other):
-            slot[other] = (slot[other] + 1) % SLOTS
+            slot[other] = (slot[other] + 1) % slots
             out[other] = self.slot_word[slot[other]]
             other = other[(out[other] >= 0) & (self.slot_code[slot[other]] != codes[other])]
         return out

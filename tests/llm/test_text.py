@@ -51,6 +51,26 @@ def test_every_character_to_u0250_and_odd_marks(library):
     assert [flat[e - k: e].tolist() for e, k in zip(ends, n)] == [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
 
 
+def test_the_word_table_grows(library, monkeypatch):
+    import signal
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "SLOTS", 16)
+    signal.signal(signal.SIGALRM, lambda *_: pytest.fail("the table is full and does not grow"))
+    signal.alarm(10)
+    try:
+        enc = bpe.Encoder(open(WORD, "rb").read())
+        some = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(k)) for k in (5, 300, 40, 600)]
+        flat, n = enc.ids(pa.array(some[:2]))
+        more, m = enc.ids(pa.array(some[2:]))
+    finally:
+        signal.alarm(0)
+    ends = np.cumsum(np.r_[n, m])
+    assert [np.r_[flat, more][e - k: e].tolist() for e, k in zip(ends, np.r_[n, m])] == [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+    assert len(enc.slot_word) >= 2 * enc.words
+
+
 def test_token_files_round_trip(spark, library, monkeypatch):
     monkeypatch.setattr(pfor, "ROWS_PER_SHARD", 16)
     rows = texts(spark)
