@@ -1,13 +1,14 @@
 """Operator 4: secrets by patterns and by a battery of randomness tests.
 
 Patterns find assignments, access keys and long hexadecimal runs. Beyond them, every run of 16 or more code characters is
-tested. Its encoding is the smallest alphabet that holds it; within that, three tests ask whether it may be random: chi-squared
+tested, and so are its pieces of that length between any choice of the separators / + _ and -. The encoding of each is the smallest alphabet that holds it; within that, three tests ask whether it may be random: chi-squared
 of the symbols against equal shares, the number of runs above and below the middle, and the correlation of neighbours. A run that none
 of them rejects is weighed against ordinary text: the ratio of its probability under equal shares and under the character
 shares of the whole corpus has mean one for ordinary text, so its inverse is a valid p-value. Per class of length (powers of
-two) the Benjamini-Hochberg rule, with all tested runs of that class counted, sets the limit at a false-discovery rate of FDR.
+two) the Benjamini-Hochberg rule, with all tested runs and pieces of that class counted, sets the limit at a false-discovery rate of
+FDR. Of overlapping ones that pass, the one of the least p-value is the span.
 
-Null and empty texts have no spans. Runs that overlap a pattern's span are left to it. One row per input row.
+Null and empty texts have no spans. Runs and pieces that overlap a pattern's span are left to it, and what no alphabet holds is not tested. One row per input row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +37,13 @@ RUN = 16
 FDR = 0.01
 REJECT = 0.001
 STEPS = 10  # p-values are kept as this many steps per power of ten, rounded up
-ALPHABETS = [("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+ALPHABETS = [("decimal", "0123456789"), ("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
              ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
              ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")]
+SEPARATORS = "/+_-"
 CODE = np.zeros(256, bool)
-CODE[[ord(c) for c in ALPHABETS[5][1] + "-_"]] = True
-DIGIT, CAPITAL, SMALL = (np.array([a <= b <= z for b in range(256)]) for a, z in ((48, 57), (65, 90), (97, 122)))
+CODE[[ord(c) for c in dict(ALPHABETS)["base62"] + SEPARATORS]] = True
+CUTS = [re.compile("[A-Za-z0-9" + "".join(kept) + "]{" + str(RUN) + ",}") for n in range(len(SEPARATORS) + 1) for kept in combinations(SEPARATORS, n)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -54,6 +58,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def pieces_of(run: str) -> list[tuple[int, int]]:
+    """(start, end) of a run and of its pieces between separators, each once."""
+    return sorted({m.span() for cut in CUTS for m in cut.finditer(run)}) if any(c in run for c in SEPARATORS) else [(0, len(run))]
+
+
+def best_of(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of (start, end, steps) those that overlap none of more steps that stays, by start; the longer first at a tie."""
+    kept: list[tuple[int, int]] = []
+    for s, e, _ in sorted(spans, key=lambda x: (-x[2], x[0] - x[1], x[0])):
+        at = bisect(kept, (s, e))
+        if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or e <= kept[at][0]):
+            kept.insert(at, (s, e))
+    return kept
+
+
 def tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -99,11 +118,6 @@ def first_pass(docs: DataFrame) -> DataFrame:
                 shares += np.bincount(body[code], minlength=256)
                 long = b - a >= RUN
                 a, b = a[long], b[long]
-                lengths += np.bincount(np.frexp(b - a)[1], minlength=64)
-                has = lambda flags: (lambda t: t[b] - t[a])(np.r_[0, np.cumsum(flags)])
-                digits, capitals, small = has(DIGIT[body]), has(CAPITAL[body]), has(SMALL[body])
-                mixed = ((digits > 0) & (digits < b - a)) | ((capitals > 1) & (small > 1))
-                a, b = a[mixed], b[mixed]
                 owner = np.searchsorted(off, a, "right") - 1
                 by_doc: dict[int, list[tuple[int, int]]] = {}
                 for d, s, e in zip(owner.tolist(), a.tolist(), b.tolist()):
@@ -116,12 +130,16 @@ def first_pass(docs: DataFrame) -> DataFrame:
                         own = body[off[d]: off[d + 1]]
                         point = np.r_[0, np.cumsum((own & 0xC0) != 0x80)]
                         for s, e in by_doc[d]:
-                            x, y = int(point[s - off[d]]), int(point[e - off[d]])
-                            if not any(p < y and x < q for p, q, _ in spans):
-                                value = bytes(body[s:e]).decode()
-                                kind, p = battery(value)
-                                if kind is not None and p > REJECT:
-                                    runs.append({"s": x, "e": y, "value": value})
+                            base, run_ = int(point[s - off[d]]), bytes(body[s:e]).decode()
+                            for i, j in pieces_of(run_):
+                                x, y = base + i, base + j
+                                if any(p < y and x < q for p, q, _ in spans):
+                                    continue
+                                kind, p = battery(run_[i:j])
+                                if kind is not None:
+                                    lengths[np.frexp(j - i)[1]] += 1
+                                    if p > REJECT:
+                                        runs.append({"s": x, "e": y, "value": run_[i:j]})
                     of = [sum(k == kind for _, _, k in spans) for kind in KINDS[:3]]
                     digest = hashlib.sha256(",".join(f"{k}:{x}:{y}" for x, y, k in spans).encode()).hexdigest()
                     rows.append({"key": key, "n_assign": of[0], "n_access": of[1], "n_hex": of[2], "base_sha256": digest,
@@ -178,8 +196,16 @@ def secret_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     weighed = cut_lineage(rows.mapInArrow(weigh, schema))
     bins = weighed.select(F.explode("runs").alias("r")).groupBy("r.c", "r.steps").count().collect()  # some thousands of bins at most
     least = limits([tuple(b) for b in bins], tested)
-    passes = lambda r: F.coalesce(*[F.when(r["c"] == c, r["steps"] >= s) for c, s in least.items()], F.lit(False)) if least else F.lit(False)
-    random = F.transform(F.filter("runs", passes), lambda r: F.struct(r["s"].alias("s"), F.lit(3).alias("o"), r["e"].alias("e")))
+
+    def choose(batches):
+        for batch in batches:
+            out = [[{"s": s, "o": 3, "e": e} for s, e in best_of([(r["s"], r["e"], r["steps"]) for r in rows if r["c"] in least and r["steps"] >= least[r["c"]]])]
+                   for rows in batch.column("runs").to_pylist()]
+            kind = pa.list_(pa.struct([("s", pa.int64()), ("o", pa.int32()), ("e", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=batch.schema.names)
+
+    weighed = weighed.mapInArrow(choose, schema.replace("runs array<struct<s:long,e:long,c:int,steps:int>>", "runs array<struct<s:long,o:int,e:long>>"))
+    random = F.col("runs")
     named = lambda x: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), x["o"] + 1), F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))
     every = F.array_join(F.transform(F.array_sort(F.concat("base", random)), named), ",")
     return weighed.select(F.col("key").alias(key), *columns[1:5], every.alias("spans"), F.size(random).cast("long").alias("n_random"))

@@ -90,3 +90,25 @@ def test_random_strings_are_told_from_words(spark):
     rows = [(0, prose)] + [(i + 1, f"see {k} here") for i, k in enumerate(keys)]
     got = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(frame(spark, rows)).collect()}
     assert got[0] == "" and sum(got[i + 1] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)) >= 19
+
+
+def test_keys_of_one_kind_and_keys_behind_prefixes(spark):
+    import random
+
+    rnd = random.Random(3)
+    draw = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    prose = " ".join(f"and the long word{chr(97 + i % 26)} internationalisation of some_snake_case_name_2 goes on" for i in range(400))
+    kinds = [(draw(small, 48), ""), (draw(small.upper(), 48), ""), (draw(digits, 28), ""), (draw(small + small.upper() + digits, 40), "/services/app_name-of/")]
+    rows = [(0, prose)] + [(1 + i, f"see {p}{k} here") for i, (k, p) in enumerate(kinds)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(frame(spark, rows)).collect()}
+    assert got[0] == "" and [got[1 + i] for i in range(3)] == [f"random:4:{4 + len(k)}" for k, _ in kinds[:3]]
+    # The name before a key may stay with it, the path does not.
+    kind, start, end = got[4].split(":")
+    assert kind == "random" and 4 + len("/services/") <= int(start) <= 4 + len(kinds[3][1]) and int(end) == 4 + len(kinds[3][1] + kinds[3][0])
+
+
+def test_pieces_of_a_run():
+    assert secrets.pieces_of("a" * 20) == [(0, 20)]
+    assert secrets.pieces_of("a" * 16 + "/" + "b" * 16 + "-c") == [(0, 16), (0, 33), (0, 35), (17, 33), (17, 35)]
+    assert secrets.best_of([(0, 35, 50), (17, 33, 60), (0, 16, 40), (40, 60, 1)]) == [(0, 16), (17, 33), (40, 60)]
