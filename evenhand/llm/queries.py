@@ -12,6 +12,7 @@ from evenhand.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +76,26 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.alignment import align_tokenizers
+
+    return align_tokenizers(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.mixing import mixture_report
+
+    return mixture_report(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evenhand.llm.merkle import tamper_check
+
+    return tamper_check(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dups, op3_decontamination, op4_secrets, op5_line_dedup, op6_token_files,
-                            op7_bpe_round_trip, op8_token_counts, op9_quality_rules, op10_repeated_strings)
+                            op7_bpe_round_trip, op8_token_counts, op9_quality_rules, op10_repeated_strings, op11_tokenizer_alignment, op12_source_mix, op13_merkle_manifest)
 }
 SQL: dict[str, str] = {"op1_ngram_jaccard": oracle.NGRAM_JACCARD, "op2_embedding_near_dups": oracle.NEAR_VECTORS, "op3_decontamination": oracle.DECONTAMINATION, "op5_line_dedup": oracle.LINES}
