@@ -44,3 +44,65 @@ gone AS (SELECT sets.doc_id, sets.k FROM sets JOIN f USING (cls) WHERE (sets.doc
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.k) AS n_removed, coalesce(string_agg(x, chr(10) ORDER BY l.k) FILTER (WHERE gone.k IS NULL), '') AS t
  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.k = l.k GROUP BY 1)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(t) AS kept_sha256 FROM kept JOIN documents USING (doc_id)"""
+
+SOURCE_MIX = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM d GROUP BY source),
+w AS (SELECT *, 2 * CAST(source_size AS DOUBLE) AS cap, CAST(CASE place % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS DOUBLE) AS weight FROM s),
+-- the level that the sources of smaller cap per weight leave to the others; the first that it does not lift above its cap sets it for all that follow
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, place) AS k, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS budget FROM w),
+l AS (SELECT *, budget - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM o),
+f AS (SELECT rest, free, k FROM l WHERE weight * rest / free <= cap ORDER BY k LIMIT 1),
+t AS (SELECT l.source, l.source_size, CASE WHEN f.k IS NULL OR l.k < f.k THEN l.cap ELSE l.weight * f.rest / f.free END AS target FROM l LEFT JOIN f ON true),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(floor(t.target / nullif(t.source_size, 0)), 0) AS whole,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws('|', '1', CAST(d.doc_id AS VARCHAR))), d.size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       size * CAST(whole + CASE WHEN target - whole * source_size > 0 AND upto - size / 2 <= target - whole * source_size THEN 1 ELSE 0 END AS BIGINT) AS taken
+FROM r
+"""
+
+_FIELD = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({chars} AS VARCHAR)", "text")) + ")"
+
+
+def _levels(base: str) -> str:
+    return f"""SELECT * FROM ({base}) UNION ALL
+SELECT g, level + 1, (n + 1) // 2, pos // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM {{0}} WHERE n > 1 GROUP BY g, level, n, pos // 2"""
+
+
+def _climb(rows: str, tree: str, me: str) -> str:
+    """Folding of every row level by level, with the siblings met."""
+    return f"""SELECT id, g, pos, 0 AS level, node AS found, '' AS siblings FROM {rows} UNION ALL
+SELECT x.id, x.g, x.pos // 2, x.level + 1, CASE WHEN s.node IS NULL THEN sha256(x.found) WHEN x.pos % 2 = 1 THEN sha256(s.node || x.found) ELSE sha256(x.found || s.node) END,
+       x.siblings || coalesce(s.node, '')
+FROM {me} x JOIN {tree} own ON own.g = x.g AND own.level = x.level AND own.pos = x.pos AND own.n > 1
+LEFT JOIN {tree} s ON s.g = x.g AND s.level = x.level AND s.pos = xor(x.pos, 1)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE src AS (SELECT row_number() OVER () AS id, * FROM documents),
+crc AS (SELECT id, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: CASE WHEN b % 2 = 1 THEN xor(b >> 1, CAST(3988292384 AS BIGINT)) ELSE b >> 1 END)), CAST(4294967295 AS BIGINT)) AS sum
+  FROM src WHERE doc_id IS NOT NULL),
+leaves AS (SELECT src.id, doc_id, lang, {_leaf('n_chars')} AS leaf,
+             CASE WHEN crc.sum % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS node FROM src LEFT JOIN crc ON crc.id = src.id),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang IS NOT NULL, lang) - 1 AS g FROM leaves GROUP BY lang),
+placed AS (SELECT id, doc_id, leaf, node, g, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+           FROM leaves JOIN langs ON leaves.lang IS NOT DISTINCT FROM langs.lang),
+tree AS ({_levels('SELECT g, 0 AS level, n, pos, leaf AS node FROM placed').format('tree')}),
+subroots AS (SELECT g, node FROM tree WHERE n = 1),
+crown AS ({_levels('SELECT 0 AS g, 0 AS level, (SELECT count(*) FROM subroots) AS n, g AS pos, node FROM subroots').format('crown')}),
+low AS ({_climb('placed', 'tree', 'low')}),
+done AS (SELECT id, g, found, siblings FROM low JOIN tree USING (g, level, pos) WHERE tree.n = 1),
+upper_rows AS (SELECT id, 0 AS g, g AS pos, found AS node FROM done),
+high AS ({_climb('upper_rows', 'crown', 'high')}),
+ended AS (SELECT id, found, siblings FROM high JOIN crown USING (g, level, pos) WHERE crown.n = 1)
+SELECT doc_id, leaf, subroots.node AS subroot, (SELECT node FROM crown WHERE n = 1) AS root, sha256(done.siblings || ended.siblings) AS proof_sha256,
+       ended.found AS folded_root, ended.found = (SELECT node FROM crown WHERE n = 1) AS verified
+FROM placed JOIN subroots USING (g) JOIN done USING (id) JOIN ended USING (id)
+"""

@@ -98,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dups, op3_decontamination, op4_secrets, op5_line_dedup, op6_token_files,
                             op7_bpe_round_trip, op8_token_counts, op9_quality_rules, op10_repeated_strings, op11_tokenizer_alignment, op12_source_mix, op13_merkle_manifest)
 }
-SQL: dict[str, str] = {"op1_ngram_jaccard": oracle.NGRAM_JACCARD, "op2_embedding_near_dups": oracle.NEAR_VECTORS, "op3_decontamination": oracle.DECONTAMINATION, "op5_line_dedup": oracle.LINES}
+SQL: dict[str, str] = {"op1_ngram_jaccard": oracle.NGRAM_JACCARD, "op2_embedding_near_dups": oracle.NEAR_VECTORS, "op3_decontamination": oracle.DECONTAMINATION, "op5_line_dedup": oracle.LINES,
+                       "op12_source_mix": oracle.SOURCE_MIX, "op13_merkle_manifest": oracle.MERKLE}
