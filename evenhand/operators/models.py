@@ -25,8 +25,9 @@ from evenhand.operators import harmonise as H
 from evenhand.operators import selection as S
 from evenhand.operators.core import attach_stats, quantiles, same_keys
 from evenhand.operators.metrics import auc_by_group, fold_logits, line_logistic, site_balanced_auc, weighted_auc
-from evenhand.operators.resample import draws
+from evenhand.operators.resample import percentiles
 from evenhand.operators.splits import strata_weights
+from evenhand.operators.weightings import replicate_counts, vector_areas
 from evenhand.operators.windows import argmax_tie, top_n, zscore_within
 from evenhand.session import cut_lineage
 
@@ -245,13 +246,12 @@ def late_fusion(oof: DataFrame, loso: DataFrame, combos: DataFrame, b: int = 200
         "combo").agg(F.avg("a").alias("site_auc"))
     lo = weighted_auc(fuse(loso, combos, ["held_out", "seed"]), by=["combo", "held_out", "seed"]).groupBy("combo", "held_out").agg(
         F.avg("auc").alias("a")).groupBy("combo").agg(F.avg("a").alias("loso_mean"))
-    avg = f.groupBy("combo", "key", "site", "y").agg(F.avg("score").alias("score"))
-    # the same drawn rows serve every combination
-    avg = cut_lineage(avg)
+    avg = cut_lineage(f.groupBy("combo", "key", "site", "y").agg(F.avg("score").alias("score")))
+    # the same counts of draws serve every combination
     base = attach_stats(avg.select("key", "site", "y").distinct(), ["site", "y"], (1 / F.count(F.lit(1))).alias("w"))
-    drawn = draws(base, ["site", "y"], "key", b, seed)
-    reps = weighted_auc(avg.join(drawn.select("key", "b", "w"), "key"), w="w", by=["combo", "b"])
-    ci = quantiles(reps, ["combo"], "auc", {"ci_lo": 0.025, "ci_hi": 0.975})
+    counts = replicate_counts(base, ["site", "y"], "key", b, seed).select("key", "w", "chunk", "counts")
+    reps = vector_areas(avg.join(counts, "key"), ["combo"], b)
+    ci = percentiles(reps, ["combo"], "auc", {"ci_lo": 0.025, "ci_hi": 0.975})
     out = same_keys(sb, site, ["combo"])
     return same_keys(same_keys(out, lo, ["combo"]), ci, ["combo"])
 

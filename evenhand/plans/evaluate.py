@@ -208,33 +208,43 @@ def _(spark, sf):
 
 
 # ---- bootstrap ----------------------------------------------------------------------------------------------
-def _draws_sql(src, strata, b, seed):
+def draws_sql(src, strata, b, seed):
+    """CTE ``hit``: the rows of ``src`` once per draw. Draws are numbers of a scrambled sequence per (replicate, stratum, block); strata of several
+    blocks first spread their draws over the blocks."""
     part = f"PARTITION BY {strata}" if strata else ""
-    label = f"concat_ws('|', {strata})" if strata else "'all'"
-    using = f"{strata}, j" if strata else "j"
-    head = f"{strata}, " if strata else ""
+    label = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in strata.split(", ")) if strata else "''"
+    start = lambda block: f"('0x' || substr(md5('{seed}|' || b || '|' || stratum || '|' || {block}), 1, 8))::BIGINT"
+    turn = lambda x: f"((xor({x}, {x} >> 16) * 73244475) & 4294967295)"
+
+    def number(begin, i):
+        twice = turn(turn(f"(({begin} + {i} * 2654435769) & 4294967295)"))
+        return f"xor({twice}, {twice} >> 16)"
+
     return f"""
-pos AS (SELECT *, row_number() OVER ({part} ORDER BY ('0x' || substr(md5('order|' || key), 1, 15))::BIGINT, key) AS j,
-  count(*) OVER ({part}) AS n FROM {src}),
-draws AS (SELECT {head}t.b, ('0x' || substr(md5(concat_ws('|', '{seed}', t.b, {label}, j)), 1, 15))::BIGINT % n + 1 AS j
-  FROM pos, range(1, {b + 1}) t(b)),
-hit AS (SELECT d.b, p.* FROM draws d JOIN pos p USING ({using}))"""
+pos AS (SELECT *, {label} AS stratum, row_number() OVER ({part} ORDER BY ('0x' || substr(md5('order|' || key), 1, 15))::BIGINT, key) AS j, count(*) OVER ({part}) AS n FROM {src}),
+reps AS (SELECT stratum, n, t.b FROM (SELECT DISTINCT stratum, n FROM pos), range(1, {b + 1}) t(b)),
+spread AS (SELECT stratum, n, b, floor((({number('high', 'i')}) * 2097152 + ({number('low', 'i')} >> 11)) / 9007199254740992.0::DOUBLE * n)::BIGINT // 65536 AS blk
+  FROM (SELECT *, {start("'high'")} AS high, {start("'low'")} AS low, unnest(range(1, n + 1)) AS i FROM reps WHERE n > 65536)),
+shares AS (SELECT stratum, n, b, 0 AS blk, n AS c FROM reps WHERE n <= 65536 UNION ALL SELECT stratum, n, b, blk, count(*) FROM spread GROUP BY ALL),
+begun AS (SELECT stratum, b, blk, least(n - blk * 65536, 65536) AS size, {start('blk')} AS st, unnest(range(1, c + 1)) AS i FROM shares),
+drawn AS (SELECT stratum, b, blk * 65536 + (({number('st', 'i')} * size) >> 32) + 1 AS j FROM begun),
+hit AS (SELECT d.b, p.* EXCLUDE (stratum) FROM drawn d JOIN pos p USING (stratum, j))"""
 
 
 @query("stratified_bootstrap_ci", ctes=["obs"], rounded=["lo", "median", "hi"], sql=f"""
-WITH {_draws_sql('obs', 'site, y', 200, 1)},
+WITH {draws_sql('obs', 'site, y', 2000, 1)},
 a AS ({_auc_sql('hit', 'b', w='1.0 / n')})
 SELECT quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.5) AS median, quantile_cont(auc, 0.975) AS hi FROM a""")
 def _(spark, sf):
-    return B.stratified_bootstrap_ci(X.obs(spark, sf), b=200)
+    return B.stratified_bootstrap_ci(X.obs(spark, sf))
 
 
 @query("class_bootstrap_ci", ctes=["obs"], rounded=["lo", "median", "hi"], sql=f"""
-WITH {_draws_sql('obs', 'y', 200, 1)},
+WITH {draws_sql('obs', 'y', 2000, 1)},
 a AS ({_auc_sql('hit', 'b')})
 SELECT quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.5) AS median, quantile_cont(auc, 0.975) AS hi FROM a""")
 def _(spark, sf):
-    return B.class_bootstrap_ci(X.obs(spark, sf), b=200)
+    return B.class_bootstrap_ci(X.obs(spark, sf))
 
 
 def _ap_sql(src, by, s):
@@ -248,17 +258,17 @@ def _ap_sql(src, by, s):
 
 def _paired_sql(strata):
     return f"""
-WITH {_draws_sql('obs_pair', strata, 100, 1)},
+WITH {draws_sql('obs_pair', strata, 2000, 1)},
 ra AS ({_auc_sql('hit', 'b', s='pa')}), rb AS ({_auc_sql('hit', 'b', s='pb')}),
 qa AS ({_ap_sql('hit', 'b', 'pa')}), qb AS ({_ap_sql('hit', 'b', 'pb')}),
-reps AS (SELECT 'd_roc' AS metric, ra.auc - rb.auc AS value FROM ra JOIN rb USING (b)
+vals AS (SELECT 'd_roc' AS metric, ra.auc - rb.auc AS value FROM ra JOIN rb USING (b)
   UNION ALL SELECT 'd_pr', qa.ap - qb.ap FROM qa JOIN qb USING (b)),
 seen AS (SELECT 'd_roc' AS metric, (SELECT auc FROM ({_auc_sql('obs_pair', s='pa')})) - (SELECT auc FROM ({_auc_sql('obs_pair', s='pb')})) AS observed
   UNION ALL SELECT 'd_pr', (SELECT ap FROM ({_ap_sql('obs_pair', '', 'pa')})) - (SELECT ap FROM ({_ap_sql('obs_pair', '', 'pb')})))
 SELECT metric, any_value(observed) AS observed, avg(value) AS mean, stddev_samp(value) AS sd, count(*) - count(value) AS n_skipped,
  avg((value > 0)::INT) AS share_above, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.5) AS median,
  quantile_cont(value, 0.975) AS hi, quantile_cont(value, 0.025) <= 0 AND quantile_cont(value, 0.975) >= 0 AS includes_zero
-FROM reps JOIN seen USING (metric) GROUP BY metric"""
+FROM vals JOIN seen USING (metric) GROUP BY metric"""
 
 
 PAIR_COLS = ["observed", "mean", "sd", "share_above", "lo", "median", "hi"]
@@ -266,12 +276,12 @@ PAIR_COLS = ["observed", "mean", "sd", "share_above", "lo", "median", "hi"]
 
 @query("paired_bootstrap", ctes=["obs_pair"], rounded=PAIR_COLS, sql=_paired_sql(""))
 def _(spark, sf):
-    return B.paired_bootstrap_summary(X.obs_pair(spark, sf), "pa", "pb", b=100)
+    return B.paired_bootstrap_summary(X.obs_pair(spark, sf), "pa", "pb")
 
 
 @query("site_stratified_paired_bootstrap", ctes=["obs_pair"], rounded=PAIR_COLS, sql=_paired_sql("site"))
 def _(spark, sf):
-    return B.paired_bootstrap_summary(X.obs_pair(spark, sf), "pa", "pb", strata=["site"], b=100)
+    return B.paired_bootstrap_summary(X.obs_pair(spark, sf), "pa", "pb", strata=["site"])
 
 
 # ---- tests --------------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from evenhand.operators import models as L
 from evenhand.operators import setops as U
 from evenhand.operators import splits as K
 from evenhand.plans import frames as X
-from evenhand.plans.evaluate import CONF, ERFC, NEWTON, RATES, _auc_sql, _kw_sql, _mw_sql
+from evenhand.plans.evaluate import CONF, ERFC, NEWTON, RATES, _auc_sql, _kw_sql, _mw_sql, draws_sql
 from evenhand.plans.fit import COMBAT
 from evenhand.plans.registry import query
 from evenhand.session import cut_lineage
@@ -162,12 +162,8 @@ def _blocks(spark, sf):
 base AS (SELECT kind, key, site, y, score FROM sc WHERE role = 'test'),
 z AS (SELECT *, (score - avg(score) OVER (PARTITION BY kind)) / stddev_samp(score) OVER (PARTITION BY kind) AS z,
    (score - avg(score) OVER (PARTITION BY kind, site)) / stddev_samp(score) OVER (PARTITION BY kind, site) AS zl FROM base),
-f AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY combo, site, y) AS w FROM (SELECT combo, n_items, key, site, y, avg(z) AS score, avg(zl) AS lscore FROM z JOIN cb USING (kind) GROUP BY ALL)),
-ns AS (SELECT site, y, count(*) AS n FROM obs_emb GROUP BY ALL),
-pos AS (SELECT key, site, y, row_number() OVER (PARTITION BY site, y ORDER BY ('0x' || substr(md5('order|' || key), 1, 15))::BIGINT, key) AS j, count(*) OVER (PARTITION BY site, y) AS n FROM obs_emb),
-dr AS (SELECT site, y, t.b, ('0x' || substr(md5(concat_ws('|', '1', t.b, site, y, j)), 1, 15))::BIGINT % n + 1 AS j FROM pos, range(1, 51) t(b)),
-hit AS (SELECT d.b, p.key, 1.0 / p.n AS dw FROM dr d JOIN pos p USING (site, y, j)),
-rep AS (SELECT f.combo, hit.b, f.y, f.score, dw FROM f JOIN hit USING (key)),
+f AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY combo, site, y) AS w FROM (SELECT combo, n_items, key, site, y, avg(z) AS score, avg(zl) AS lscore FROM z JOIN cb USING (kind) GROUP BY ALL)),{draws_sql('obs_emb', 'site, y', 2000, 1)},
+rep AS (SELECT f.combo, hit.b, f.y, f.score, 1.0 / hit.n AS dw FROM f JOIN hit USING (key)),
 a AS ({_auc_sql('rep', 'combo, b', w='dw')}), ci AS (SELECT combo, quantile_cont(auc, 0.025) AS ci_lo, quantile_cont(auc, 0.975) AS ci_hi FROM a GROUP BY combo),
 sb AS ({_auc_sql('f', 'combo, n_items', w='w')}), sa AS (SELECT combo, avg(auc) AS site_auc FROM ({_auc_sql('f', 'combo, site')}) GROUP BY combo),
 lo AS (SELECT combo, avg(auc) AS loso_mean FROM ({_auc_sql('f', 'combo, site', s='lscore')}) GROUP BY combo)
@@ -175,7 +171,7 @@ SELECT combo, n_items, sb.auc AS sb_auc, site_auc, loso_mean, ci_lo, ci_hi FROM
 def _(spark, sf):
     oof = _blocks(spark, sf)
     combos = U.all_combinations(oof.select("block").distinct(), "block")
-    return L.late_fusion(oof, oof.withColumn("held_out", F.col("site")), combos, b=50)
+    return L.late_fusion(oof, oof.withColumn("held_out", F.col("site")), combos)
 
 
 @query("fusion_summary", ctes=["emb_split"], rounded=["best", "worst", "named", "median", "loso_median"], sql=f"""WITH {SCORED}, {COMBO},
