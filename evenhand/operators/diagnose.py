@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,54 +17,6 @@ from evenhand.operators.stattests import attach_one, bh_fdr, chi2_independence,
 from evenhand.operators.windows import concentration, zscore_within
 
 
-def site_leak_auc(vectors: DataFrame, ctx: str = "ctx", features: str = "full", c: float = 0.1, parallel: int = 4) -> DataFrame:
-    """One-vs-rest site classifiers on the features: mean weighted test AUC per context.
-
-    Weights balance site x label. A site that is alone on a side is skipped.
-    """
-    from pyspark.ml.functions import array_to_vector
-
-    from evenhand.operators.models import _run, fit_logistic, margin
-
-    d = strata_weights(vectors.drop("w"), ["site", "y"], [ctx, "role"], "w").withColumn("_x", array_to_vector(features))
-    both = d.groupBy(ctx, "role", "site").agg(F.count(F.lit(1)).alias("n"))
-    both = attach_stats(both, [ctx, "role"], F.sum("n").alias("n_all")).where("n < n_all").groupBy(ctx, "site").agg(F.count(F.lit(1)).alias("k"))
-    pairs = [(r[ctx], r["site"]) for r in both.where("k = 2").orderBy(ctx, "site").collect()]
-
-    def one(c_id, s):
-        part = d.where(F.col(ctx) == c_id).withColumn("is_site", (F.col("site") == s).cast("int"))
-        scored = margin(fit_logistic(part.where("role = 'train'"), c, label="is_site", weight="w", features="_x"), part.where("role = 'test'"))
-        return scored.select(ctx, F.lit(s).alias("target"), "is_site", "score", "w")
-
-    scores = _run([lambda p=p: one(*p) for p in pairs], parallel)
-    auc = weighted_auc(scores, "is_site", "score", "w", by=[ctx, "target"])
-    return auc.groupBy(ctx).agg(F.avg("auc").alias("site_leak_auc"), F.count("auc").alias("n_sites"))
-
-
-def domain_classifier(vectors: DataFrame, grid: Sequence[float] = (0.01, 0.1, 1.0), site: str | None = None, parallel: int = 4) -> DataFrame:
-    """Nested-CV classifier of one site against the rest (labels never used): pooled OOF AUC and the chosen C per fold."""
-    from pyspark.ml.functions import array_to_vector
-
-    from evenhand.operators.models import _run, fit_logistic, margin
-    from evenhand.operators.windows import argmax_tie
-
-    target = site or vectors.agg(F.min("site")).first()[0]
-    d = vectors.withColumn("is_site", (F.col("site") == target).cast("int")).withColumn("_x", array_to_vector("full"))
-
-    def one(ctx, c):
-        part = d.where(F.col("ctx") == ctx)
-        m = fit_logistic(part.where("role = 'train'"), c, label="is_site", features="_x")
-        return margin(m, part.where("role = 'test'")).select("fold", "inner_fold", "key", "is_site", "score", F.lit(c).alias("c"))
-
-    inner = [r["ctx"] for r in d.where("inner_fold >= 0").select("ctx").distinct().orderBy("ctx").collect()]
-    surface = weighted_auc(_run([lambda x=x, c=c: one(x, c) for x in inner for c in grid], parallel), "is_site", "score", by=["fold", "inner_fold", "c"])
-    best = argmax_tie(surface, ["fold"], ["c"], "auc", [F.col("c")]).collect()
-    oof = _run([lambda r=r: one(f"{r['fold']}/-1", r["c"]) for r in best], parallel)
-    chosen = oof.groupBy("fold", F.col("c").alias("chosen_c")).agg(F.count(F.lit(1)).alias("n_test"))
-    pooled = weighted_auc(oof, "is_site", "score").withColumnRenamed("auc", "pooled_auc")
-    return attach_one(chosen, pooled)
-
-
 def site_only_baseline(labels: DataFrame, split: DataFrame) -> DataFrame:
     """Score every test row by the training prevalence of its site: pooled against site-balanced AUC."""
     rows = split.join(labels, "key")
@@ -72,21 +25,11 @@ def site_only_baseline(labels: DataFrame, split: DataFrame) -> DataFrame:
     return attach_one(weighted_auc(oof).withColumnRenamed("auc", "pooled_auc"), site_balanced_auc(oof))
 
 
-def baseline_metrics(oof: DataFrame) -> DataFrame:
-    """Pooled, site-balanced and mean site AUC of one set of out-of-fold scores."""
-    out = attach_one(weighted_auc(oof).withColumnRenamed("auc", "pooled_auc"), site_balanced_auc(oof))
-    return attach_one(out, mean_group_auc(oof, "site").select(F.col("mean_auc").alias("site_auc")))
-
-
-def naive_baseline(vectors: DataFrame, k: int = 25, c: float = 1.0, parallel: int = 4) -> DataFrame:
-    """Unharmonised, unweighted logistic on the k best features; ``vectors`` prepared with harm 'none'."""
-    from evenhand.operators.models import _run, score_candidate
-
-    outer = vectors.where("inner_fold = -1")
-    folds = [r["ctx"] for r in outer.select("ctx").distinct().orderBy("ctx").collect()]
-    cand = {"candidate": 0, "kind": "logreg", "k": k, "setting": c}
-    oof = _run([lambda x=x: score_candidate(outer.where(F.col("ctx") == x), cand, weight=None) for x in folds], parallel)
-    return baseline_metrics(oof.where("role = 'test'"))
+def baseline_metrics(oof: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Pooled, site-balanced and mean site AUC of out-of-fold scores."""
+    parts = [weighted_auc(oof, by=by).withColumnRenamed("auc", "pooled_auc"), site_balanced_auc(oof, by=by),
+             mean_group_auc(oof, "site", by=by).select(*by, F.col("mean_auc").alias("site_auc"))]
+    return reduce(lambda a, b: same_keys(a, b, by) if by else attach_one(a, b), parts)
 
 
 def prediction_shift(oof: DataFrame, site_a: str, site_b: str, by: Sequence[str] = (), s: str = "score") -> DataFrame:

@@ -1,14 +1,12 @@
-"""Spark ML estimators with the penalty scale of the usual C convention, nested selection and fusion.
+"""Single Spark ML estimators with the penalty scale of the usual C convention, ensembles, fusion and transport.
 
-Fits run as Spark ML jobs, several at a time from a small thread pool; everything around them (preprocessing of
-all folds, weights, metrics of all candidates, choosing, fusing) is one relational plan over long tables.
+Searches over many splits and settings do not fit models one by one: see ``search``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 
@@ -28,7 +26,7 @@ from evenhand.operators.metrics import auc_by_group, fold_logits, line_logistic,
 from evenhand.operators.resample import percentiles
 from evenhand.operators.splits import strata_weights
 from evenhand.operators.weightings import replicate_counts, vector_areas
-from evenhand.operators.windows import argmax_tie, top_n, zscore_within
+from evenhand.operators.windows import top_n, zscore_within
 from evenhand.session import cut_lineage
 
 # The search grids and the boosted-tree settings.
@@ -50,6 +48,13 @@ def candidate_grid(top_k: Sequence[int] = TOP_K, logreg_c: Sequence[float] = LOG
     return [{"candidate": i, **c} for i, c in enumerate(out)]
 
 
+def fits_of(splits: DataFrame, grid: Sequence[dict] | None = None) -> DataFrame:
+    """The settings to be fitted on every split: its row once per setting, in the order of the grid."""
+    grid = candidate_grid() if grid is None else grid
+    made = [F.struct(F.lit(g["candidate"]).alias("candidate"), F.lit(g["kind"]).alias("kind"), F.lit(g["k"]).alias("k"), F.lit(float(g["setting"])).alias("setting")) for g in grid]
+    return splits.withColumn("_g", F.explode(F.array(*made))).select(*splits.columns, "_g.*")
+
+
 def _total(df: DataFrame, weight: str | None) -> float:
     return float(df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 0.0)
 
@@ -140,86 +145,7 @@ def mrmr_ridge(train_long: DataFrame, train: DataFrame, rows: DataFrame, k: int,
     return margin(fit_logistic(pick(train), c, weight=weight, features="_x"), pick(rows)).drop("_x")
 
 
-# ---- nested selection ---------------------------------------------------------------------------------------
-def contexts(outer: DataFrame, inner: DataFrame, k_inner: int) -> DataFrame:
-    """(ctx, fold, inner_fold, key, role): outer folds as inner_fold -1 and every inner split of their training rows."""
-    top = outer.select("fold", F.lit(-1).alias("inner_fold"), "key", "role")
-    low = inner.where("role = 'train'").withColumnRenamed("inner_fold", "_i").withColumn(
-        "inner_fold", F.explode(F.array(*[F.lit(i) for i in range(k_inner)])))
-    low = low.select("fold", "inner_fold", "key", F.when(F.col("_i") == F.col("inner_fold"), "test").otherwise("train").alias("role"))
-    return top.unionByName(low).withColumn("ctx", F.concat_ws("/", "fold", "inner_fold"))
-
-
-def prepared_vectors(long: DataFrame, ctx: DataFrame, harm: str = "combat", limit: float = 0.9, kmax: int = 50) -> DataFrame:
-    """Every context preprocessed, ranked and pruned at once, materialised for the fits.
-
-    ``pruned`` holds the kept features in rank order, so any k is a prefix; ``full`` holds all of them.
-    """
-    d = ctx.join(long, "key")
-    state = cut_lineage(H.fit_state(d, ["ctx"], harm))
-    z = cut_lineage(H.apply_state(d, state, ["ctx"]))
-    train = H.train_rows(z)
-    rank = S.within_site_auc_rank(train, ["ctx"])
-    vec = H.to_vectors(train, ["ctx", "key"])
-    # positions in the vectors back to feature ids, per context
-    ids = z.select("ctx", "feature").distinct().groupBy("ctx").agg(F.sort_array(F.collect_list("feature")).alias("ids"))
-    corr = same_keys(S.abs_corr_matrix(vec, "values", ["ctx"]), ids, ["ctx"]).select(
-        "ctx", F.element_at("ids", F.col("i") + 1).alias("i"), F.element_at("ids", F.col("j") + 1).alias("j"), "r")
-    order = S.corr_prune_topk(rank, corr, ["ctx"], limit, kmax)
-    wide = same_keys(z, order, ["ctx", "feature"], "left").groupBy("ctx", "fold", "inner_fold", "key", "role", "site", "y").agg(
-        F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("f"),
-        F.sort_array(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "value")))).alias("p"))
-    wide = wide.select("ctx", "fold", "inner_fold", "key", "role", "site", "y", F.transform("f", lambda x: x["value"]).alias("full"),
-                       F.transform("p", lambda x: x["value"]).alias("pruned"))
-    train_w = strata_weights(wide.where("role = 'train'"), ["site", "y"], ["ctx"], "w")
-    return cut_lineage(train_w.unionByName(wide.where("role <> 'train'").withColumn("w", F.lit(None).cast("double"))))
-
-
-def score_candidate(rows: DataFrame, cand: dict, weight: str | None = "w", label: str = "y", trees: int | None = None) -> DataFrame:
-    """Fit one setting on the training rows of a context and score all its rows."""
-    column = F.col("full") if cand["k"] == 0 else F.slice("pruned", 1, cand["k"])
-    d = rows.withColumn("_a", column).withColumn("_x", array_to_vector("_a"))
-    train = d.where("role = 'train'")
-    if cand["kind"] == "svm":
-        scored = rbf_svm(train, d, "_a", cand["setting"], label, weight)
-    elif cand["kind"] == "gbt":
-        over = {"maxIter": trees} if trees else {}
-        scored = margin(fit_gbt(train, int(cand["setting"]), label, weight, "_x", **over), d)
-    else:
-        scored = margin(fit_logistic(train, cand["setting"], 0.0, label, weight, "_x"), d)
-    return scored.select("ctx", "fold", "inner_fold", "key", "role", "site", "y", F.lit(cand["kind"]).alias("kind"),
-                         F.lit(cand["candidate"]).alias("candidate"), "score")
-
-
-def _run(jobs, parallel: int) -> DataFrame:
-    """Fit in a few threads; the scored frames stay lazy and are read together."""
-    with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(lambda j: j(), jobs))
-    return reduce(DataFrame.unionByName, done)
-
-
-def inner_surface(vectors: DataFrame, grid: Sequence[dict], parallel: int = 4, trees: int | None = None) -> DataFrame:
-    """Site-balanced AUC of every candidate on every inner split: one grouped metric over all scores."""
-    ctxs = [r["ctx"] for r in vectors.where("inner_fold >= 0").select("ctx").distinct().orderBy("ctx").collect()]
-    jobs = [lambda c=c, g=g: score_candidate(vectors.where(F.col("ctx") == c), g, trees=trees) for c in ctxs for g in grid]
-    scores = _run(jobs, parallel).where("role = 'test'")
-    return site_balanced_auc(scores, by=["fold", "inner_fold", "kind", "candidate"])
-
-
-def nested_cv(vectors: DataFrame, grid: Sequence[dict], parallel: int = 4, trees: int | None = None) -> DataFrame:
-    """Per outer fold: best candidate of each kind by mean inner score, refit on all training rows, test scored once.
-
-    Returns rows of both roles with their standardised ensemble: (fold, key, role, site, y, kind, candidate, score).
-    """
-    surface = cut_lineage(inner_surface(vectors, grid, parallel, trees))
-    chosen = argmax_tie(surface, ["fold", "kind"], ["candidate"], "sb_auc", [F.col("candidate")])
-    by_id = {g["candidate"]: g for g in grid}
-    picks = [(r["fold"], by_id[r["candidate"]]) for r in chosen.orderBy("fold", "kind").collect()]
-    outer = vectors.where("inner_fold = -1")
-    jobs = [lambda f=f, g=g: score_candidate(outer.where(F.col("fold") == f), g, trees=trees) for f, g in picks]
-    return cut_lineage(_run(jobs, parallel).drop("ctx", "inner_fold"))
-
-
+# ---- ensembles ----------------------------------------------------------------------------------------------
 def ensemble_z(scores: DataFrame, by: Sequence[str] = ("fold",), model: str = "kind", key: str = "key") -> DataFrame:
     """Mean over models of (score - training mean) / (training sd + 1e-8), on the test rows."""
     tr = F.col("role") == "train"
@@ -280,18 +206,6 @@ def platt_apply(p, a: float, b: float, eps: float = 1e-6):
     return E.sigmoid(F.lit(a) * E.logit(p, eps) + F.lit(b))
 
 
-def fit_once_predict(dev: DataFrame, new: DataFrame, cand: dict, harm: str = "combat", kmax: int = 50) -> DataFrame:
-    """Fit on all development rows, map the unlabelled rows as one new site, z-score the scores over them.
-
-    ``new`` carries no label; it takes part only through its own feature moments.
-    """
-    d = dev.withColumn("role", F.lit("train")).unionByName(new.withColumn("role", F.lit("test")).withColumn("y", F.lit(None).cast("int")))
-    keys = d.select("key", "role").distinct().withColumn("fold", F.lit(0)).withColumn("inner_fold", F.lit(-1)).withColumn("ctx", F.lit("0/-1"))
-    vectors = prepared_vectors(d.drop("role"), keys, harm, kmax=kmax)
-    s = score_candidate(vectors, cand).where("role = 'test'").select("key", "site", "score")
-    return zscore_within(s, [], "score", ddof=0)
-
-
 def transport_scores(long: DataFrame, source: str, target: str, cand: dict, em_steps: int = 10, em_tol: float = 1e-4,
                      shift: float = 0.15, kmax: int = 50) -> DataFrame:
     """Train on one site, score another under every mapping of its features: (mapping, key, y, score, p).

@@ -9,15 +9,27 @@ from evenhand.operators import diagnose as D
 from evenhand.operators import harmonise as H
 from evenhand.operators import metrics as M
 from evenhand.operators import models as L
+from evenhand.operators import search as S
 from evenhand.operators import setops as U
 from evenhand.operators import splits as K
 from evenhand.plans import frames as X
 from evenhand.plans.evaluate import CONF, ERFC, NEWTON, RATES, _auc_sql, _kw_sql, _mw_sql, draws_sql
 from evenhand.plans.fit import COMBAT
 from evenhand.plans.registry import query
-from evenhand.session import cut_lineage
 
-GRID = L.candidate_grid(top_k=(10,), logreg_c=(0.1, 1.0), ridge_c=(0.001, 0.01), svm_c=(), leaves=())
+# every setting of the batched solver; boosted trees grow round by round and are fitted on their own (``gbt``)
+GRID = [g for g in L.candidate_grid() if g["kind"] != "gbt"]
+
+
+@query("candidate_grid", ctes=["emb_split"], rounded=["setting"], sql="""
+WITH g AS (SELECT 0 AS part, 'logreg' AS kind, k, c FROM unnest([10, 25, 50]) a(k), unnest([0.01, 0.1, 1.0]) b(c) UNION ALL
+  SELECT 1, 'svm', k, c FROM unnest([10, 25, 50]) a(k), unnest([0.1, 1.0, 10.0]) b(c) UNION ALL SELECT 2, 'gbt', k, c FROM unnest([10, 25, 50]) a(k), unnest([4.0, 8.0]) b(c) UNION ALL
+  SELECT 3, 'ridge_all', 0, c FROM unnest([0.0001, 0.0003, 0.001, 0.003, 0.01]) b(c)),
+n AS (SELECT fold, count(*) AS n_train FROM emb_split WHERE role = 'train' GROUP BY fold)
+SELECT fold, n_train, (row_number() OVER (PARTITION BY fold ORDER BY part, k, c) - 1)::INT AS candidate, kind, k::INT AS k, c::DOUBLE AS setting FROM n, g""")
+def _(spark, sf):
+    n = X.emb_split(spark, sf).where("role = 'train'").groupBy("fold").agg(F.count(F.lit(1)).alias("n_train"))
+    return L.fits_of(n)
 
 
 def _weighted_rows(spark, sf):
@@ -27,12 +39,26 @@ def _weighted_rows(spark, sf):
     return d.join(w.select("key", "w"), "key", "left")
 
 
-@query("logreg", rounded=["score"], digits=4)
-def _(spark, sf):
-    from pyspark.ml.functions import array_to_vector
+# Accelerated gradient steps on the penalised loss; the bound of the curvature is the trace of its Gram matrix.
+RIDGE = """tz AS (SELECT fold, feature, avg(value) AS m, stddev_pop(value) + 1e-8 AS s FROM long_folds WHERE role = 'train' GROUP BY ALL),
+ws AS (SELECT fold, site, y, count(*) AS n FROM emb_split WHERE role = 'train' GROUP BY ALL),
+wt AS (SELECT fold, site, y, sum(n) OVER (PARTITION BY fold) / (count(*) OVER (PARTITION BY fold) * n) AS w FROM ws),
+zr AS (SELECT l.fold, l.key, l.role, l.site, l.y, list((value - m) / s ORDER BY feature) || [1.0::DOUBLE] AS z FROM long_folds l JOIN tz USING (fold, feature) GROUP BY ALL),
+tr AS (SELECT zr.*, w FROM zr JOIN wt USING (fold, site, y) WHERE role = 'train'),
+lp AS (SELECT fold, 1 + {c} / 4 * sum(w * list_dot_product(z, z)) AS l FROM tr GROUP BY fold),
+nag AS (SELECT 0 AS i, fold, list_transform(range(65), lambda j: 0.0::DOUBLE) AS b, list_transform(range(65), lambda j: 0.0::DOUBLE) AS m FROM lp
+  UNION ALL
+  SELECT i + 1, fold, list(nb ORDER BY j), list(nb + (sqrt(l) - 1) / (sqrt(l) + 1) * (nb - b) ORDER BY j) FROM (
+    SELECT i, fold, l, j, any_value(b[j]) AS b, any_value(m[j]) - (CASE WHEN j <= 64 THEN any_value(m[j]) ELSE 0 END + {c} * sum(r * z[j])) / l AS nb FROM (
+      SELECT n.i, n.fold, n.b, n.m, lp.l, tr.z, w * (1 / (1 + exp(-list_dot_product(tr.z, n.m))) - tr.y) AS r FROM nag n JOIN tr USING (fold) JOIN lp USING (fold) WHERE n.i < 300), range(1, 66) d(j)
+    GROUP BY i, fold, l, j) GROUP BY i, fold)"""
 
-    d = _weighted_rows(spark, sf).withColumn("_x", array_to_vector("values"))
-    return L.margin(L.fit_logistic(d.where("role = 'train'"), 0.1, weight="w", features="_x"), d).select("key", "role", "score")
+
+@query("logreg", ctes=["long_folds"], rounded=["score"], digits=4, sql=f"""WITH RECURSIVE {RIDGE.format(c=0.01)}
+SELECT fold, key, list_dot_product(z, b) AS score FROM zr JOIN nag USING (fold) WHERE role = 'test' AND i = 300""")
+def _(spark, sf):
+    plan = S.pooled_plan(X.wide_emb(spark, sf), seeds=(7,), k=3)
+    return S.fixed(plan, [{"candidate": 0, "kind": "logreg", "k": 0, "setting": 0.01}]).select("fold", "key", "score")
 
 
 @query("rbf_svm", rounded=["score"], digits=4)
@@ -68,46 +94,55 @@ def _(spark, sf):
     return L.mrmr_ridge(long, d.where("role = 'train'"), d, 8, 1.0, weight="w").select("key", "role", "score")
 
 
-def _vectors(spark, sf, harm="combat"):
-    """Prepared vectors of two outer and two inner folds."""
-    labels = X.obs_emb(spark, sf)
-    outer = K.stratified_kfold(labels, "key", ["site", "y"], 2, 11)
-    inner = K.inner_kfold(outer, labels, "key", ["site", "y"], 2)
-    # the split is frozen as a table, so no later step can draw it anew
-    return L.prepared_vectors(X.long_emb(spark, sf), cut_lineage(L.contexts(outer, inner, 2)), harm, kmax=25)
+def _plan(spark, sf):
+    """Five seeds of five outer folds, three inner ones each."""
+    return S.pooled_plan(X.wide_emb(spark, sf))
 
 
 @query("inner_surface", rounded=["sb_auc"], digits=4)
 def _(spark, sf):
-    return L.inner_surface(_vectors(spark, sf), GRID)
+    return S.search(_plan(spark, sf), GRID).surface
+
+
+@query("nested_choices", rounded=["inner_mean", "inner_sd"], digits=4)
+def _(spark, sf):
+    return S.search(_plan(spark, sf), GRID).chosen
 
 
 @query("nested_cv", rounded=["score"], digits=4)
 def _(spark, sf):
-    scores = L.nested_cv(_vectors(spark, sf), GRID)
-    return L.ensemble_z(scores)
+    return S.ensemble(S.search(_plan(spark, sf), GRID).outer, ["seed", "fold"])
+
+
+@query("seed_summary", rounded=["mean", "sd", "seed_avg", "lo", "hi"], digits=4)
+def _(spark, sf):
+    return S.seed_summary(S.with_ensemble(S.search(_plan(spark, sf), GRID).outer, ["seed", "fold"]))
+
+
+@query("held_out_auc", rounded=["auc"], digits=4)
+def _(spark, sf):
+    return S.held_out_auc(S.search(S.held_out_plan(X.wide_emb(spark, sf)), GRID).outer)
 
 
 @query("site_leak_auc", rounded=["site_leak_auc"], digits=4)
 def _(spark, sf):
-    v = _vectors(spark, sf, "none")
-    return D.site_leak_auc(v.where("inner_fold = -1"))
+    return S.site_leak(_plan(spark, sf), "combat")
 
 
 @query("domain_classifier", rounded=["pooled_auc"], digits=4)
 def _(spark, sf):
-    return D.domain_classifier(_vectors(spark, sf, "none"), (0.1, 1.0))
+    return S.domain_classifier(_plan(spark, sf))
 
 
 @query("naive_baseline", rounded=["pooled_auc", "sb_auc", "site_auc"], digits=4)
 def _(spark, sf):
-    return D.naive_baseline(_vectors(spark, sf, "none"))
+    return D.baseline_metrics(S.naive_scores(_plan(spark, sf)), ["seed"])
 
 
-@query("fit_once_predict", rounded=["score", "z"], digits=4)
+@query("fit_once_predict", rounded=["score"], digits=4)
 def _(spark, sf):
-    d = X.long_emb(spark, sf)
-    return L.fit_once_predict(d.where("site <> 'S3'"), d.where("site = 'S3'").drop("y"), {"candidate": 0, "kind": "logreg", "k": 10, "setting": 0.1})
+    d = X.wide_emb(spark, sf).select("key", "site", "y", F.slice("features", 1, 32).alias("low"), F.slice("features", 33, 32).alias("high"))
+    return S.locked_scores(d.where("site <> 'S3'"), d.where("site = 'S3'").drop("y"), {"low": "low", "high": "high"}, GRID)
 
 
 @query("transport_scores", rounded=["score", "p"], digits=4)
