@@ -108,11 +108,10 @@ def best_container(series: DataFrame, annotations: DataFrame, patient: str, cont
 
 
 BLOCK = ["site", "band", "part"]
-BEST = "key long, site string, band int, part int, other long, dist double"
 
 
 def nearest_neighbours(df: DataFrame, key: str, site: str, features: str, block_rows: int = 2000) -> DataFrame:
-    """Exact nearest neighbour of every row inside its site and outside it.
+    """Exact nearest neighbour of every row inside its site and outside it: the exact mode of ``neighbours.indexed_neighbours``.
 
     Rows are cut into blocks of similar norm. A block pair is the unit of work: it takes its distances as one
     matrix product and emits each row's best partner, never the pairs. Norms bound distances from below
@@ -121,6 +120,8 @@ def nearest_neighbours(df: DataFrame, key: str, site: str, features: str, block_
     """
     norm = F.sqrt(F.aggregate(F.col(features), F.lit(0.0), lambda a, x: a + x * x))
     rows = df.select(F.col(key).alias("key"), F.col(site).alias("site"), F.col(features).alias("f"), norm.alias("norm"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "site")}
+    best_row = f"key {kinds['key']}, site {kinds['site']}, band int, part int, other {kinds['key']}, dist double"
     nb = max(1, -(-rows.count() // block_rows))
     cuts = sorted(set(rows.approxQuantile("norm", [i / nb for i in range(1, nb)], 0.1 / nb))) if nb > 1 else []
     band_of = lambda v: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= v)) if cuts else F.lit(0)
@@ -146,7 +147,7 @@ def nearest_neighbours(df: DataFrame, key: str, site: str, features: str, block_
         left = todo.join(rows.select(*[F.col(c).alias(f"l_{c}") for c in BLOCK], "key", "f"), [f"l_{c}" for c in BLOCK])
         right = todo.join(rows.select(*[F.col(c).alias(f"r_{c}") for c in BLOCK], "key", "f"), [f"r_{c}" for c in BLOCK])
         left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # fresh column ids for the cogroup
-        return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(_best_partners, BEST)
+        return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(_best_partners, best_row)
 
     own = blocks.select(*[F.col(c).alias(f"l_{c}") for c in BLOCK], *[F.col(c).alias(f"r_{c}") for c in BLOCK])
     within = partners(refine(partners(own, True), True), True)

@@ -8,6 +8,7 @@ from evenhand.functions import expr as E
 from evenhand.operators import aggregate as A
 from evenhand.operators import clean as P
 from evenhand.operators import joins as J
+from evenhand.operators import neighbours as V
 from evenhand.operators import setops as U
 from evenhand.plans import frames as X
 from evenhand.plans.registry import query
@@ -356,6 +357,17 @@ def _(spark, sf):
     return J.nearest_neighbours(_standardised(spark, sf), "key", "site", "features")
 
 
+@query("indexed_neighbours", rounded=["d_within", "d_across"], digits=5)
+def _(spark, sf):
+    return V.indexed_neighbours(_standardised(spark, sf), "key", "site", "features")
+
+
+@query("neighbour_recall", rounded=["recall"])
+def _(spark, sf):
+    rows = _standardised(spark, sf)
+    return V.recall(rows, V.indexed_neighbours(rows, "key", "site", "features"), "key", "site", "features")
+
+
 @query("duplicate_candidates", rounded=["d_across", "threshold"], digits=5, sql=f"""WITH {NN}
 SELECT key, site, nn_across, d_across, t AS threshold FROM nn, (SELECT quantile_cont(d_within, 0.5) AS t FROM nn) WHERE d_across < t""")
 def _(spark, sf):
