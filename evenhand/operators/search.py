@@ -16,7 +16,7 @@ State is bounded by contexts, sites and features, not by rows; its size is check
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -461,6 +461,24 @@ def _normal(shared, betas, grid: list[dict]):
     return run
 
 
+def descend(h: np.ndarray, g: np.ndarray, beta: np.ndarray, penalty: np.ndarray, sweeps: int = 1000) -> np.ndarray:
+    """The step d that lowers g d + d h d / 2 + sum penalty |beta + d| most, by coordinate descent on the Gram matrix h."""
+    x, slope, diagonal = beta.copy(), g.copy(), np.diag(h)
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(len(x)):
+            z = x[j] - slope[j] / diagonal[j]
+            new = np.sign(z) * max(abs(z) - penalty[j] / diagonal[j], 0.0)
+            move = new - x[j]
+            if move:
+                slope += h[:, j] * move
+                x[j] = new
+                most = max(most, abs(move))
+        if most < 1e-11:
+            break
+    return x - beta
+
+
 def _step(betas, grid: list[dict]):
     """Sums of all tasks to the Newton step of each fit; the intercept is free of the penalty."""
 
@@ -469,20 +487,23 @@ def _step(betas, grid: list[dict]):
         beta, cost = betas.value[ctx, c], grid[c]["setting"]
         s = sum(np.frombuffer(b) for b in group.column("sums").to_pylist()) * cost
         d = len(beta)
+        l1 = grid[c].get("l1", 0.0)
         held = np.r_[np.ones(d - 1), 0.0]
         h = np.zeros((d, d))
         h[np.triu_indices(d)] = s[1 + d:]
-        h = h + np.triu(h, 1).T + np.diag(held + 1e-10)
-        g = s[1: 1 + d] + held * beta
-        step = np.linalg.solve(h, -g)
-        value = s[0] + 0.5 * float(beta[:-1] @ beta[:-1])
-        return pa.table({"ctx": pa.array([ctx], pa.int32()), "candidate": pa.array([c], pa.int32()), "value": [value], "gain": [float(-g @ step)], "step": [step.tobytes()]})
+        h = h + np.triu(h, 1).T + np.diag((1 - l1) * held + 1e-10)
+        g = s[1: 1 + d] + (1 - l1) * held * beta
+        step = descend(h, g, beta, l1 * held) if l1 else np.linalg.solve(h, -g)
+        size = lambda b: l1 * float(np.abs(b[:-1]).sum())
+        value = s[0] + 0.5 * (1 - l1) * float(beta[:-1] @ beta[:-1]) + size(beta)
+        gain = -float(g @ step) - size(beta + step) + size(beta)
+        return pa.table({"ctx": pa.array([ctx], pa.int32()), "candidate": pa.array([c], pa.int32()), "value": [value], "gain": [gain], "step": [step.tobytes()]})
 
     return run
 
 
 def fit_all(plan: Plan, made: Prepared, grid: Sequence[dict], shared=None, contexts: Sequence[int] | None = None, steps: dict = STEPS, tolerance: dict = TOLERANCE) -> dict:
-    """Coefficients of every (context, candidate), intercept last: min 1/2 |b|^2 + C sum w loss.
+    """Coefficients of every (context, candidate), intercept last: min (1 - l1) / 2 |b|^2 + l1 |b|_1 + C sum w loss; ``l1`` is 0 unless given.
 
     One job per Newton step for all fits that are still open; a step that does not lower the objective is halved. A candidate may
     have a ``target`` (a site told from the others in place of the label) and be ``plain`` (all weights one).
@@ -631,6 +652,32 @@ def fixed(plan: Plan, grid: Sequence[dict], harm: str = "none", roles: Sequence[
     return _named(plan, out.select(_slot(plan), "role", "key", "site", "y", "candidate", "score"))
 
 
+def lasso_select(plan: Plan, c: float, l1: float = 1.0, harm: str = "none") -> DataFrame:
+    """(slot names, feature, coef): what a sparse fit on each outer training part keeps, |coef| above 1e-8. A slot without a row keeps nothing."""
+    made, shared = share(plan, [], harm)
+    grid = [{"candidate": 0, "kind": "logreg", "k": 0, "setting": c, "l1": l1}]
+    beta = fit_all(plan, made, grid, shared, outer_contexts(plan))
+    rows = [(i, int(f), float(v)) for i, ctx in enumerate(outer_contexts(plan)) for f, v in zip(made.full[ctx], beta[ctx, 0]) if abs(v) > 1e-8]
+    return _named(plan, plan.rows.sparkSession.createDataFrame(rows, "slot int, feature int, coef double"))
+
+
+def capped_elastic_net(plan: Plan, c: float, l1: float, cap: int = 8, harm: str = "none") -> DataFrame:
+    """(slot names, key, site, y, score, n_selected) of the test rows: an elastic net, its ``cap`` largest non-zero coefficients (ties to the
+    lower feature), and a second fit on those alone. With nothing kept the score is the intercept, the log odds of the weighted training rows."""
+    made, shared = share(plan, [], harm)
+    grid = [{"candidate": 0, "kind": "logreg", "k": 0, "setting": c, "l1": l1}]
+    beta = fit_all(plan, made, grid, shared, outer_contexts(plan))
+    kept = {}
+    for ctx in outer_contexts(plan):
+        size = np.abs(beta[ctx, 0][:-1])
+        best = np.lexsort((np.arange(len(size)), -size))[:cap]
+        kept[ctx] = np.sort(made.full[ctx][best[size[best] > 0]])
+    few = replace(made, full=[kept.get(ctx, f) for ctx, f in enumerate(made.full)])
+    scored = fixed(plan, grid, harm, ("test",), (few, plan.rows.sparkSession.sparkContext.broadcast(few)))
+    n = plan.rows.sparkSession.createDataFrame([(i, len(kept[ctx])) for i, ctx in enumerate(outer_contexts(plan))], "slot int, n_selected int")
+    return same_keys(scored.drop("role", "candidate"), _named(plan, n), list(plan.slots[0]))
+
+
 # ---- what is read off a search ------------------------------------------------------------------------------
 def ensemble(outer: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, key, site, y, score): mean over the chosen models of their scores, standardised by those of the training rows; test rows only."""

@@ -39,26 +39,35 @@ def _weighted_rows(spark, sf):
     return d.join(w.select("key", "w"), "key", "left")
 
 
-# Accelerated gradient steps on the penalised loss; the bound of the curvature is the trace of its Gram matrix.
-RIDGE = """tz AS (SELECT fold, feature, avg(value) AS m, stddev_pop(value) + 1e-8 AS s FROM long_folds WHERE role = 'train' GROUP BY ALL),
+def sparse_sql(name, rows, c, l1, width):
+    """CTE ``name`` (i, fold, b, m): accelerated gradient steps on the penalised loss, soft thresholds for the l1 part; the bound of the curvature
+    is the trace of the Gram matrix. ``rows``: fold, y, w, z with the constant last."""
+    return f"""lp_{name} AS (SELECT fold, {1 - l1} + {c} / 4 * sum(w * list_dot_product(z, z)) AS l FROM {rows} GROUP BY fold),
+{name} AS (SELECT 0 AS i, fold, list_transform(range({width + 1}), lambda j: 0.0::DOUBLE) AS b, list_transform(range({width + 1}), lambda j: 0.0::DOUBLE) AS m FROM lp_{name}
+  UNION ALL
+  SELECT i + 1, fold, list(nb ORDER BY j), list(nb + (sqrt(l) - 1) / (sqrt(l) + 1) * (nb - b) ORDER BY j) FROM (
+   SELECT *, CASE WHEN j <= {width} THEN sign(gb) * greatest(abs(gb) - {l1} / l, 0) ELSE gb END AS nb FROM (
+    SELECT i, fold, l, j, any_value(b[j]) AS b, any_value(m[j]) - ({1 - l1} * CASE WHEN j <= {width} THEN any_value(m[j]) ELSE 0 END + {c} * sum(r * z[j])) / l AS gb FROM (
+      SELECT n.i, n.fold, n.b, n.m, lp.l, t.z, w * (1 / (1 + exp(-list_dot_product(t.z, n.m))) - t.y) AS r FROM {name} n JOIN {rows} t USING (fold) JOIN lp_{name} lp USING (fold) WHERE n.i < 400), range(1, {width + 2}) d(j)
+    GROUP BY i, fold, l, j)) GROUP BY i, fold)"""
+
+
+# standardised training rows of the three folds with their weights
+ROWS = """tz AS (SELECT fold, feature, avg(value) AS m, stddev_pop(value) + 1e-8 AS s FROM long_folds WHERE role = 'train' GROUP BY ALL),
 ws AS (SELECT fold, site, y, count(*) AS n FROM emb_split WHERE role = 'train' GROUP BY ALL),
 wt AS (SELECT fold, site, y, sum(n) OVER (PARTITION BY fold) / (count(*) OVER (PARTITION BY fold) * n) AS w FROM ws),
 zr AS (SELECT l.fold, l.key, l.role, l.site, l.y, list((value - m) / s ORDER BY feature) || [1.0::DOUBLE] AS z FROM long_folds l JOIN tz USING (fold, feature) GROUP BY ALL),
-tr AS (SELECT zr.*, w FROM zr JOIN wt USING (fold, site, y) WHERE role = 'train'),
-lp AS (SELECT fold, 1 + {c} / 4 * sum(w * list_dot_product(z, z)) AS l FROM tr GROUP BY fold),
-nag AS (SELECT 0 AS i, fold, list_transform(range(65), lambda j: 0.0::DOUBLE) AS b, list_transform(range(65), lambda j: 0.0::DOUBLE) AS m FROM lp
-  UNION ALL
-  SELECT i + 1, fold, list(nb ORDER BY j), list(nb + (sqrt(l) - 1) / (sqrt(l) + 1) * (nb - b) ORDER BY j) FROM (
-    SELECT i, fold, l, j, any_value(b[j]) AS b, any_value(m[j]) - (CASE WHEN j <= 64 THEN any_value(m[j]) ELSE 0 END + {c} * sum(r * z[j])) / l AS nb FROM (
-      SELECT n.i, n.fold, n.b, n.m, lp.l, tr.z, w * (1 / (1 + exp(-list_dot_product(tr.z, n.m))) - tr.y) AS r FROM nag n JOIN tr USING (fold) JOIN lp USING (fold) WHERE n.i < 300), range(1, 66) d(j)
-    GROUP BY i, fold, l, j) GROUP BY i, fold)"""
+tr AS (SELECT zr.*, w FROM zr JOIN wt USING (fold, site, y) WHERE role = 'train')"""
+
+
+def _folds(spark, sf):
+    return S.pooled_plan(X.wide_emb(spark, sf), seeds=(7,), k=3)
 
 
-@query("logreg", ctes=["long_folds"], rounded=["score"], digits=4, sql=f"""WITH RECURSIVE {RIDGE.format(c=0.01)}
-SELECT fold, key, list_dot_product(z, b) AS score FROM zr JOIN nag USING (fold) WHERE role = 'test' AND i = 300""")
+@query("logreg", ctes=["long_folds"], rounded=["score"], digits=4, sql=f"""WITH RECURSIVE {ROWS}, {sparse_sql('nag', 'tr', 0.01, 0, 64)}
+SELECT fold, key, list_dot_product(z, b) AS score FROM zr JOIN nag USING (fold) WHERE role = 'test' AND i = 400""")
 def _(spark, sf):
-    plan = S.pooled_plan(X.wide_emb(spark, sf), seeds=(7,), k=3)
-    return S.fixed(plan, [{"candidate": 0, "kind": "logreg", "k": 0, "setting": 0.01}]).select("fold", "key", "score")
+    return S.fixed(_folds(spark, sf), [{"candidate": 0, "kind": "logreg", "k": 0, "setting": 0.01}]).select("fold", "key", "score")
 
 
 @query("rbf_svm", rounded=["score"], digits=4)
@@ -75,16 +84,20 @@ def _(spark, sf):
     return L.margin(L.fit_gbt(d.where("role = 'train'"), 4, weight="w", features="_x", maxIter=20), d).select("key", "role", "score")
 
 
-@query("lasso_select", rounded=["coef"], digits=4)
+@query("lasso_select", ctes=["long_folds"], rounded=["coef"], digits=4, sql=f"""WITH RECURSIVE {ROWS}, {sparse_sql('nag', 'tr', 0.1, 1, 64)}
+SELECT fold, j::INT - 1 AS feature, b[j] AS coef FROM nag, range(1, 65) t(j) WHERE i = 400 AND abs(b[j]) > 1e-8""")
 def _(spark, sf):
-    d = _weighted_rows(spark, sf)
-    return L.lasso_select(d.where("role = 'train'"), 0.5, weight="w")
+    return S.lasso_select(_folds(spark, sf), 0.1).drop("seed")
 
 
-@query("capped_elastic_net", rounded=["score"], digits=4)
+@query("capped_elastic_net", ctes=["long_folds"], rounded=["score"], digits=4, sql=f"""WITH RECURSIVE {ROWS}, {sparse_sql('nag', 'tr', 0.05, 0.5, 64)},
+pick AS (SELECT fold, j, row_number() OVER (PARTITION BY fold ORDER BY abs(b[j]) DESC, j) AS rn FROM nag, range(1, 65) t(j) WHERE i = 400 AND b[j] <> 0),
+keep AS (SELECT fold, list(j ORDER BY j) AS js FROM pick WHERE rn <= 8 GROUP BY fold),
+zk AS (SELECT zr.* EXCLUDE (z), len(js) AS n_selected, list_transform(js, lambda j: z[j]) || list_transform(range(8 - len(js)), lambda j: 0.0::DOUBLE) || [1.0::DOUBLE] AS z FROM zr JOIN keep USING (fold)),
+tk AS (SELECT zk.*, w FROM zk JOIN wt USING (fold, site, y) WHERE role = 'train'), {sparse_sql('again', 'tk', 0.05, 0.5, 8)}
+SELECT fold, key, list_dot_product(z, b) AS score, n_selected::INT AS n_selected FROM zk JOIN again USING (fold) WHERE role = 'test' AND i = 400""")
 def _(spark, sf):
-    d = _weighted_rows(spark, sf)
-    return L.capped_elastic_net(d.where("role = 'train'"), d, 0.1, 0.5, weight="w").select("key", "role", "score", "n_selected")
+    return S.capped_elastic_net(_folds(spark, sf), 0.05, 0.5).select("fold", "key", "score", "n_selected")
 
 
 @query("mrmr_ridge", rounded=["score"], digits=4)

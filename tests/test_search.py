@@ -209,3 +209,32 @@ def test_locked_rows_take_part_by_their_moments_only(spark, case):
 def test_grid_has_its_29_settings_in_order():
     grid = L.candidate_grid()
     assert len(grid) == 29 and [g["candidate"] for g in grid] == list(range(29)) and {g["kind"] for g in grid[:9]} == {"logreg"}
+
+
+def test_sparse_fits_meet_the_optimality_conditions(case):
+    rows, plan = case
+    c, l1 = 0.2, 0.7
+    made, shared = S.share(plan, [], "none")
+    grid = [{"candidate": 0, "kind": "logreg", "k": 0, "setting": c, "l1": l1}, {"candidate": 1, "kind": "logreg", "k": 0, "setting": 0.001, "l1": 1.0}]
+    ctx, parts = 0, splits(plan)
+    beta = S.fit_all(plan, made, grid, shared, [ctx], tolerance={"svm": 1e-5, "logistic": 1e-12})
+    tr = parts[ctx][0]
+    x = np.array([[np.nan if v is None else v for v in rows[k][3]] for k in tr])
+    site, y = np.array([made.sites[rows[k][1]] for k in tr]), np.array([rows[k][2] for k in tr])
+    a = S.Designs(made, ctx, made.z(ctx, x, site)).of("logreg", 0)
+    b = beta[ctx, 0]
+    grad = c * a.T @ (made.weight[ctx, site, y] * (1 / (1 + np.exp(-a @ b)) - y)) + np.r_[(1 - l1) * b[:-1], 0.0]
+    on = b[:-1] != 0
+    assert 0 < on.sum() < len(on) and abs(grad[-1]) < 1e-6
+    assert np.allclose(grad[:-1][on], -l1 * np.sign(b[:-1][on]), atol=1e-6) and (np.abs(grad[:-1][~on]) <= l1 + 1e-6).all()
+    assert not beta[ctx, 1][:-1].any()
+    table = S.lasso_select(plan, c, l1).where("seed = 3 AND fold = 0").collect()
+    assert {r["feature"]: pytest.approx(r["coef"], abs=1e-5) for r in table} == {f: v for f, v in zip(made.full[ctx].tolist(), b) if v}
+
+
+def test_capped_net_keeps_few_and_falls_back_to_the_prior(case):
+    rows, plan = case
+    some = S.capped_elastic_net(plan, 1.0, 0.5, cap=2).collect()
+    assert len(some) == 2 * 150 and {r["n_selected"] for r in some} == {2}
+    none = S.capped_elastic_net(plan, 1e-5, 1.0).where("seed = 3 AND fold = 0").collect()
+    assert {r["n_selected"] for r in none} == {0} and len({round(r["score"], 6) for r in none}) == 1 and abs(none[0]["score"]) < 1e-6
