@@ -42,6 +42,18 @@ def prediction_shift(oof: DataFrame, site_a: str, site_b: str, by: Sequence[str]
     return same_keys(j.withColumn("median_diff", F.col("median_a") - F.col("median_b")), delta, [*by, "y"])
 
 
+def prediction_shifts(oof: DataFrame, by: Sequence[str] = (), s: str = "score") -> DataFrame:
+    """``prediction_shift`` of every pair of sites (site_a before site_b). A row takes part once for each other site."""
+    keys = [*by, "y"]
+    q = quantiles(oof, [*keys, "site"], s, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    side = lambda n: q.select(*keys, F.col("site").alias(f"site_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("q1", "median", "q3")])
+    pairs = same_keys(side("a"), side("b"), keys).where("site_a < site_b").withColumn("median_diff", F.col("median_a") - F.col("median_b"))
+    sites = oof.agg(F.sort_array(F.collect_set("site")).alias("s")).select("s").scalar()
+    met = oof.select(*keys, "site", s, F.explode(F.filter(sites, lambda x: x != F.col("site"))).alias("_o"))
+    met = met.select(*keys, s, F.least("site", "_o").alias("site_a"), F.greatest("site", "_o").alias("site_b"), (F.col("site") < F.col("_o")).cast("int").alias("_is"))
+    return same_keys(pairs, cliffs_delta(met, s, "_is", [*keys, "site_a", "site_b"]), [*keys, "site_a", "site_b"])
+
+
 def subgroup_metrics(df: DataFrame, groups: dict, y: str = "y", s: str = "score") -> DataFrame:
     """n and AUC in named, possibly overlapping strata; NULL AUC where one class is missing."""
     marks = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in groups.items()]))

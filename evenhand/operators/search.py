@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from evenhand.functions import expr as E
 from evenhand.operators import harmonise as H
 from evenhand.operators.core import attach_stats, same_keys
-from evenhand.operators.metrics import auc_by_group, site_balanced_auc, weighted_auc
+from evenhand.operators.metrics import auc_by_group, confusion, site_balanced_auc, weighted_auc
 from evenhand.operators.resample import percentiles
 from evenhand.operators.splits import inner_kfold, leave_one_site_out, repeated_kfold, strata_weights
 from evenhand.operators.weightings import WIDTH, pack, replicate_counts, vector_areas
@@ -46,7 +46,7 @@ TOLERANCE = {"svm": 1e-5, "logistic": 1e-9}
 # ---- slots --------------------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Plan:
-    """Rows (key, site, y, x, v) with the inner fold in every slot (-1: tested there), and the names of the slots."""
+    """Rows (key, site, y, x, v) with the inner fold in every slot (-1: tested there, -2: no part in it), and the names of the slots."""
 
     rows: DataFrame
     slots: list[dict]
@@ -65,7 +65,8 @@ def parts(v: np.ndarray, slot: int, i: int) -> tuple[np.ndarray, np.ndarray]:
 def _plan(wide: DataFrame, split: DataFrame, slots: list[dict], inner: int, base_seed: int, features: str) -> Plan:
     labels = wide.select("key", "site", "y")
     low = inner_kfold(split, labels, "key", ["site", "y"], inner, base_seed)
-    v = low.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("fold", "inner_fold"))), lambda s: s["inner_fold"].cast("int")).alias("v"))
+    own = F.map_from_entries(F.collect_list(F.struct(F.col("fold").cast("int"), F.col("inner_fold").cast("int"))))
+    v = low.groupBy("key").agg(own.alias("_m")).select("key", F.transform(F.sequence(F.lit(0), F.lit(len(slots) - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(-2))).alias("v"))
     rows = wide.select("key", "site", F.col("y").cast("int").alias("y"), F.col(features).alias("x")).join(v, "key")
     return Plan(cut_lineage(rows.repartition(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")))), slots, inner)
 
@@ -87,6 +88,18 @@ def held_out_plan(wide: DataFrame, seeds: Sequence[int] = (1, 2, 3, 4, 5), inner
     return _plan(wide, split, [{"held_out": s, "seed": d} for s in sites for d in seeds], inner, base_seed, features)
 
 
+def transport_plan(wide: DataFrame, pairs: Sequence[tuple] | None = None, seeds: Sequence[int] = (1,), inner: int = 3, base_seed: int = 100, features: str = "features") -> Plan:
+    """Slots that train on one site and are scored on another: the given (source, target) pairs, or all ordered ones."""
+    if pairs is None:
+        sites = [r[0] for r in wide.select("site").distinct().orderBy("site").collect()]
+        pairs = [(a, b) for a in sites for b in sites if a != b]
+    slots = [{"source": a, "target": b, "seed": d} for a, b in pairs for d in seeds]
+    roles = F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(s["source"]).alias("a"), F.lit(s["target"]).alias("b")) for i, s in enumerate(slots)])
+    split = wide.select("key", "site", F.explode(roles).alias("r")).where((F.col("site") == F.col("r.a")) | (F.col("site") == F.col("r.b")))
+    split = split.select("r.fold", "key", F.when(F.col("site") == F.col("r.a"), "train").otherwise("test").alias("role"))
+    return _plan(wide, split, slots, inner, base_seed, features)
+
+
 def locked_plan(dev: DataFrame, new: DataFrame, inner: int = 3, base_seed: int = 100, features: str = "features") -> Plan:
     """One slot: all of ``dev`` trains, the unlabelled rows of ``new`` are scored once and take part through their own moments only."""
     rows = dev.select("key", "site", "y", features, F.lit("train").alias("_role")).unionByName(new.select("key", "site", F.lit(0).alias("y"), features, F.lit("test").alias("_role")))
@@ -587,6 +600,9 @@ class Search:
     surface: DataFrame
     chosen: DataFrame
     outer: DataFrame
+    made: Prepared
+    beta: dict  # coefficients of the chosen models, by (context, place in the grid)
+    wanted: list  # what ``scores`` takes to score them
 
 
 def _named(plan: Plan, d: DataFrame) -> DataFrame:
@@ -640,7 +656,7 @@ def search(plan: Plan, grid: Sequence[dict], harm: str = "combat", limit: float
     need = {(ctx, c): beta[ctx, c] for ctx, _, cs in wanted for c in cs}
     outer = scores(plan, shared, need, grid, wanted).select(_slot(plan), "role", "key", "site", "y", F.col("candidate").alias("_i"), "score")
     outer = cut_lineage(outer.join(kinds.select("_i", "candidate", "kind"), "_i"))
-    return Search(_named(plan, surface.drop("k", "setting")), _named(plan, chosen), _named(plan, outer))
+    return Search(_named(plan, surface.drop("k", "setting")), _named(plan, chosen), _named(plan, outer), made, need, wanted)
 
 
 def fixed(plan: Plan, grid: Sequence[dict], harm: str = "none", roles: Sequence[str] = ("test",), shared=None) -> DataFrame:
@@ -652,6 +668,15 @@ def fixed(plan: Plan, grid: Sequence[dict], harm: str = "none", roles: Sequence[
     return _named(plan, out.select(_slot(plan), "role", "key", "site", "y", "candidate", "score"))
 
 
+def fixed_on(plan: Plan, kept: DataFrame, grid: Sequence[dict], harm: str = "none") -> DataFrame:
+    """As ``fixed``, each slot on the features listed for it: ``kept`` (slot, feature), as many rows as slots have features."""
+    made, _ = share(plan, [], harm)
+    table = kept.select("slot", "feature").toPandas()
+    lists = {int(slot) * (plan.inner + 1): set(part["feature"]) for slot, part in table.groupby("slot")}
+    few = replace(made, full=[np.array([j for j in f if j in lists.get(ctx, ())], np.int64) for ctx, f in enumerate(made.full)])
+    return fixed(plan, grid, harm, ("test",), (few, plan.rows.sparkSession.sparkContext.broadcast(few)))
+
+
 def lasso_select(plan: Plan, c: float, l1: float = 1.0, harm: str = "none") -> DataFrame:
     """(slot names, feature, coef): what a sparse fit on each outer training part keeps, |coef| above 1e-8. A slot without a row keeps nothing."""
     made, shared = share(plan, [], harm)
@@ -678,6 +703,150 @@ def capped_elastic_net(plan: Plan, c: float, l1: float, cap: int = 8, harm: str
     return same_keys(scored.drop("role", "candidate"), _named(plan, n), list(plan.slots[0]))
 
 
+# ---- transport ----------------------------------------------------------------------------------------------
+def _class_sums(shared, contexts: Sequence[int], soft=None):
+    """Per context: weights, sums and squares of the imputed values, by class, of the training and of the test rows.
+
+    The classes of the test rows are their labels, or with ``soft`` (mapped state, coefficients, place in the grid, priors) the posteriors under the prior.
+    """
+
+    def run(batches):
+        made, sums = shared.value, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, site, y, v = read(batch, made.sites)
+            for ctx in contexts:
+                for role, mask in enumerate(parts(v, ctx // (made.inner + 1), -1)):
+                    rows = np.flatnonzero(mask)
+                    if not len(rows) or soft is not None and not role:
+                        continue
+                    raw, one = np.where(np.isnan(x[rows]), made.fill[ctx], x[rows]), y[rows].astype(np.float64)
+                    if soft is not None:
+                        mapped, beta, grid, prior = soft.value
+                        k, b = beta[ctx]
+                        f = Designs(mapped, ctx, mapped.z(ctx, x[rows], site[rows])).of(grid[k]["kind"], grid[k]["k"]) @ b
+                        prob = np.clip(1 / (1 + np.exp(-f)), 1e-6, 1 - 1e-6)
+                        up = prior[ctx] / 0.5 * prob
+                        one = up / (up + (1 - prior[ctx]) / 0.5 * (1 - prob))
+                    got = np.stack([np.concatenate([[w.sum()], w @ raw, w @ (raw * raw)]) for w in (1 - one, one)])
+                    sums[ctx, role] = sums.get((ctx, role), 0) + got
+        keys = list(sums)
+        yield pa.RecordBatch.from_pydict({"ctx": pa.array([k[0] for k in keys], pa.int32()), "role": pa.array([k[1] for k in keys], pa.int32()),
+                                          "sums": pa.array([sums[k].tobytes() for k in keys], pa.binary())})
+
+    return run
+
+
+def _sum_by_role(group: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(b) for b in group.column("sums").to_pylist())
+    return group.slice(0, 1).select(["ctx", "role"]).append_column("sums", pa.array([total.tobytes()], pa.binary()))
+
+
+def _classes(plan: Plan, shared, contexts, soft=None) -> dict:
+    """(context, role) -> weights, means and variances around them by class; role 1 is the test side."""
+    kinds = "ctx int, role int, sums binary"
+    rows = plan.rows.select("x", "site", "y", "v").mapInArrow(_class_sums(shared, contexts, soft), kinds).groupBy("ctx", "role").applyInArrow(_sum_by_role, kinds).toPandas()
+    out = {}
+    for ctx, role, raw in rows.itertuples(index=False):
+        m = np.frombuffer(raw).reshape(2, -1)
+        p = (m.shape[1] - 1) // 2
+        n = np.maximum(m[:, :1], 1e-8)
+        mean = m[:, 1: 1 + p] / n
+        out[int(ctx), int(role)] = (m[:, 0], mean, np.maximum(m[:, 1 + p:] / n - mean * mean, 0.0))
+    return out
+
+
+def _moments_of(cell, balanced: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Location and variance: of all rows, or the mean of the class means and the variance around them."""
+    n, mean, var = cell
+    share = (n / n.sum())[:, None]
+    if balanced:
+        return mean.mean(axis=0), (share * var).sum(axis=0)
+    loc = (share * mean).sum(axis=0)
+    return loc, (share * (var + (mean - loc) ** 2)).sum(axis=0)
+
+
+def transport(plan: Plan, grid: Sequence[dict], em_steps: int = 10, em_tol: float = 1e-4, shift: float = 0.15, threshold: float = 0.5) -> DataFrame:
+    """(source, target, seed, mapping, auc, bacc, sens, spec, prior): models searched on one site, scored on another under each mapping of its values.
+
+    none; combat (the target's own moments); balanced_em (soft class moments from the source model's posteriors under a prior that is re-estimated until
+    they settle); prior_known, prior_minus, prior_plus (the target's prevalence, and off by ``shift``); oracle (its labels). ``auc`` is of the ensemble
+    of the chosen models, the rates are of the logistic model's probability at ``threshold``. Every mapping is a line per feature, so it is a state like
+    any other: a round of the estimation is one scan for the posteriors, one for the moments of all slots.
+    """
+    grid, spark = list(grid), plan.rows.sparkSession
+    found = search(plan, grid, "none")
+    made, ctxs = found.made, outer_contexts(plan)
+    shared = spark.sparkContext.broadcast(made)
+    lead = {ctx: next((c, found.beta[ctx, c]) for c in cands if grid[c]["kind"] == "logreg") for ctx, _, cands in found.wanted}
+    cells = _classes(plan, shared, ctxs)
+    source = {ctx: _moments_of(cells[ctx, 0], True) for ctx in ctxs}
+    effect = {ctx: cells[ctx, 0][1][1] - cells[ctx, 0][1][0] for ctx in ctxs}
+    target = {ctx: made.sites[plan.slots[i]["target"]] for i, ctx in enumerate(ctxs)}
+    truth = {ctx: float(cells[ctx, 1][0][1] / cells[ctx, 1][0].sum()) for ctx in ctxs}
+    floor = lambda v: np.maximum(v, 1e-12)
+
+    def state(scale_and_centre) -> Prepared:
+        """The state with the target's values drawn to (x - centre) * scale + the source's location first."""
+        mul, add = made.mul.copy(), made.add.copy()
+        for ctx in ctxs:
+            scale, centre = scale_and_centre(ctx)
+            s = target[ctx]
+            add[ctx, s] = (source[ctx][0] - centre * scale) * made.mul[ctx, s] + made.add[ctx, s]
+            mul[ctx, s] = scale * made.mul[ctx, s]
+        return replace(made, mul=mul, add=add)
+
+    def by_moments(cells_of, balanced):
+        def at(ctx):
+            loc, var = _moments_of(cells_of[ctx, 1], balanced)
+            return np.sqrt(floor(source[ctx][1]) / floor(var)), loc
+        return state(at)
+
+    def by_prior(off):
+        def at(ctx):
+            pi = truth[ctx] if not off else min(max(truth[ctx] + off, 0.02), 0.98)
+            loc, var = _moments_of(cells[ctx, 1], False)
+            r = np.sqrt(floor(var) / floor(source[ctx][1] + pi * (1 - pi) * effect[ctx] ** 2))
+            return 1 / r, loc - (pi - 0.5) * r * effect[ctx]
+        return state(at)
+
+    states = {"none": made, "combat": by_moments(cells, False), "oracle": by_moments(cells, True), "prior_known": by_prior(0.0), "prior_minus": by_prior(-shift), "prior_plus": by_prior(shift)}
+    one = [(ctx, ("test",), [lead[ctx][0]]) for ctx in ctxs]
+    coef = {(ctx, c): b for ctx, (c, b) in lead.items()}
+
+    def posteriors(prepared):
+        d = scores(plan, spark.sparkContext.broadcast(prepared), coef, grid, one)
+        return cut_lineage(d.select("ctx", "key", (1 / (1 + F.exp(-F.col("score")))).alias("p")))
+
+    now, mapped, prior = posteriors(states["combat"]), states["combat"], {}
+    for _ in range(em_steps):
+        prior = {r["ctx"]: r["pi"] for r in H.prior_shift_em(now, "ctx").collect()}
+        mapped = by_moments(_classes(plan, shared, ctxs, spark.sparkContext.broadcast((mapped, lead, grid, prior))), True)
+        new = posteriors(mapped)
+        moved = new.join(now.withColumnRenamed("p", "_p"), ["ctx", "key"]).agg(F.max(F.abs(F.col("p") - F.col("_p")))).first()[0]
+        now = new
+        if moved is None or moved < em_tol:
+            break
+    states["balanced_em"] = mapped
+    kinds = spark.createDataFrame([(i, g["kind"]) for i, g in enumerate(grid)], "candidate int, kind string")
+    names = list(plan.slots[0])
+    train = found.outer.where("role = 'train'").groupBy(*names, "kind").agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))
+    test = [(ctx, ("test",), cands) for ctx, _, cands in found.wanted]
+    each = [scores(plan, spark.sparkContext.broadcast(m), found.beta, grid, test).withColumn("mapping", F.lit(name)) for name, m in states.items()]
+    d = reduce(DataFrame.unionByName, each).join(kinds, "candidate")
+    d = cut_lineage(same_keys(_named(plan, d.withColumn("slot", _slot(plan))), train, [*names, "kind"]))
+    by = [*names, "mapping"]
+    ens = d.groupBy(*by, "key", "y").agg(F.avg((F.col("score") - F.col("_m")) / (F.col("_s") + 1e-8)).alias("score"))
+    prob = d.where("kind = 'logreg'").withColumn("p", 1 / (1 + F.exp(-F.col("score"))))
+    rates = confusion(prob, "p", threshold, by=by)
+    rates = rates.select(*by, E.ratio("tp", F.col("tp") + F.col("fn")).alias("sens"), E.ratio("tn", F.col("tn") + F.col("fp")).alias("spec"))
+    out = same_keys(weighted_auc(ens, by=by), rates, by).withColumn("bacc", (F.col("sens") + F.col("spec")) / 2)
+    known = spark.createDataFrame([(*s.values(), m, v) for s, ctx in zip(plan.slots, ctxs) for m, v in (("balanced_em", prior.get(ctx)), ("prior_known", truth[ctx]))],
+                                  [*names, "mapping", "prior"])
+    return same_keys(out, known, by, "left")
+
+
 # ---- what is read off a search ------------------------------------------------------------------------------
 def ensemble(outer: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, key, site, y, score): mean over the chosen models of their scores, standardised by those of the training rows; test rows only."""

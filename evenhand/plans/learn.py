@@ -10,11 +10,12 @@ from evenhand.operators import harmonise as H
 from evenhand.operators import metrics as M
 from evenhand.operators import models as L
 from evenhand.operators import search as S
+from evenhand.operators import selection as R
 from evenhand.operators import setops as U
 from evenhand.operators import splits as K
 from evenhand.plans import frames as X
 from evenhand.plans.evaluate import CONF, ERFC, NEWTON, RATES, _auc_sql, _kw_sql, _mw_sql, draws_sql
-from evenhand.plans.fit import COMBAT
+from evenhand.plans.fit import ANOVA, COMBAT, CORR
 from evenhand.plans.registry import query
 
 # every setting of the batched solver; boosted trees grow round by round and are fitted on their own (``gbt``)
@@ -70,10 +71,9 @@ def _(spark, sf):
     return S.fixed(_folds(spark, sf), [{"candidate": 0, "kind": "logreg", "k": 0, "setting": 0.01}]).select("fold", "key", "score")
 
 
-@query("rbf_svm", rounded=["score"], digits=4)
+@query("rbf_svm", rounded=["score"], digits=3)
 def _(spark, sf):
-    d = _weighted_rows(spark, sf)
-    return L.rbf_svm(d.where("role = 'train'"), d, "values", 1.0, weight="w").select("key", "role", "score")
+    return S.fixed(_folds(spark, sf), [{"candidate": 0, "kind": "svm", "k": 25, "setting": 1.0}]).select("fold", "key", "score")
 
 
 @query("gbt", rounded=["score"], digits=4)
@@ -100,11 +100,20 @@ def _(spark, sf):
     return S.capped_elastic_net(_folds(spark, sf), 0.05, 0.5).select("fold", "key", "score", "n_selected")
 
 
-@query("mrmr_ridge", rounded=["score"], digits=4)
+@query("mrmr_ridge", ctes=["long_folds"], rounded=["score"], digits=4, sql=f"""WITH RECURSIVE fs AS ({ANOVA}), pairs AS ({CORR}),
+bo AS (SELECT fold, i AS feature, j AS other, r FROM pairs UNION ALL SELECT fold, j, i, r FROM pairs),
+walk AS (SELECT DISTINCT fold, 0 AS i, []::INT[] AS sel FROM fs UNION ALL SELECT fold, i + 1, list_append(sel, feature) FROM (
+  SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, feature) AS rn FROM (
+   SELECT w.fold, w.i, w.sel, c.feature, c.f - coalesce(avg(b.r), 0) AS score FROM walk w JOIN fs c ON w.fold = c.fold AND NOT list_contains(w.sel, c.feature)
+    LEFT JOIN bo b ON b.fold = c.fold AND b.feature = c.feature AND list_contains(w.sel, b.other) WHERE w.i < 8 GROUP BY w.fold, w.i, w.sel, c.feature, c.f)) WHERE rn = 1), {ROWS},
+zk AS (SELECT zr.* EXCLUDE (z), list_transform(list_sort(sel), lambda j: z[j + 1]) || [1.0::DOUBLE] AS z FROM zr JOIN walk USING (fold) WHERE i = 8),
+tk AS (SELECT zk.*, w FROM zk JOIN wt USING (fold, site, y) WHERE role = 'train'), {sparse_sql('nag', 'tk', 0.5, 0, 8)}
+SELECT fold, key, list_dot_product(z, b) AS score FROM zk JOIN nag USING (fold) WHERE role = 'test' AND i = 400""")
 def _(spark, sf):
-    d = _weighted_rows(spark, sf)
-    long = X.long_folds(spark, sf).where("fold = 0 AND role = 'train'")
-    return L.mrmr_ridge(long, d.where("role = 'train'"), d, 8, 1.0, weight="w").select("key", "role", "score")
+    long = X.long_folds(spark, sf).where("role = 'train'")
+    wide = X.emb_split(spark, sf).where("role = 'train'").join(X.wide_emb(spark, sf), "key")
+    order = R.mrmr_rank(R.anova_f(long, ["fold"]), R.abs_corr_matrix(wide, "features", ["fold"]), ["fold"], 8)
+    return S.fixed_on(_folds(spark, sf), order.withColumnRenamed("fold", "slot"), [{"candidate": 0, "kind": "logreg", "k": 0, "setting": 0.5}]).select("fold", "key", "score")
 
 
 def _plan(spark, sf):
@@ -158,9 +167,9 @@ def _(spark, sf):
     return S.locked_scores(d.where("site <> 'S3'"), d.where("site = 'S3'").drop("y"), {"low": "low", "high": "high"}, GRID)
 
 
-@query("transport_scores", rounded=["score", "p"], digits=4)
+@query("transport_scores", rounded=["auc", "bacc", "sens", "spec", "prior"], digits=3)
 def _(spark, sf):
-    return L.transport_scores(X.long_emb(spark, sf), "S0", "S1", {"candidate": 0, "kind": "logreg", "k": 10, "setting": 0.1}, em_steps=3)
+    return S.transport(S.transport_plan(X.wide_emb(spark, sf)), GRID)
 
 
 @query("pca_project", rounded=["pc1", "pc2"], digits=4)
@@ -172,11 +181,11 @@ def _(spark, sf):
 @query("kde_curve", rounded=["x", "density"], digits=5, ctes=["obs"], sql="""
 WITH d AS (SELECT site, ln(score) AS v FROM obs), e AS (SELECT quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM d),
 s AS (SELECT site, stddev_samp(v) * pow(count(*), -0.2) AS h, count(*) AS n FROM d GROUP BY site)
-SELECT site, i::INT AS i, any_value(lo + (hi - lo) * i / 99) AS x, sum(exp(-pow((lo + (hi - lo) * i / 99 - v) / h, 2) / 2) / (h * n * sqrt(2 * pi()))) AS density
-FROM d JOIN s USING (site), e, range(100) t(i) GROUP BY ALL""")
+SELECT site, i::INT AS i, any_value(lo + (hi - lo) * i / 299) AS x, sum(exp(-pow((lo + (hi - lo) * i / 299 - v) / h, 2) / 2) / (h * n * sqrt(2 * pi()))) AS density
+FROM d JOIN s USING (site), e, range(300) t(i) GROUP BY ALL""")
 def _(spark, sf):
     d = X.obs(spark, sf).withColumn("v", F.log("score"))
-    return L.kde_curve(d, "v", "site", 100)
+    return L.kde_curve(d, "v", "site")
 
 
 # ---- ensembles and fusion -----------------------------------------------------------------------------------
@@ -238,7 +247,10 @@ def _(spark, sf):
     return D.fusion_summary(sb.join(lm, "combo"), "b0")
 
 
-@query("stacked_fusion", rounded=["score"], digits=4)
+@query("stacked_fusion", ctes=["emb_split"], rounded=["score"], digits=4, sql=f"""WITH RECURSIVE {SCORED},
+pr AS (SELECT fold, role, key, y, max(score) FILTER (kind = 0) AS za, max(score) FILTER (kind = 1) AS zb FROM sc GROUP BY ALL),
+tk AS (SELECT fold, y, 1.0::DOUBLE AS w, [za, zb, 1.0::DOUBLE] AS z FROM pr WHERE role = 'train'), {sparse_sql('nag', 'tk', 1.0, 0, 2)}
+SELECT fold, key, za * b[1] + zb * b[2] + b[3] AS score FROM pr JOIN nag USING (fold) WHERE role = 'test' AND i = 400""")
 def _(spark, sf):
     d = _scored(spark, sf)
     pair = d.groupBy("fold", "role", "key", "site", "y").agg(F.max(F.when(F.col("kind") == 0, F.col("score"))).alias("za"),
@@ -270,12 +282,13 @@ SHIFT = ["q1_a", "q1_b", "median_a", "median_b", "q3_a", "q3_b", "median_diff",
 
 
 @query("prediction_shift", ctes=["prob_pair"], rounded=SHIFT, sql=f"""
-WITH q AS (SELECT y, site, quantile_cont(pa, 0.25) AS q1, median(pa) AS med, quantile_cont(pa, 0.75) AS q3 FROM prob_pair WHERE site IN ('en', 'fr') GROUP BY ALL),
-sh AS (SELECT y AS cls, pa, (site = 'en')::INT AS y FROM prob_pair WHERE site IN ('en', 'fr')), d AS ({_auc_sql('sh', 'cls', s='pa')})
-SELECT a.y, a.q1 AS q1_a, a.med AS median_a, a.q3 AS q3_a, b.q1 AS q1_b, b.med AS median_b, b.q3 AS q3_b, a.med - b.med AS median_diff, 2 * auc - 1 AS delta
-FROM q a JOIN q b ON a.y = b.y AND a.site = 'en' AND b.site = 'fr' JOIN d ON d.cls = a.y""")
+WITH q AS (SELECT y, site, quantile_cont(pa, 0.25) AS q1, median(pa) AS med, quantile_cont(pa, 0.75) AS q3 FROM prob_pair GROUP BY ALL),
+sites AS (SELECT DISTINCT site FROM prob_pair), pairs AS (SELECT a.site AS site_a, b.site AS site_b FROM sites a JOIN sites b ON a.site < b.site),
+sh AS (SELECT y AS cls, site_a, site_b, pa, (site = site_a)::INT AS y FROM prob_pair JOIN pairs ON site = site_a OR site = site_b), d AS ({_auc_sql('sh', 'cls, site_a, site_b', s='pa')})
+SELECT a.y, d.site_a, d.site_b, a.q1 AS q1_a, a.med AS median_a, a.q3 AS q3_a, b.q1 AS q1_b, b.med AS median_b, b.q3 AS q3_b, a.med - b.med AS median_diff, 2 * auc - 1 AS delta
+FROM d JOIN q a ON a.y = d.cls AND a.site = d.site_a JOIN q b ON b.y = d.cls AND b.site = d.site_b""")
 def _(spark, sf):
-    return D.prediction_shift(X.prob_pair(spark, sf), "en", "fr", s="pa")
+    return D.prediction_shifts(X.prob_pair(spark, sf), s="pa")
 
 
 @query("subgroup_metrics", ctes=["obs_pair"], rounded=["auc"], sql=f"""

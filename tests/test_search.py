@@ -238,3 +238,69 @@ def test_capped_net_keeps_few_and_falls_back_to_the_prior(case):
     assert len(some) == 2 * 150 and {r["n_selected"] for r in some} == {2}
     none = S.capped_elastic_net(plan, 1e-5, 1.0).where("seed = 3 AND fold = 0").collect()
     assert {r["n_selected"] for r in none} == {0} and len({round(r["score"], 6) for r in none}) == 1 and abs(none[0]["score"]) < 1e-6
+
+
+def test_transport_against_numpy(spark, case):
+    rows, _ = case
+    wide = spark.createDataFrame(rows, "key int, site string, y int, features array<double>")
+    plan = S.transport_plan(wide, [("a", "b|1"), ("b|1", "")], inner=2)
+    grid = [{"candidate": 0, "kind": "logreg", "k": 2, "setting": 0.1}, {"candidate": 1, "kind": "logreg", "k": 4, "setting": 1.0}, {"candidate": 2, "kind": "ridge_all", "k": 0, "setting": 0.01}]
+    got = {(r["source"], r["target"], r["mapping"]): r for r in S.transport(plan, grid, em_steps=4).collect()}
+    assert len(got) == 2 * 7
+    found = S.search(plan, grid, "none")
+    x = np.array([[np.nan if v is None else v for v in r[3]] for r in rows])
+    site, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    for i, slot in enumerate(plan.slots):
+        ctx, s, t = i * 3, site == slot["source"], site == slot["target"]
+        made = found.made
+        xs, xt = (np.where(np.isnan(x[m]), made.fill[ctx], x[m]) for m in (s, t))
+        ys, yt = y[s], y[t]
+        mul, add = made.mul[ctx, made.sites[slot["source"]]], made.add[ctx, made.sites[slot["source"]]]
+
+        def soft(v, w):
+            m1, m0 = np.average(v, axis=0, weights=w), np.average(v, axis=0, weights=1 - w)
+            return (m1 + m0) / 2, (w[:, None] * (v - m1) ** 2 + (1 - w[:, None]) * (v - m0) ** 2).mean(0)
+
+        loc, var = soft(xs, ys.astype(float))
+        delta = xs[ys == 1].mean(0) - xs[ys == 0].mean(0)
+
+        def run(values):
+            z, out, prob = values * mul + add, [], None
+            for c in found.wanted[i][2]:
+                cols = made.columns(ctx, grid[c]["k"])
+                b = found.beta[ctx, c]
+                f = lambda q: q[:, cols] @ b[:-1] + b[-1]
+                tr = f(xs * mul + add)
+                out.append((f(z) - tr.mean()) / (tr.std() + 1e-8))
+                if grid[c]["kind"] == "logreg":
+                    prob = 1 / (1 + np.exp(-f(z)))
+            return np.mean(out, axis=0), prob
+
+        def moved(l, v):
+            return (xt - l) / np.sqrt(np.maximum(v, 1e-12)) * np.sqrt(np.maximum(var, 1e-12)) + loc
+
+        def by_prior(pi):
+            r = np.sqrt(np.maximum(xt.var(0), 1e-12) / np.maximum(var + pi * (1 - pi) * delta**2, 1e-12))
+            return (xt - (xt.mean(0) - (pi - 0.5) * r * delta)) / r + loc
+
+        want = {"none": xt, "combat": moved(xt.mean(0), xt.var(0)), "oracle": moved(*soft(xt, yt.astype(float))), "prior_known": by_prior(yt.mean()),
+                "prior_minus": by_prior(np.clip(yt.mean() - 0.15, 0.02, 0.98)), "prior_plus": by_prior(np.clip(yt.mean() + 0.15, 0.02, 0.98))}
+        now = want["combat"]
+        for _ in range(4):
+            p, pi = np.clip(run(now)[1], 1e-6, 1 - 1e-6), 0.5
+            for _ in range(100):
+                q = pi / 0.5 * p / (pi / 0.5 * p + (1 - pi) / 0.5 * (1 - p))
+                old, pi = pi, q.mean()
+                if abs(pi - old) < 1e-6:
+                    break
+            q = pi / 0.5 * p / (pi / 0.5 * p + (1 - pi) / 0.5 * (1 - p))
+            now = moved(*soft(xt, q))
+        want["balanced_em"] = now
+        for name, values in want.items():
+            score, prob = run(values)
+            r = got[slot["source"], slot["target"], name]
+            pos, neg = score[yt == 1], score[yt == 0]
+            assert r["auc"] == pytest.approx(((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean(), abs=2e-3), name
+            assert r["sens"] == pytest.approx((prob[yt == 1] >= 0.5).mean(), abs=0.05) and r["spec"] == pytest.approx((prob[yt == 0] >= 0.5).mean() * -1 + 1, abs=0.05), name
+        assert got[slot["source"], slot["target"], "prior_known"]["prior"] == pytest.approx(yt.mean())
+        assert got[slot["source"], slot["target"], "balanced_em"]["prior"] == pytest.approx(pi, abs=0.02)
