@@ -49,7 +49,7 @@ def prediction_shifts(oof: DataFrame, by: Sequence[str] = (), s: str = "score")
     side = lambda n: q.select(*keys, F.col("site").alias(f"site_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("q1", "median", "q3")])
     pairs = same_keys(side("a"), side("b"), keys).where("site_a < site_b").withColumn("median_diff", F.col("median_a") - F.col("median_b"))
     sites = oof.agg(F.sort_array(F.collect_set("site")).alias("s")).select("s").scalar()
-    met = oof.select(*keys, "site", s, F.explode(F.filter(sites, lambda x: x != F.col("site"))).alias("_o"))
+    met = oof.withColumn("_all", sites).select(*keys, "site", s, F.explode(F.filter("_all", lambda x: x != F.col("site"))).alias("_o"))
     met = met.select(*keys, s, F.least("site", "_o").alias("site_a"), F.greatest("site", "_o").alias("site_b"), (F.col("site") < F.col("_o")).cast("int").alias("_is"))
     return same_keys(pairs, cliffs_delta(met, s, "_is", [*keys, "site_a", "site_b"]), [*keys, "site_a", "site_b"])
 

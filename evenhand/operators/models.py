@@ -63,7 +63,7 @@ def fit_logistic(df: DataFrame, c: float = 1.0, l1_ratio: float = 0.0, label: st
                  features: str = "features", max_iter: int = 200):
     """Penalised logistic regression; ``C`` maps to 1 / (C * total weight), the intercept is free."""
     est = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (c * _total(df, weight)), elasticNetParam=l1_ratio,
-                             standardization=False, maxIter=max_iter, tol=1e-6, family="binomial")
+                             standardization=False, maxIter=max_iter, tol=1e-10, family="binomial")
     return (est.setWeightCol(weight) if weight else est).fit(df)
 
 
