@@ -8,11 +8,13 @@ compared no further if their sizes are too far apart, if their bitmaps leave too
 one component already. What is left is verified on the whole sets.
 
 Components are found in two rounds: first every member of a group against the group's most central member, then all
-pairs across the components still apart. Groups beyond BLOCK members are cut into blocks, and pairs of blocks go to
+pairs across the components still apart. Where those are many, as in a group of near copies close to the limit, the sets come to the block
+and only links which join something leave it. Groups beyond BLOCK members are cut into blocks, and pairs of blocks go to
 different tasks. Nothing is capped: the rounds only order the work.
 
 Null and empty texts and texts without words have no shingles, no link, and are their own component. A text of fewer
-words than a shingle has one shingle of all its words. Repeated rows are documents like any other.
+words than a shingle has one shingle of all its words. Repeated rows are documents like any other, as are those with a null id: they link, but give no
+component its id, which is null only where no member has one.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ COUNTED = 1 << 22  # shingles a task counts at a time
 OFTEN = 4  # occurrences among those from which a shingle is reported
 BLOCK = 1024
 LEAF, FAN = 16, 8
+DENSE = 8  # pairs to verify for each member of a block beyond which the sets come to the block
 STARS = 4  # groups in which a class meets the centre before all others
 BLOOM_WORDS = 1 << 18  # 64-bit words of the filter for texts whose sets are needed
 U = np.uint64
@@ -44,7 +47,7 @@ def class_of(own: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents (doc, n, cls) and of shingles (token, times) that are frequent within a task."""
+    """Rows of documents (doc, uid, n, cls) and of shingles (token, times) that are frequent within a task."""
 
     def run(batches):
         held, size = [], 0
@@ -53,8 +56,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             own = n >= OFTEN
             some = int(own.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(some, pa.int64()), pa.nulls(some, pa.int64()), pa.nulls(some, pa.int64()),
-                                               pa.array(values[own].view(np.int64)), pa.array(n[own])], names=["doc", "n", "cls", "token", "times"])
+            return pa.RecordBatch.from_arrays([*[pa.nulls(some, pa.int64())] * 4, pa.array(values[own].view(np.int64)), pa.array(n[own])],
+                                              names=["doc", "uid", "n", "cls", "token", "times"])
 
         for batch in batches:
             for part in slices(batch, "_text"):
@@ -64,15 +67,15 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     cls.append(class_of(own) if len(own) else None)
                     held.append(own)
                     size += len(own)
-                yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())],
-                                                 names=["doc", "n", "cls", "token", "times"])
+                yield pa.RecordBatch.from_arrays([part.column("_doc"), part.column("_uid"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *[pa.nulls(len(n), pa.int64())] * 2],
+                                                 names=["doc", "uid", "n", "cls", "token", "times"])
                 if size > COUNTED:
                     yield frequent()
                     held, size = [], 0
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc long, n long, cls long, token long, times long")
+    return docs.mapInArrow(run, "doc long, uid long, n long, cls long, token long, times long")
 
 
 def postings(docs: DataFrame, frequent, buckets: int, k: int, limit: int) -> DataFrame:
@@ -238,12 +241,12 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, bloom, k: int) -> DataFrame:
-    """(cls, n, bits, shingles) of the texts whose id the filter knows."""
+    """(cls, n, bits, shingles) of the texts whose number the filter knows."""
 
     def run(batches):
         words = bloom.value
         for batch in batches:
-            ids = mix(batch.column("_doc").to_numpy().view(U))
+            ids = mix(batch.column("_uid").to_numpy().view(U))
             known = (words[(ids >> U(6)).astype(np.int64) % len(words)] >> (ids & U(63))) & U(1) > 0
             batch = batch.filter(pa.array(known))
             for part in slices(batch, "_text"):
@@ -260,11 +263,11 @@ def sets_of(docs: DataFrame, bloom, k: int) -> DataFrame:
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over the ids in column ``doc``."""
+    """A filter of fixed size over the numbers in column ``uid``."""
 
     def run(batches):
         for batch in batches:
-            h = mix(batch.column("doc").to_numpy().view(U))
+            h = mix(batch.column("uid").to_numpy().view(U))
             yield pa.RecordBatch.from_arrays([pa.array((h >> U(6)).astype(np.int64) % BLOOM_WORDS), pa.array((U(1) << (h & U(63))).view(np.int64))], names=["word", "bit"])
 
     out = np.zeros(BLOOM_WORDS, np.int64)
@@ -359,16 +362,54 @@ def central(bits: list[np.ndarray]) -> tuple[int, float]:
     return at, float(score[at] / max(1, width))
 
 
-def candidates(rows: DataFrame, parts: int, limit: int, star: bool) -> DataFrame:
-    """(a, b, gid, score): pairs to verify. Rows: gid, i, j, side, cls, n, bits, part, lead; side 2 is both sides, lead marks a given centre.
+def linked(own: np.ndarray, other: np.ndarray, n: int, m: int, limit: int) -> bool:
+    """Whether two sets of n and m shingles reach the limit."""
+    small, large = (own, other) if len(own) < len(other) else (other, own)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= limit * (n + m - common)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, part: np.ndarray, n: np.ndarray, raw: list[bytes], limit: int) -> list[tuple[int, int]]:
+    """Of the pairs those that link two parts not yet joined: a forest of the parts, at most one edge less than there are members."""
+    root: dict = {}
+    sets: dict = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    def own(r):
+        if r not in sets:
+            sets[r] = shingle_values(raw[r])
+        return sets[r]
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(part[x]), find(part[y])
+        if p != q and linked(own(x), own(y), int(n[x]), int(n[y]), limit):
+            root[p] = q
+            out.append((x, y))
+    return out
+
 
-    With ``star`` each member meets the group's centre alone; a group of several blocks without a given centre only
-    names its own (b null). Otherwise the signature trees of the two sides are traversed together.
+def candidates(rows: DataFrame, parts: int, limit: int, mode: str) -> DataFrame:
+    """(a, b, gid, i, j, score) of groups. Rows: gid, i, j, side, cls, n, bits, part, lead; side 2 is both sides, lead marks a given centre.
+
+    ``star``: each member meets the group's centre alone and the pairs are to be verified; a group of several blocks without a given
+    centre only names its own (b null). Otherwise the signature trees of the two sides are traversed together. ``pairs``: where they leave
+    no more than DENSE pairs for each member of the block, those are to be verified; else only the members concerned are named (b null).
+    ``links``: what the trees leave is verified on the sets at hand (column shingles), and the links that join something come out. So the
+    rows of a block grow with its members, not with their square.
     """
 
+    most = DENSE
+
     def one(gid, blocks, group):
-        side, cls, n, bits, part, lead = (np.array(c) if k in (0, 1, 2, 4, 5) else [np.frombuffer(x, U) for x in c] for k, c in enumerate(group))
-        if star:
+        side, cls, n, bits, part, lead = (np.array(c) if k in (0, 1, 2, 4, 5) else [np.frombuffer(x, U) for x in c] for k, c in enumerate(group[:6]))
+        if mode == "star":
             given = np.flatnonzero(lead)
             at, score = (int(given[0]), 0.0) if len(given) else central(bits)
             if blocks > 1 and not len(given):
@@ -384,16 +425,25 @@ def candidates(rows: DataFrame, parts: int, limit: int, star: bool) -> DataFrame
                 return [], [], []
             trees = [tree(n, bits, part, o[np.argsort(n[o], kind="stable")]) for o in own]
             pairs = dual(trees[0], trees[-1], n, part, limit)
+            a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+            if mode == "links":
+                found = spanning(a, b, part, n, group[6], limit)
+                return [int(cls[x]) for x, _ in found], [int(cls[y]) for _, y in found], [0.0] * len(found)
+            if len(a) > most * len(cls):
+                some = np.unique(cls[np.r_[a, b]]).tolist()
+                return some, [None] * len(some), [0.0] * len(some)
+            return cls[a].tolist(), cls[b].tolist(), [0.0] * len(a)
         a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
         b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
         return cls[a].tolist(), cls[b].tolist(), [0.0] * len(a)
 
-    names = ("side", "cls", "n", "bits", "part", "lead")
+    names = ("side", "cls", "n", "bits", "part", "lead") + (("shingles",) if mode == "links" else ())
 
     def run(batches):
         def close():
             a, b, score = one(key[0], key[3], group)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([key[0]] * len(a), pa.int64()), pa.array(score, pa.float64())], names=["a", "b", "gid", "score"])
+            place = [pa.array([key[c]] * len(a), t) for c, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *place, pa.array(score, pa.float64())], names=["a", "b", "gid", "i", "j", "score"])
 
         key, group = None, [[] for _ in names]
         for batch in batches:
@@ -409,7 +459,7 @@ def candidates(rows: DataFrame, parts: int, limit: int, star: bool) -> DataFrame
             yield close()
 
     dealt = rows.select("gid", "i", "j", "blocks", *names).repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long, gid long, score double")
+    return dealt.mapInArrow(run, "a long, b long, gid long, i int, j int, score double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, parts: int, limit: int) -> DataFrame:
@@ -433,11 +483,7 @@ def verified(pairs: DataFrame, sets: DataFrame, parts: int, limit: int) -> DataF
                 if b is None:
                     key, n, own = a, m, shingle_values(raw)
                     continue
-                other = shingle_values(raw)
-                small, large = (own, other) if len(own) < len(other) else (other, own)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
-                if 100 * common >= limit * (n + m - common):
+                if linked(own, shingle_values(raw), n, m, limit):
                     out[0].append(a)
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
@@ -451,17 +497,18 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
+    docs = docs.withColumn("_uid", F.xxhash64("_doc", "_text"))  # null ids are rows like any other
     first = cut_lineage(sketches(docs, k))
-    table = first.where("token is null").select("doc", "n", "cls")
+    table = first.where("token is null").select("doc", "uid", "n", "cls")
     often = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
     late = np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64).view(U))  # FREQUENT numbers at most
     groups = cut_lineage(groups_of(postings(docs, spark.sparkContext.broadcast(late), parts, k, limit), parts))
     members = cut_lineage(possible(groups, table.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n")), parts, limit))
     wanted = members.select("cls").distinct()
-    of_class = table.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("doc"))
+    of_class = table.where("cls is not null").groupBy("cls").agg(F.min("uid").alias("uid"))
     needed = of_class.join(wanted.select(F.col("cls").alias("_c")), F.col("cls") == F.col("_c"), "left_semi")
-    bloom = spark.sparkContext.broadcast(bloom_of(needed.select("doc")))
-    sets = cut_lineage(sets_of(docs.where("_doc is not null"), bloom, k).dropDuplicates(["cls"]))
+    bloom = spark.sparkContext.broadcast(bloom_of(needed.select("uid")))
+    sets = cut_lineage(sets_of(docs, bloom, k).dropDuplicates(["cls"]))
     small = sets.select(F.col("cls").alias("_c"), "n", "bits")
 
     def rows(of: DataFrame) -> DataFrame:
@@ -469,7 +516,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
 
     def centre(of: DataFrame) -> DataFrame:
         plain = of.select("gid", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.col("chunks").alias("blocks"), F.lit(2).alias("side"), "cls", F.col("cls").alias("part"), "lead")
-        return candidates(rows(plain), parts, limit, True)
+        return candidates(rows(plain), parts, limit, "star")
 
     # Round one: the centre of each group, for each class in its largest groups.
     rank = F.row_number().over(W.partitionBy("cls").orderBy(F.desc("chunks"), F.desc("size"), "gid"))
@@ -491,9 +538,13 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
     blocks = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = blocks.select("gid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.col("chunks").alias("blocks"),
                            F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "part", F.lit(0).alias("lead"))
-    rest = candidates(rows(blocks), parts, limit, False).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
+    left = cut_lineage(candidates(rows(blocks), parts, limit, "pairs"))
+    rest = left.where("b is not null").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
     rest = rest.join(pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-    more_edges = cut_lineage(verified(rest.select("a", "b"), sets, parts, limit))
+    dense = left.where("b is null").select(F.col("gid").alias("_g"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("a").alias("_m"))
+    within = blocks.join(dense, (F.col("gid") == F.col("_g")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & (F.col("cls") == F.col("_m"))).drop("_g", "_i", "_j", "_m")
+    within = within.join(sets.withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c")).drop("_c")
+    more_edges = cut_lineage(verified(rest.select("a", "b"), sets, parts, limit).unionAll(candidates(within, parts, limit, "links").select("a", "b")))
     return table, components(edges.unionAll(more_edges)).select(F.col("node").alias("cls"), "component")
 
 

@@ -1,12 +1,12 @@
 """Operator 5: removal of lines that repeat an earlier line, by an exact set-similarity join.
 
-A line is the set of its five-word shingles. Shingles stand in order of rarity: the most frequent of the corpus (a bounded
+A line is the set of its five-word shingles; a line of fewer words has one, of all its words. Shingles stand in order of rarity: the most frequent of the corpus (a bounded
 list) come last, the others by fingerprint. Two sets at or above the limit share a shingle among the first
 n - ceil(t n) + 1 of each. Where two lines meet in such a shingle, the length filter and the positional filter (what is left
 after the shingle on either side bounds the overlap) drop most pairs; the others are verified on the whole sets.
 
 A line goes if any earlier line, by document id and place, is equal or similar to it; whether that one goes too makes
-no difference. Lines of fewer than five words stay. Null texts stay null, and a document whose lines all go
+no difference. Lines without words stay. Null texts stay null, and a document whose lines all go
 becomes an empty text. Rows that repeat id and text share one decision; rows that repeat an id alone are
 ordered by a hash of their text. Rows with a null id come first.
 """
@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import flat_bytes, mix, slices, spread
+from evenhand.llm.common import Rolling, flat_bytes, mix, slices, spread
 from evenhand.llm.jaccard import BLOOM_WORDS, COUNTED, FREQUENT, OFTEN, bloom_of, shingle_values
-from evenhand.llm.shingles import BLANK, TURNS, WORDS, words
+from evenhand.llm.shingles import LOWER, TURNS, WORDS, spans
 from evenhand.session import cut_lineage
 
 LIMIT = 75
 TOKEN = 44  # bits of a shingle
+LEADING = 22  # of them in the table of frequent shingles
 ROOM = 1 << 63 - TOKEN  # lines that are sorted together
 PAIRS = 1 << 21  # pairs looked at together
 HEAVY = 32  # lines of one shingle that are paired at once; beyond, the earliest comes first
@@ -32,28 +33,50 @@ BLOCK = 2048  # lines of one shingle in one task
 U = np.uint64
 
 
-def line_sets(body: np.ndarray, off: np.ndarray, late: np.ndarray | None = None):
+class Late:
+    """The shingles that come last. Their leading bits are looked up in a table first, which rules out most of the others."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.leading = tokens, np.zeros(1 << LEADING, bool)
+        self.leading[tokens >> U(TOKEN - LEADING)] = True
+
+    def holds(self, token: np.ndarray) -> np.ndarray:
+        out = self.leading[token >> U(TOKEN - LEADING)]
+        some = np.flatnonzero(out)
+        if len(some):
+            at = np.minimum(np.searchsorted(self.tokens, token[some]), len(self.tokens) - 1)
+            out[some] = self.tokens[at] == token[some]
+        return out
+
+
+def line_sets(body: np.ndarray, off: np.ndarray, late: Late | None = None):
     """(line, token, late) of all distinct shingles, by line, late ones last; first line of each text and all numbers of words."""
     breaks = np.flatnonzero(body == 10)
     starts = np.sort(np.r_[off[:-1], breaks + 1])  # a line after a last break starts where the next text does, and has no words
     texts = np.arange(len(off) - 1)
     first = texts + np.searchsorted(breaks, off[:-1], "left")
-    code, _ = words(body, np.unique(np.r_[off, breaks + 1]))
-    line = np.searchsorted(starts, word_starts(body, off), "right") - 1
+    begin, end = spans(body, off)
+    code = Rolling(LOWER[body]).of(begin, end)
+    line = np.searchsorted(starts, begin, "right") - 1
     count = np.bincount(line, minlength=len(starts))
-    n = len(code) - WORDS + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, bool), first, count
+    n = max(len(code) - WORDS + 1, 0)
     total = np.zeros(n, U)
-    for j in range(WORDS):
+    for j in range(WORDS if n else 0):
         total += code[j: j + n] * TURNS[j]
-    inside = line[:n] == line[WORDS - 1:]
-    token = mix(total[inside]) >> U(64 - TOKEN)
-    own = line[:n][inside]
-    behind = np.zeros(len(token), U)
-    if late is not None and len(late):
-        at = np.minimum(np.searchsorted(late, token), len(late) - 1)
-        behind = (late[at] == token).astype(U)
+    inside = line[:n] == line[WORDS - 1:] if n else np.zeros(0, bool)
+    token, own = mix(total[inside]) >> U(64 - TOKEN), line[:n][inside]
+    # a line of fewer words is one shingle of all its words
+    few = np.flatnonzero(count[line] < WORDS)
+    if len(few):
+        place = few - (np.cumsum(count) - count)[line[few]]
+        head = np.flatnonzero(place == 0)
+        whole = np.add.reduceat(code[few] * TURNS[place], head) + count[line[few[head]]].astype(U)
+        own, token = np.r_[own, line[few[head]]], np.r_[token, mix(whole) >> U(64 - TOKEN)]
+        order = np.argsort(own, kind="stable")
+        own, token = own[order], token[order]
+    if not len(own):
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, bool), first, count
+    behind = np.zeros(len(token), U) if late is None else late.holds(token).astype(U)
     # A sort key holds the line's number among ROOM; a text of more lines is sorted piece by piece.
     lines, keys = [], []
     edge = np.searchsorted(own, np.arange(0, len(starts) + ROOM, ROOM))
@@ -66,14 +89,6 @@ def line_sets(body: np.ndarray, off: np.ndarray, late: np.ndarray | None = None)
     return line, key & U((1 << TOKEN) - 1), (key >> U(TOKEN)) & U(1) > 0, first, count
 
 
-def word_starts(body: np.ndarray, off: np.ndarray) -> np.ndarray:
-    solid = ~BLANK[body]
-    edge = np.zeros(len(body) + 1, bool)
-    edge[off] = True
-    solid[1:] &= BLANK[body[:-1]] | edge[1:-1]
-    return np.flatnonzero(solid)
-
-
 def heads_of(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each line's tokens start, and how many it has."""
     head = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
@@ -88,7 +103,7 @@ def classes_of(token: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndar
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc, uid, classes; zero for a short line) and of shingles (token, times) frequent within a task."""
+    """Rows of documents (doc, uid, classes; zero for a line without words) and of shingles (token, times) frequent within a task."""
 
     def run(batches):
         held, size = [], 0
@@ -129,7 +144,7 @@ def postings(docs: DataFrame, late_tokens, buckets: int) -> DataFrame:
     """(bucket, records): per task and bucket the leading shingles of its lines, packed."""
 
     def run(batches):
-        held, seen, size = [], np.zeros(0, np.int64), 0
+        held, seen, size, late = [], np.zeros(0, np.int64), 0, Late(late_tokens.value)
 
         def packed():
             bucket, records = (np.concatenate(c) for c in zip(*held))
@@ -141,7 +156,7 @@ def postings(docs: DataFrame, late_tokens, buckets: int) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "_text"):
-                line, token, _, _, _ = line_sets(*flat_bytes(part.column("_text")), late_tokens.value)
+                line, token, _, _, _ = line_sets(*flat_bytes(part.column("_text")), late)
                 head, n = heads_of(line)
                 cls = classes_of(token, head, n)
                 _, new = np.unique(cls, return_index=True)
@@ -339,7 +354,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """(uid, long_lines, kept): the lines of five words or more of each text, and those of them that stay; ``docs`` has _doc, _uid, _text."""
+    """(uid, long_lines, kept): the lines with words of each text, and those of them that stay; ``docs`` has _doc, _uid, _text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = cut_lineage(sketches(docs))
@@ -355,8 +370,8 @@ def decisions(docs: DataFrame) -> DataFrame:
     pairs = cut_lineage(met.where("b is not null").select("a", "b").unionAll(star).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_c")).unionAll(heavy.select("a")).distinct()
     needed = firsts.join(wanted, F.col("cls") == F.col("_c"), "left_semi").select("cls", F.col("at.uid").alias("uid"))
-    bloom = spark.sparkContext.broadcast(bloom_of(needed.select(F.col("cls").alias("doc"))))
-    texts = spark.sparkContext.broadcast(bloom_of(needed.select(F.col("uid").alias("doc"))))
+    bloom = spark.sparkContext.broadcast(bloom_of(needed.select(F.col("cls").alias("uid"))))
+    texts = spark.sparkContext.broadcast(bloom_of(needed.select("uid")))
     sets = cut_lineage(sets_of(docs, bloom, texts).dropDuplicates(["cls"]))
     at = firsts.select(F.col("cls").alias("_c"), "at")
 

@@ -34,7 +34,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coa
 
 LINES = f"""
 WITH l AS (SELECT doc_id, k, x, {WORDS.format('x')} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)),
-s AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + 4], ' ') AS g FROM l, unnest(range(1, len(w) - 3)) t(i) WHERE len(w) > 4),
+s AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + 4], ' ') AS g FROM l, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0),
 sets AS (SELECT doc_id, k, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS cls FROM s GROUP BY ALL),
 f AS (SELECT cls, any_value(n) AS n, min((doc_id, k)) AS at FROM sets GROUP BY 1),
 g AS (SELECT cls, unnest(string_split(cls, chr(10))) AS g FROM f),

@@ -17,15 +17,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32  # A-Z alone
 
 
-def words(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and text number of every word of a slice."""
+def spans(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word of a slice."""
     solid = ~BLANK[body]
     edge = np.zeros(len(body) + 1, bool)
     edge[off] = True
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1] | edge[1:-1]
     ends[:-1] &= ~solid[1:] | edge[1:-1]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def words(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and text number of every word of a slice."""
+    start, stop = spans(body, off)
     return Rolling(LOWER[body]).of(start, stop), np.searchsorted(off, start, "right") - 1
 
 

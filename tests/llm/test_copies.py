@@ -17,10 +17,10 @@ def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
-def shingles(t, short=True):
+def shingles(t):
     w = WORD.findall(lower(t))
     if len(w) < 5:
-        return frozenset([tuple(w)] if w and short else [])
+        return frozenset([tuple(w)] if w else [])
     return frozenset(tuple(w[i: i + 5]) for i in range(len(w) - 4))
 
 
@@ -60,6 +60,16 @@ def test_jaccard_components(spark, monkeypatch, block):
     assert {r["doc_id"] for r in kept.collect()} >= {9001, 9002, 9007} and 9008 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_null_ids_link_and_bridge(spark):
+    w = [f"n{i}" for i in range(60)]
+    near, far = [*w[:50], *[f"x{i}" for i in range(10)]], [f"y{i}" for i in range(7)] + w[7:]
+    both = jaccard.with_components(frame(spark, [(1, " ".join(w[:52])), (None, " ".join(w)), (2, " ".join(w[8:])), (None, "p q r s t u"), (None, "p q r s t u"), (3, " ".join(near)), (4, " ".join(far))]))
+    sets = [shingles(" ".join(x)) for x in (w[:52], w, w[8:])]
+    assert similar(sets[0], sets[1]) and similar(sets[1], sets[2]) and not similar(sets[0], sets[2])
+    got = Counter((r["doc_id"], r["component_id"]) for r in both.collect())
+    assert got[1, 1] == 1 and got[2, 1] == 1 and got[None, 1] == 1 and got[None, None] == 2
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "a")]).where("doc_id = 2")
     assert jaccard.with_components(none).count() == 0
@@ -86,7 +96,7 @@ def test_signature_bounds_never_lose_a_link():
 def test_lines_against_all_pairs(spark, monkeypatch, heavy):
     monkeypatch.setattr(lines, "HEAVY", heavy)
     rows = [r for r in texts(spark, 100) if r[0] is not None]
-    items = [((i, k), shingles(x, short=False), r, k) for r, (i, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n"))]
+    items = [((i, k), shingles(x), r, k) for r, (i, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n"))]
     items = [x for x in items if x[1]]
     gone = defaultdict(set)
     for at, s, r, k in items:
@@ -107,6 +117,12 @@ def test_lines_keep_columns_and_nulls(spark):
     assert out.columns[:-2] == frame(spark, [(1, "x")]).columns
 
 
+def test_short_lines_go_as_wholes(spark):
+    rows = [(1, "All rights reserved.\nMenu\n\na b c d"), (2, "menu\nall RIGHTS  reserved.\n\na b c\nb a c d"), (None, "a b c"), (3, None)]
+    out = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert out == {1: rows[0][1], 2: "\nb a c d", None: "a b c", 3: None}
+
+
 def test_lines_beyond_two_to_the_19(spark):
     many = (1 << 19) + 3
     long = "\n".join(["a b c d e f", *[""] * (many - 3), "p q r s t u", "a b c d e f"])
@@ -159,3 +175,21 @@ def test_components_of_chains_loops_and_repeats(spark):
     got = {r["node"]: r["component"] for r in components.components(df).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {601: 600, 701: 700, 702: 700}
     assert components.components(df.where("a < 0")).count() == 0
+
+
+@pytest.mark.parametrize("dense", [8, 0])
+def test_a_dense_group(spark, monkeypatch, dense):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    rnd = np.random.default_rng(7)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(60):  # all near the limit, some beyond
+        w = list(base)
+        for k in rnd.choice(60, size=int(rnd.integers(1, 3)), replace=False):
+            w[k] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    part = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if similar(sets[a], sets[b])])
+    least = {p: min(i for i, q in enumerate(part) if q == p) for p in part}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.with_components(frame(spark, rows)).collect()}
+    assert got == {i: least[p] for i, p in enumerate(part)} and len(set(part)) > 1
