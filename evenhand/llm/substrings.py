@@ -192,7 +192,8 @@ def equal_strings(rows: DataFrame) -> DataFrame:
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc, lo, n): all starts of strings of SPAN bytes that occur again, as runs; ``docs`` has _doc and _text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = parse(docs)
+    # Which of equal rows is the one to be compared hangs on the order of a task's input, so the parse is made once.
+    rows = cut_lineage(parse(docs))
     compared = cut_lineage(compare(rows.where("state < 2").repartition(parts, "phrase").sortWithinPartitions("phrase", "around")))
     known = rows.where("state = 2").select("doc", "lo", "n").unionAll(compared.where("kind = 2").select("doc", "lo", "n"))
     open_ = compared.where("kind < 2")
