@@ -1,9 +1,10 @@
 """Operator 6: token ids in files of patched frame-of-reference blocks.
 
-A shard file holds the documents of one range of ids in ascending order:
+Rows are dealt by ranges of (document id, hash of the text, row), so rows of one id, or of none, are spread like any others. A task
+writes its range as consecutive shard files and closes one as soon as it has SHARD_ROWS documents or SHARD_IDS ids:
 
     magic, four 64-bit numbers (documents, ids, length of the document part, length of the id part)
-    document part: per document its id and its number of tokens (64-bit each)
+    document part: the document ids, their numbers of tokens (64-bit each), and a byte each that is 1 for a null id
     id part: block starts (64-bit, one more than there are blocks), then the blocks
 
 A block has up to 256 ids: the minimum (32 bit), the width and the number of exceptions (16 bit each), the low bits of
@@ -11,11 +12,12 @@ A block has up to 256 ids: the minimum (32 bit), the width and the number of exc
 given percentile of the block's values; what does not fit is an exception. The last block is filled up with its minimum.
 
 Every shard is written under a name of its own attempt and then renamed, so a task that runs twice leaves one file.
-Null and empty texts have the end id alone. Repeated document ids stay separate documents.
+Null and empty texts have the end id alone. Repeated document ids stay separate documents, null ids come first and stay null.
 """
 
 from __future__ import annotations
 
+import bisect
 import uuid
 import zlib
 
@@ -23,16 +25,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand.llm.bpe import encoder
 from evenhand.llm.common import slices
-from evenhand.session import scratch_path
+from evenhand.session import cut_lineage, scratch_path
 
 MAGIC = b"PFORIDS1"
 BLOCK = 256
 PERCENTILE = 90
-ROWS_PER_SHARD = 4096
+SHARD_ROWS, SHARD_IDS = 4096, 1 << 22
+SAMPLED = 200  # rows for each cut between ranges
 
 
 def bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -113,27 +117,34 @@ def folder_of(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_shard(root: str, shard: int, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> str:
+def shard_name(path: str, part: int, number: int) -> str:
+    return f"{path}/shard-{part:05d}-{number:07d}.pfor"
+
+
+def write_shard(root: str, part: int, number: int, keys: list, counts: np.ndarray, ids: np.ndarray) -> str:
     fs, path = folder_of(root)
     starts, blocks = pack(ids)
-    docs = np.stack([keys, counts]).astype("<i8").tobytes()
-    part = starts.astype("<i8").tobytes() + blocks
-    name, draft = f"{path}/shard-{shard:08d}.pfor", f"{path}/.{shard:08d}-{uuid.uuid4().hex}"
+    null = np.array([k is None for k in keys], np.uint8)
+    docs = np.stack([np.array([k or 0 for k in keys], np.int64), counts]).astype("<i8").tobytes() + null.tobytes()
+    body = starts.astype("<i8").tobytes() + blocks
+    name, draft = shard_name(path, part, number), f"{path}/.{part}-{number}-{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as f:
-        f.write(MAGIC + np.array([len(keys), len(ids), len(docs), len(part)], "<i8").tobytes() + docs + part)
+        f.write(MAGIC + np.array([len(keys), len(ids), len(docs), len(body)], "<i8").tobytes() + docs + body)
     fs.move(draft, name)
     return name
 
 
-def read_shard(root: str, shard: int, blocks_at_once: int = 4096):
-    """Keys and counts of a shard, and its ids in consecutive pieces."""
+def read_shard(root: str, part: int, number: int, blocks_at_once: int = 4096):
+    """Keys (an array with nulls) and counts of a shard, and its ids in consecutive pieces."""
     fs, path = folder_of(root)
-    f = fs.open_input_file(f"{path}/shard-{shard:08d}.pfor")
+    f = fs.open_input_file(shard_name(path, part, number))
     head = f.read(40)
     if head[:8] != MAGIC:
         raise ValueError(f"not a shard: {path}")
-    n_docs, n_ids, docs, part = np.frombuffer(head[8:], "<i8")
-    keys, counts = np.frombuffer(f.read(docs), "<i8").reshape(2, n_docs)
+    n_docs, n_ids, docs, _ = np.frombuffer(head[8:], "<i8")
+    raw = f.read(docs)
+    keys, counts = np.frombuffer(raw[: 16 * n_docs], "<i8").reshape(2, n_docs)
+    keys = pa.array(keys, mask=np.frombuffer(raw[16 * n_docs:], np.uint8) > 0)
     base = 40 + docs
     n_blocks = -(-n_ids // BLOCK)
     f.seek(base)
@@ -150,18 +161,35 @@ def read_shard(root: str, shard: int, blocks_at_once: int = 4096):
     return keys, counts, pieces()
 
 
+def order_of(key, h: int, row: int) -> tuple:
+    return key is not None, key or 0, h, row
+
+
+def cuts_of(src: DataFrame, parts: int) -> list[tuple]:
+    """The places (order) at which the rows are cut into ranges, from about SAMPLED rows a range whatever the number of rows."""
+    n = src.count()
+    if parts < 2 or not n:
+        return []
+    step = max(1, n // (SAMPLED * parts))
+    rows = src.where(F.pmod(F.xxhash64("_row"), F.lit(step)) == 0).select("_key", "_h", "_row").collect()
+    line = sorted(order_of(*r) for r in rows)
+    return sorted({line[len(line) * i // parts] for i in range(1, parts)}) if line else []
+
+
 def write_tokens(df: DataFrame, path: str, root: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
     """Encodes every text, appends ``end_id``, and writes shards in ascending order of the integer ``key`` under ``root``.
 
-    Returns one row per shard: shard, n_docs, n_ids, ordered as the keys are. A shard holds about ROWS_PER_SHARD
-    documents: the cut keys are quantiles of the key column alone, so text is encoded once and its ids are moved once.
+    Returns one row per shard: part, number, n_docs, n_ids and start (ids of all documents before it). Text is encoded once and its ids are
+    moved once; a task holds one shard. Only the cuts between ranges, one per shuffle partition, pass the driver.
     """
     spark = df.sparkSession
     raw = spark.sparkContext.broadcast(open(path, "rb").read())
-    shards = max(1, -(-df.count() // ROWS_PER_SHARD))
-    cuts = df.approxQuantile(key, [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
-    edges = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.float64).astype(np.int64)))
+    src = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    src = src.withColumn("_h", F.xxhash64("_text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = spark.sparkContext.broadcast(cuts_of(src, parts))
     folder_of(root)[0].create_dir(folder_of(root)[1], recursive=True)
+    most_rows, most_ids = SHARD_ROWS, SHARD_IDS
 
     def encode(batches):
         enc = encoder(raw.value)
@@ -172,34 +200,41 @@ def write_tokens(df: DataFrame, path: str, root: str, key: str = "doc_id", text:
                 ends = np.cumsum(counts)
                 with_end = np.insert(flat, ends, end_id).astype(small)
                 stops = (ends + np.arange(1, len(ends) + 1)) * with_end.itemsize
-                keys = part.column("_key")
-                shard = np.searchsorted(edges.value, keys.to_numpy(zero_copy_only=False), "right")
+                own = [part.column(c) for c in ("_key", "_h", "_row")]
+                place = [bisect.bisect_right(cuts.value, order_of(*r)) for r in zip(*(c.to_pylist() for c in own))]
                 blob = pa.BinaryArray.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(np.r_[0, stops].astype(np.int32)), pa.py_buffer(with_end)])
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), keys, pa.array(counts + 1), blob], names=["shard", "_key", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *own, pa.array(counts + 1), blob], names=["part", "_key", "_h", "_row", "n", "ids"])
 
     def write(batches):
+        part, number, before, keys, counts, blobs, size = None, 0, 0, [], [], [], 0
+
         def store():
             ids = np.concatenate([np.frombuffer(b, "<u2" if len(b) == 2 * n else "<u4") for b, n in zip(blobs, counts)])
-            write_shard(root, shard, np.array(keys), np.array(counts), ids)
-            return pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": len(keys), "n_ids": len(ids)}])
+            write_shard(root, part, number, keys, np.array(counts), ids)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_docs": [len(keys)], "n_ids": [len(ids)], "before": [before]})
 
-        shard, keys, counts, blobs = None, [], [], []
         for batch in batches:
-            for s, k, n, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard:
-                    if keys:
-                        yield store()
-                    shard, keys, counts, blobs = s, [], [], []
+            for p, k, n, b in zip(*(batch.column(c).to_pylist() for c in ("part", "_key", "n", "ids"))):
+                if keys and (p != part or len(keys) >= most_rows or size + n > most_ids):
+                    yield store()
+                    number, before = number + 1, before + size
+                    keys, counts, blobs, size = [], [], [], 0
+                if p != part:
+                    part, number, before = p, 0, 0
                 keys.append(k)
                 counts.append(n)
                 blobs.append(b)
+                size += n
         if keys:
             yield store()
 
-    src = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    encoded = src.mapInArrow(encode, "shard long, _key long, n long, ids binary")
-    dealt = encoded.repartition(max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("shard", "_key", "ids")
-    return dealt.mapInArrow(write, "shard long, n_docs long, n_ids long")
+    encoded = src.mapInArrow(encode, "part int, _key long, _h long, _row long, n long, ids binary")
+    dealt = encoded.repartition(parts, "part").sortWithinPartitions("part", F.col("_key").asc_nulls_first(), "_h", "_row")
+    shards = cut_lineage(dealt.mapInArrow(write, "part int, number int, n_docs long, n_ids long, before long"))
+    # one row per range
+    upto = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    ranges = shards.groupBy(F.col("part").alias("_p")).agg(F.sum("n_ids").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    return shards.join(ranges, F.col("part") == F.col("_p")).select("part", "number", "n_docs", "n_ids", (F.col("_start") + F.col("before")).alias("start"))
 
 
 def read_tokens(shards: DataFrame, root: str, key: str = "doc_id") -> DataFrame:
@@ -207,8 +242,8 @@ def read_tokens(shards: DataFrame, root: str, key: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for shard, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist()):
-                keys, counts, pieces = read_shard(root, shard)
+            for part, number, start in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "start"))):
+                keys, counts, pieces = read_shard(root, part, number)
                 sums, doc, left, crc = [], 0, int(counts[0]) if len(counts) else 0, 0
                 for ids in pieces:
                     raw, at = memoryview(ids.astype("<u4").tobytes()), 0
@@ -221,33 +256,17 @@ def read_tokens(shards: DataFrame, root: str, key: str = "doc_id") -> DataFrame:
                             doc, crc = doc + 1, 0
                             left = int(counts[doc]) if doc < len(counts) else 0
                 starts = start + np.cumsum(counts) - counts
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(starts), pa.array(counts), pa.array(sums, pa.int64())],
+                yield pa.RecordBatch.from_arrays([keys, pa.array(starts), pa.array(counts), pa.array(sums, pa.int64())],
                                                  names=["_key", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("shard", "start").mapInArrow(run, "_key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("_key", key)
-
-
-def read_ids(root: str, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, counts and all ids of one shard."""
-    keys, counts, pieces = read_shard(root, shard)
-    return keys, counts, np.concatenate([np.zeros(0, np.int64), *pieces])
+    return shards.select("part", "number", "start").mapInArrow(run, "_key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("_key", key)
 
 
 def token_files(df: DataFrame, path: str, root: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the shards of ``df`` and returns what reading them back gives: key, start, n_tokens, ids_crc32.
 
-    ``root`` is a folder URI that all executors reach; by default a new one below the checkpoint folder. A null key
-    goes first, as the smallest number. An empty table gives no shard and no row.
+    ``root`` is a folder URI that all executors reach; by default a new one below the checkpoint folder. An empty table gives no shard and no row.
     """
-    spark = df.sparkSession
-    root = root or scratch_path(spark, "tokens")
-    rows = write_tokens(df.withColumn(key, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))), path, root, key, text).collect()
-    starts, before = [], 0
-    for r in sorted(rows, key=lambda r: r["shard"]):
-        starts.append((r["shard"], before))
-        before += r["n_ids"]
-    if not starts:
-        return spark.createDataFrame([], f"{key} long, start long, n_tokens long, ids_crc32 long")
-    listed = spark.createDataFrame(starts, "shard long, start long")
-    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return read_tokens(listed.repartition(min(len(starts), slots), "shard"), root, key)
+    root = root or scratch_path(df.sparkSession, "tokens")
+    shards = write_tokens(df, path, root, key, text)
+    return read_tokens(shards.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part", "number"), root, key)

@@ -71,17 +71,28 @@ def test_the_word_table_grows(library, monkeypatch):
     assert len(enc.slot_word) >= 2 * enc.words
 
 
-def test_token_files_round_trip(spark, library, monkeypatch):
-    monkeypatch.setattr(pfor, "ROWS_PER_SHARD", 16)
-    rows = texts(spark)
+@pytest.mark.parametrize("rows_of_a_shard, ids_of_a_shard", [(16, 1 << 22), (4096, 500)])
+def test_token_files_round_trip(spark, library, monkeypatch, rows_of_a_shard, ids_of_a_shard):
+    monkeypatch.setattr(pfor, "SHARD_ROWS", rows_of_a_shard)
+    monkeypatch.setattr(pfor, "SHARD_IDS", ids_of_a_shard)
+    rows = texts(spark, 40)
+    rows += [(77, rows[5][1])] * 40 + [(77, "another")] * 10 + [(None, "no id")] * 20 + [(-(1 << 63), "least")]  # one id, and none, hold a large part
     got = [tuple(r) for r in pfor.token_files(frame(spark, rows), WORD).orderBy("start").collect()]
-    assert [r[0] for r in got[1:]] == sorted(r[0] for r in got[1:]) and got[0][0] == -(1 << 63)
+    ids_in_order = [r[0] for r in got]
+    assert ids_in_order[:21] == [None] * 21 and ids_in_order[21:] == sorted(ids_in_order[21:])
     at = 0
     for _, start, n, _ in got:
         assert start == at
         at += n
     ids = lambda t: np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
-    assert Counter((r[0], r[2], r[3]) for r in got) == Counter((-(1 << 63) if i is None else i, len(ids(t)), zlib.crc32(ids(t).tobytes())) for i, t in rows)
+    assert Counter((r[0], r[2], r[3]) for r in got) == Counter((i, len(ids(t)), zlib.crc32(ids(t).tobytes())) for i, t in rows)
+
+
+def test_ties_are_dealt_to_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(pfor, "SAMPLED", 20)
+    df = frame(spark, [(5, f"text {i % 3}") for i in range(300)])
+    shards = pfor.write_tokens(df, WORD, "file:" + __import__("tempfile").mkdtemp(dir="/tmp"))
+    assert max(r["n_docs"] for r in shards.collect()) < 200 and shards.agg({"n_docs": "sum"}).first()[0] == 300
 
 
 def test_token_files_of_nothing(spark):
