@@ -155,29 +155,45 @@ def fold_logits(df: DataFrame, p: str, y: str, eps: float = 1e-6) -> DataFrame:
 
 
 def line_logistic(folded: DataFrame, c: float | None = None, slope: float | None = None, steps: int = 60) -> tuple[float, float]:
-    """(slope, intercept) of a one-feature logistic by Newton steps, each one aggregate over the folded rows.
+    """(slope, intercept) of a one-feature logistic by Newton steps, each trial one aggregate over the folded rows.
 
     ``c`` penalises the slope by slope^2 / (2 c); a given ``slope`` is held fixed and only the intercept moves,
-    within [-20, 20]. Five sums come back per step.
+    within [-20, 20]. A step that does not lower the loss is halved: whole ones may swing or run off. Six sums come back per trial.
     """
+    pen = 0.0 if c is None or slope is not None else 1.0 / c
+
+    def sums(a, b):
+        t = F.lit(a) * F.col("z") + F.lit(b)
+        m = E.sigmoid(t)
+        g, h = F.col("w1") - F.col("n") * m, F.col("n") * m * (1 - m)
+        loss = F.col("n") * (F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t)))) - F.col("w1") * t
+        r = folded.agg(F.sum(loss), F.sum(g), F.sum(g * F.col("z")), F.sum(h), F.sum(h * F.col("z")), F.sum(h * F.col("z") * F.col("z"))).first()
+        return (float(r[0]) + pen * a * a / 2, *(float(v) for v in r[1:]))
+
     a, b = (1.0 if slope is None else slope), 0.0
+    now = sums(a, b)
     for _ in range(steps):
-        m = E.sigmoid(F.lit(a) * F.col("z") + F.lit(b))
-        g, h = F.col("w1") - F.col("n") * m, F.col("n") * m * (1 - m)
-        r = folded.agg(F.sum(g), F.sum(g * F.col("z")), F.sum(h), F.sum(h * F.col("z")), F.sum(h * F.col("z") * F.col("z"))).first()
-        gb, ga, hbb, hab, haa = (float(v) for v in r)
+        loss, gb, ga, hbb, hab, haa = now
         if slope is not None:
             da, db = 0.0, gb / max(hbb, 1e-12)
         else:
-            pen = 0.0 if c is None else 1.0 / c
             ga, haa = ga - pen * a, haa + pen
             det = max(haa * hbb - hab * hab, 1e-300)
             da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        size = max(abs(da), abs(db))
-        scale = min(1.0, 4.0 / size) if size > 0 else 1.0
-        a, b = a + scale * da, max(-20.0, min(20.0, b + scale * db))
+        size, share = max(abs(da), abs(db)), 1.0
         if size < 1e-10:
             break
+        while share * size >= 1e-10:
+            to = a + share * da, max(-20.0, min(20.0, b + share * db))
+            now = sums(*to)
+            if now[0] <= loss + 1e-13 * abs(loss):
+                break
+            share /= 2
+        else:
+            break
+        if to == (a, b):
+            break
+        a, b = to
     return a, b
 
 

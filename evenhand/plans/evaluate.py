@@ -133,17 +133,26 @@ def _(spark, sf):
     return M.brier(X.prob_pair(spark, sf), "pa", by=["site"])
 
 
-# Newton steps of the one-feature logistic as a recursive query, the slope lightly penalised.
-NEWTON = """z AS (SELECT y, ln(greatest(least(pa, 1 - 1e-6), 1e-6) / (1 - greatest(least(pa, 1 - 1e-6), 1e-6))) AS z FROM prob_pair),
-nw AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
- SELECT i + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
-  SELECT i, a, b, sum(y - m) AS gb, sum((y - m) * z) - a / 1e6 AS ga, sum(m * (1 - m)) AS hbb, sum(m * (1 - m) * z) AS hab, sum(m * (1 - m) * z * z) + 1 / 1e6 AS haa
-  FROM (SELECT *, 1 / (1 + exp(-(a * z + b))) AS m FROM nw, z WHERE i < 25) GROUP BY i, a, b)),
-ic AS (SELECT 0 AS i, 0.0::DOUBLE AS b UNION ALL SELECT i + 1, b + sum(y - m) / sum(m * (1 - m)) FROM (SELECT *, 1 / (1 + exp(-(z + b))) AS m FROM ic, z WHERE i < 25) GROUP BY i, b)"""
+# Newton steps of the one-feature logistic as a recursive query, the slope lightly penalised. A step is halved until its loss is least
+# (0 stays): whole steps run off or swing where most labels are 1.
+SHARES = "(SELECT CASE WHEN k < 30 THEN pow(0.5, k) ELSE 0 END AS s FROM range(31) t(k))"
+LOSS = "sum(n * (greatest(t, 0) + ln(1 + exp(-abs(t)))) - w1 * t)"
+NEWTON = f"""z AS (SELECT ln(greatest(least(pa, 1 - 1e-6), 1e-6) / (1 - greatest(least(pa, 1 - 1e-6), 1e-6))) AS z, sum(y)::DOUBLE AS w1, count(*)::DOUBLE AS n
+ FROM prob_pair WHERE pa IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+nw AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL SELECT i + 1, arg_min(a, loss), arg_min(b, loss) FROM (
+ SELECT i, a, b, {LOSS} + a * a / 2e6 AS loss FROM (SELECT *, a * z + b AS t FROM (
+  SELECT i, a + s * (hbb * ga - hab * gb) / det AS a, greatest(-20, least(20, b + s * (haa * gb - hab * ga) / det)) AS b FROM (
+   SELECT *, greatest(haa * hbb - hab * hab, 1e-300) AS det FROM (
+    SELECT i, a, b, sum(w1 - n * m) AS gb, sum((w1 - n * m) * z) - a / 1e6 AS ga, sum(n * m * (1 - m)) AS hbb, sum(n * m * (1 - m) * z) AS hab, sum(n * m * (1 - m) * z * z) + 1 / 1e6 AS haa
+    FROM (SELECT *, 1 / (1 + exp(-(a * z + b))) AS m FROM nw, z WHERE i < 60) GROUP BY i, a, b)), {SHARES}), z) GROUP BY i, a, b) GROUP BY i),
+ic AS (SELECT 0 AS i, 0.0::DOUBLE AS b UNION ALL SELECT i + 1, arg_min(b, loss) FROM (
+ SELECT i, b, {LOSS} AS loss FROM (SELECT *, z + b AS t FROM (SELECT i, greatest(-20, least(20, b + s * db)) AS b FROM (
+  SELECT i, b, sum(w1 - n * m) / greatest(sum(n * m * (1 - m)), 1e-12) AS db FROM (SELECT *, 1 / (1 + exp(-(z + b))) AS m FROM ic, z WHERE i < 60) GROUP BY i, b), {SHARES}), z)
+ GROUP BY i, b) GROUP BY i)"""
 
 
 @query("calibration_slope_intercept", ctes=["prob_pair"], rounded=["slope", "intercept"], digits=4, sql=f"""WITH RECURSIVE {NEWTON}
-SELECT (SELECT count(*) FROM z) AS n, (SELECT arg_max(a, i) FROM nw) AS slope, (SELECT arg_max(b, i) FROM ic) AS intercept""")
+SELECT (SELECT sum(n)::BIGINT FROM z) AS n, (SELECT arg_max(a, i) FROM nw) AS slope, (SELECT arg_max(b, i) FROM ic) AS intercept""")
 def _(spark, sf):
     return M.calibration(X.prob_pair(spark, sf), "pa")
 

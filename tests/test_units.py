@@ -293,6 +293,29 @@ def test_calibration_of_true_probabilities(spark):
     assert L.platt_fit(d.withColumn("y", F.lit(1)), "p") == (1.0, 0.0, False)
 
 
+def test_line_fit_reaches_the_least_loss_where_whole_steps_swing(spark):
+    import duckdb
+    from evenhand.plans import catalog, frames as X
+    from tools.compare import TABLES
+
+    sf = "/root/testdata/sf0.1"
+    d = X.prob_pair(spark, sf)
+    r = np.array(d.select("pa", "y").collect(), dtype=float)
+    p = np.clip(r[:, 0], 1e-6, 1 - 1e-6)
+    z, y = np.log(p / (1 - p)), r[:, 1]
+    a, b, ok = L.platt_fit(d, "pa")
+    m = 1 / (1 + np.exp(-(a * z + b)))
+    assert ok and abs((y - m).sum()) < 1e-4 and abs(((y - m) * z).sum() - a / 1e6) < 1e-4
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    n, slope, _ = con.execute(catalog()["calibration_slope_intercept"].sql).fetchone()
+    assert n == len(y) and slope == pytest.approx(a, abs=1e-4)
+    shown = np.array(con.execute(catalog()["platt_calibrate"].sql.replace("SELECT * REPLACE", "SELECT key, p_cal FROM (SELECT * REPLACE") + ") ORDER BY key").fetchall())
+    want = np.array(d.select("key", L.platt_apply("pa", a, b)).orderBy("key").collect(), dtype=float)
+    assert np.abs(shown - want).max() < 1e-4
+
+
 def test_fourier_features_approximate_the_kernel(spark):
     from pyspark.ml.functions import vector_to_array
 
