@@ -11,6 +11,7 @@ from evenhand.functions import expr as E
 from evenhand.functions.special import chi2_tail, normal_two_sided
 from evenhand.operators.core import collapse, row_numbers, running_totals, same_keys
 from evenhand.operators.metrics import weighted_auc
+from evenhand.session import cut_lineage
 
 
 def mid_ranks(df: DataFrame, by: Sequence[str], value: str, out: str = "mid_rank") -> DataFrame:
@@ -38,7 +39,8 @@ def mann_whitney(df: DataFrame, value: str = "value", y: str = "y", by: Sequence
 
 def kruskal_wallis(df: DataFrame, value: str = "value", group: str = "site", by: Sequence[str] = ()) -> DataFrame:
     """Tie-corrected H, its p, and eta squared = (H - k + 1) / (n - k)."""
-    cells = collapse(df, [*by, group], value)
+    # written once: the ranks are joined back by value, and a fitted value computed twice may differ in its last bit
+    cells = cut_lineage(collapse(df, [*by, group], value))
     pooled = cells.groupBy(*by, value).agg(F.sum("n").alias("n"))
     ranks = running_totals(pooled, by, value, ["n"]).select(
         *by, value, (F.col("cum_n") - (F.col("n") - 1) / 2).alias("_r"), F.col("n").cast("double").alias("_tie"))
@@ -87,6 +89,7 @@ def chi2_independence(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) ->
 
 def bh_fdr(df: DataFrame, p: str = "p", by: Sequence[str] = (), q: float = 0.05, key: str = "feature") -> DataFrame:
     """Benjamini-Hochberg: reject every p up to the largest p(i) <= i q / m."""
+    df = cut_lineage(df)  # the cut is one of these p-values, to the last bit
     ranked = row_numbers(df.where(F.col(p).isNotNull()), by, p, [key], out="_i", total="_m")
     cut = ranked.groupBy(*by).agg(F.max(F.when(F.col(p) <= F.col("_i") * q / F.col("_m"), F.col(p))).alias("_cut"))
     out = same_keys(df, cut, by, "left") if by else attach_one(df, cut)

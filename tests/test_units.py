@@ -359,6 +359,20 @@ def test_bh_rejects_step_up(spark, both_paths):
     assert sorted(r["feature"] for r in T.bh_fdr(d).where("reject").collect()) == [0, 1, 2]
 
 
+def test_rank_tests_of_values_that_differ_in_the_last_bit_if_computed_again(spark):
+    import random
+
+    swing = F.udf(lambda v: v * (1 + random.randrange(8) * 2.0**-51), "double").asNondeterministic()
+    rng = np.random.default_rng(3)
+    rows = [(f"S{i % 4}", float(v)) for i, v in enumerate(rng.normal(size=400))]
+    d = spark.createDataFrame(rows, "site string, value double")
+    want, got = T.kruskal_wallis(d).first(), T.kruskal_wallis(d.withColumn("value", swing("value"))).first()
+    assert got["n"] == 400 and got["h"] == pytest.approx(want["h"], abs=1e-9)
+    p = spark.createDataFrame([(i, 0.001 + i * 1e-5) for i in range(200)], "feature int, p double")
+    for _ in range(3):
+        assert T.bh_fdr(p.withColumn("p", swing("p"))).where("reject").count() == 200
+
+
 def test_gap_stats_flags_even_spacing(spark):
     d = spark.createDataFrame([("a", 0.0), ("a", 2.0), ("a", 2.0001), ("a", 4.0), ("b", 0.0), ("b", 1.0), ("b", 5.0)], "k string, v double")
     g = {r["k"]: r for r in Wn.gap_stats(d, "k", "v").collect()}
