@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions import expr as E
 from evenhand.operators.core import attach_stats, quantiles, same_keys
+from evenhand.session import cut_lineage
 
 AXES = ("z", "y", "x")
 
@@ -24,19 +25,32 @@ def _extents(cells: DataFrame, size: Sequence[int], stride: Sequence[int]) -> Da
     return g.where(F.col("lo_z").isNotNull())
 
 
+CHUNK, LOAD = 64, 1 << 19  # lattice starts along the last axis that one task takes together, mask cells of a task
+
+
 def lattice_blocks(cells: DataFrame, size: Sequence[int], stride: Sequence[int], least: int = 27) -> DataFrame:
     """Blocks of the lattice anchored at 0 that hold a mask cell: cell count, centre, kept or the first failed rule.
 
     A mask cell names the blocks that cover it, so blocks are counted by one aggregation; empty blocks need
     no row (see ``lattice_report``).
     """
-    ext = _extents(cells, size, stride)
+    cells = cut_lineage(cells.select("case", *AXES, "mask"))
+    return _blocks(cells, _extents(cells, size, stride), size, stride, least)
+
+
+def _blocks(cells: DataFrame, ext: DataFrame, size: Sequence[int], stride: Sequence[int], least: int) -> DataFrame:
+    """Cells move once, to the tasks of the stretches of the last axis they touch, and name their blocks only there."""
     d = cells.where("mask").select("case", *AXES)
-    for a, n, s in zip(AXES, size, stride):
-        lo = F.greatest(F.ceil((F.col(a) - (n - 1)) / s) * s, F.lit(0))
-        d = d.withColumn(f"s_{a}", F.explode(F.sequence(lo, F.floor(F.col(a) / s) * s, F.lit(s).cast("bigint"))))
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // LOAD))
+    starts = {a: (F.greatest(F.ceil((F.col(a) - (n - 1)) / s) * s, F.lit(0)), F.floor(F.col(a) / s) * s) for a, n, s in zip(AXES, size, stride)}
+    lo, hi = starts[AXES[-1]]
+    width = CHUNK * stride[-1]
+    d = d.withColumn("_chunk", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))).repartition(tasks, "case", "_chunk")
+    starts[AXES[-1]] = (F.greatest(lo, F.col("_chunk") * width), F.least(hi, F.col("_chunk") * width + (width - stride[-1])))
+    for a, s in zip(AXES, stride):
+        d = d.withColumn(f"s_{a}", F.explode(F.sequence(*starts[a], F.lit(s).cast("bigint"))))
     centre = E.all_of([F.col(a) == F.col(f"s_{a}") + n // 2 for a, n in zip(AXES, size)])
-    b = d.groupBy("case", *[f"s_{a}" for a in AXES]).agg(F.count(F.lit(1)).alias("n_mask"), F.max(centre).alias("centre_in"))
+    b = d.groupBy("case", "_chunk", *[f"s_{a}" for a in AXES]).agg(F.count(F.lit(1)).alias("n_mask"), F.max(centre).alias("centre_in"))
     b = same_keys(b, ext, ["case"])
     ok = E.all_of([(F.col(f"s_{a}") >= F.col(f"first_{a}")) & (F.col(f"s_{a}") <= F.col(f"last_{a}")) for a in AXES])
     return b.where(ok).select("case", *[F.col(f"s_{a}").alias(a) for a in AXES], "n_mask",
@@ -46,10 +60,11 @@ def lattice_blocks(cells: DataFrame, size: Sequence[int], stride: Sequence[int],
 
 def lattice_report(cells: DataFrame, size: Sequence[int], stride: Sequence[int], least: int = 27) -> DataFrame:
     """Per case: candidate blocks, kept ones and rejections by reason; a block without mask cells has its centre outside."""
-    ext = _extents(cells, size, stride).select("case", (F.col("n_z") * F.col("n_y") * F.col("n_x")).alias("n_candidates"))
-    b = lattice_blocks(cells, size, stride, least).groupBy("case").agg(
+    cells = cut_lineage(cells.select("case", *AXES, "mask"))
+    ext = _extents(cells, size, stride)
+    b = _blocks(cells, ext, size, stride, least).groupBy("case").agg(
         F.count_if(F.col("verdict") == "kept").alias("n_kept"), F.count_if(F.col("verdict") == "too few cells").alias("too_few_cells"))
-    j = same_keys(ext, b, ["case"], "left").fillna(0, ["n_kept", "too_few_cells"])
+    j = same_keys(ext.select("case", (F.col("n_z") * F.col("n_y") * F.col("n_x")).alias("n_candidates")), b, ["case"], "left").fillna(0, ["n_kept", "too_few_cells"])
     return j.withColumn("centre_outside", F.col("n_candidates") - F.col("n_kept") - F.col("too_few_cells"))
 
 

@@ -196,10 +196,10 @@ def lattice_audit(blocks: DataFrame, case: str, axes: Sequence[str], size: Seque
     on = E.all_of([F.col(a) % s == 0 for a, s in zip(axes, stride)])
     inside = E.all_of([(F.col(a) >= 0) & (F.col(a) + n <= F.col(f"dim_{a}")) for a, n in zip(axes, size)])
     centre = E.all_of([F.col(f"centre_{a}") == F.col(a) + n // 2 for a, n in zip(axes, size)])
-    g = j.groupBy(case).agg(F.bool_and(on).alias("on_lattice"), F.bool_and(inside).alias("in_bounds"), F.bool_and(centre).alias("centred"),
-                            F.bool_and(F.col("n_mask") >= least).alias("enough_cells"), F.count(F.lit(1)).alias("n"))
-    d = blocks.groupBy(case, *axes).agg(F.count(F.lit(1)).alias("c")).groupBy(case).agg((F.max("c") == 1).alias("no_duplicates"))
-    return same_keys(g, d, [case])
+    flags = {"on_lattice": on, "in_bounds": inside, "centred": centre, "enough_cells": F.col("n_mask") >= least}
+    # one pass: rows of one start first, then the starts of a case
+    g = j.groupBy(case, *axes).agg(F.count(F.lit(1)).alias("n"), *[F.bool_and(c).alias(k) for k, c in flags.items()])
+    return g.groupBy(case).agg(*[F.bool_and(k).alias(k) for k in flags], F.sum("n").alias("n"), (F.max("n") == 1).alias("no_duplicates"))
 
 
 def missing_starts(reference: DataFrame, blocks: DataFrame, case: str, axes: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from evenhand.operators import grid as G
 from evenhand.operators import quality as Q
 from evenhand.plans import frames as X
 from evenhand.plans.registry import query
-from evenhand.session import scratch_path
+from evenhand.session import cut_lineage, scratch_path
 from evenhand.sources.tables import assemble_manifest
 
 
@@ -246,14 +246,14 @@ def _(spark, sf):
 
 @query("lattice_audit", ctes=["grid"], sql=f"""WITH {BLOCKS} SELECT "case", true AS on_lattice, true AS in_bounds, true AS centred, bool_and(n_mask >= 9) AS enough_cells, count(*) AS n, true AS no_duplicates FROM bl WHERE n_mask > 0 GROUP BY 1""")
 def _(spark, sf):
-    g = X.grid(spark, sf)
+    g = cut_lineage(X.grid(spark, sf).select("case", *G.AXES, "mask"))
     dims = g.groupBy("case").agg(*[(F.max(a) + 1).alias(f"dim_{a}") for a in G.AXES])
     return Q.lattice_audit(G.lattice_blocks(g, SIZE, STRIDE, LEAST), "case", G.AXES, SIZE, STRIDE, dims, LEAST)
 
 
 @query("missing_starts", ctes=["grid"], sql=f"""WITH {BLOCKS} SELECT "case", z, y, x FROM bl WHERE n_mask > 0 AND verdict <> 'kept'""")
 def _(spark, sf):
-    b = G.lattice_blocks(X.grid(spark, sf), SIZE, STRIDE, LEAST)
+    b = cut_lineage(G.lattice_blocks(X.grid(spark, sf), SIZE, STRIDE, LEAST))
     return Q.missing_starts(b, b.where("verdict = 'kept'"), "case", G.AXES)
 
 
