@@ -85,3 +85,20 @@ def test_many_chunks_agree_with_few(spark, monkeypatch):
     first = {r["b"]: r["auc"] for r in weightings.vector_areas(weightings.replicate_counts(df, ["y"], "key", 260, 1).selectExpr("*", "2.0D AS w"), [], 260).collect()}
     few = {r["b"]: r["auc"] for r in weightings.vector_areas(weightings.replicate_counts(df, ["y"], "key", 3, 1).selectExpr("*", "1.0D AS w"), [], 3).collect()}
     assert len(first) == 260 and all(first[b] == pytest.approx(few[b]) for b in few)
+
+
+def test_a_block_is_dealt_in_two_bytes_a_count():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from evenhand.operators import weightings as V
+
+    n = V.BLOCK
+    group = pa.table({"key": pa.array(range(n)), "_j": pa.array(range(1, n + 1)), "_s": ["s"] * n, "_block": pa.array([0] * n, pa.int32()), "chunk": pa.array([0] * n, pa.int32())})
+    tracemalloc.start()
+    made = V._deal(V.WIDTH, 1, ["key"])(group, group.slice(0, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = V.unpack(made.column("counts"), V.WIDTH)
+    assert (counts.sum(axis=0) == n).all() and peak < 3 * n * V.WIDTH * 2
