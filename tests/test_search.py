@@ -304,3 +304,18 @@ def test_transport_against_numpy(spark, case):
             assert r["sens"] == pytest.approx((prob[yt == 1] >= 0.5).mean(), abs=0.05) and r["spec"] == pytest.approx((prob[yt == 0] >= 0.5).mean() * -1 + 1, abs=0.05), name
         assert got[slot["source"], slot["target"], "prior_known"]["prior"] == pytest.approx(yt.mean())
         assert got[slot["source"], slot["target"], "balanced_em"]["prior"] == pytest.approx(pi, abs=0.02)
+
+
+def test_features_are_ranked_only_where_a_setting_takes_the_best(case, monkeypatch):
+    _, plan = case
+    asked = []
+    ranks = S._ranks
+    monkeypatch.setattr(S, "_ranks", lambda *a: asked.append(1) or ranks(*a))
+    S.lasso_select(plan, 0.2)
+    S.site_leak(plan, "combat")
+    assert not asked
+    sizes = []
+    areas = S.vector_areas
+    monkeypatch.setattr(S, "vector_areas", lambda cells, *a, **k: sizes.append(cells.selectExpr("max(octet_length(counts)) AS n").first()["n"]) or areas(cells, *a, **k))
+    S.prepare(plan, kmax=4)
+    assert asked and sizes == [plan.contexts()]  # one byte a context, none for contexts that are not there
