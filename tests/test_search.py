@@ -319,3 +319,20 @@ def test_features_are_ranked_only_where_a_setting_takes_the_best(case, monkeypat
     monkeypatch.setattr(S, "vector_areas", lambda cells, *a, **k: sizes.append(cells.selectExpr("max(octet_length(counts)) AS n").first()["n"]) or areas(cells, *a, **k))
     S.prepare(plan, kmax=4)
     assert asked and sizes == [plan.contexts()]  # one byte a context, none for contexts that are not there
+
+
+def test_areas_of_packed_strips_are_those_of_the_rows(spark, case):
+    from evenhand.operators.metrics import site_balanced_auc, weighted_auc
+
+    rows, plan = case
+    grid = [{"candidate": 0, "kind": "logreg", "k": 0, "setting": 1.0}, {"candidate": 1, "kind": "logreg", "k": 0, "setting": 1.0, "target": "b|1"}]
+    made, shared = S.share(plan, grid, "combat")
+    rnd, ctxs = np.random.default_rng(0), [1, 5, 6]
+    beta = {(ctx, c): rnd.normal(size=len(made.full[ctx]) + 1) for ctx in ctxs for c in (0, 1)}
+    beta[6, 0] *= 0  # all scores are equal
+    d = S.scores(plan, shared, beta, grid, [(c, ("test",), [0, 1]) for c in ctxs])
+    want = {(r["ctx"], 0): r["sb_auc"] for r in site_balanced_auc(d.where("candidate = 0"), by=["ctx"]).collect()}
+    want |= {(r["ctx"], 1): r["auc"] for r in weighted_auc(d.where("candidate = 1").selectExpr("ctx", "score", "int(site = 'b|1') AS y"), by=["ctx"]).collect()}
+    for span in (S.SPAN, 9):
+        got = {(r["ctx"], r["candidate"]): r["auc"] for r in S.areas_of_tests(plan, made, shared, beta, grid, ctxs, span).collect()}
+        assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()} and got[6, 0] == pytest.approx(0.5)
