@@ -240,26 +240,38 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def sets_of(docs: DataFrame, bloom, k: int) -> DataFrame:
-    """(cls, n, bits, shingles) of the texts whose number the filter knows."""
+def sets_of(docs: DataFrame, bloom, k: int, whole: bool) -> DataFrame:
+    """(cls, n, bits) of the texts whose number the filter knows, and on request their shingles.
+
+    A task gives a class once. Tasks that hold equal rows, or a text that the filter takes for another, give it again, which
+    changes nothing for those who read it; so the sets stay where they are made.
+    """
+    kinds = {"cls": pa.int64(), "n": pa.int64(), "bits": pa.binary()} | ({"shingles": pa.binary()} if whole else {})
 
     def run(batches):
-        words = bloom.value
+        words, seen = bloom.value, set()
         for batch in batches:
             ids = mix(batch.column("_uid").to_numpy().view(U))
             known = (words[(ids >> U(6)).astype(np.int64) % len(words)] >> (ids & U(63))) & U(1) > 0
             batch = batch.filter(pa.array(known))
             for part in slices(batch, "_text"):
-                out = ([], [], [], [])
+                out = tuple([] for _ in kinds)
                 for own in shingle_sets(*flat_bytes(part.column("_text")), k):
-                    if len(own):
+                    cls = class_of(own) if len(own) else None
+                    if cls is None or cls in seen:
+                        continue
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(cls)
+                    row = (cls, len(own), bitmap(own).tobytes())
+                    if whole:
                         # Six bytes a shingle tell sets apart: two texts of 20,000 words confuse one pair in a million.
-                        short = np.unique(own >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                        for c, x in zip(out, (class_of(own), len(own), bitmap(own).tobytes(), short.tobytes())):
-                            c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["cls", "n", "bits", "shingles"])
+                        row += (np.unique(own >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),)
+                    for c, x in zip(out, row):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds.values())], names=list(kinds))
 
-    return docs.mapInArrow(run, "cls long, n long, bits binary, shingles binary")
+    return docs.mapInArrow(run, "cls long, n long, bits binary" + ", shingles binary" * whole)
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
@@ -445,14 +457,17 @@ def candidates(rows: DataFrame, parts: int, limit: int, mode: str) -> DataFrame:
             place = [pa.array([key[c]] * len(a), t) for c, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *place, pa.array(score, pa.float64())], names=["a", "b", "gid", "i", "j", "score"])
 
-        key, group = None, [[] for _ in names]
+        key, group, met = None, [[] for _ in names], set()
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("gid", "i", "j", "blocks")))
             for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in names))):
                 if k != key:
                     if group[0]:
                         yield close()
-                    key, group = k, [[] for _ in names]
+                    key, group, met = k, [[] for _ in names], set()
+                if row[1] in met:  # a class whose set came from several tasks
+                    continue
+                met.add(row[1])
                 for c, x in zip(group, row):
                     c.append(x)
         if group[0]:
@@ -504,12 +519,17 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
     late = np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64).view(U))  # FREQUENT numbers at most
     groups = cut_lineage(groups_of(postings(docs, spark.sparkContext.broadcast(late), parts, k, limit), parts))
     members = cut_lineage(possible(groups, table.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n")), parts, limit))
-    wanted = members.select("cls").distinct()
     of_class = table.where("cls is not null").groupBy("cls").agg(F.min("uid").alias("uid"))
-    needed = of_class.join(wanted.select(F.col("cls").alias("_c")), F.col("cls") == F.col("_c"), "left_semi")
-    bloom = spark.sparkContext.broadcast(bloom_of(needed.select("uid")))
-    sets = cut_lineage(sets_of(docs, bloom, k).dropDuplicates(["cls"]))
-    small = sets.select(F.col("cls").alias("_c"), "n", "bits")
+
+    def sets(classes: DataFrame, whole: bool = True) -> DataFrame:
+        """The sets of some classes, made again from their texts: a scan more, but only sets that are compared are ever stored or moved."""
+        needed = of_class.join(classes.toDF("_c").distinct(), F.col("cls") == F.col("_c"), "left_semi")
+        return cut_lineage(sets_of(docs, spark.sparkContext.broadcast(bloom_of(needed.select("uid"))), k, whole))
+
+    def ends(of: DataFrame) -> DataFrame:
+        return of.select(F.explode(F.array("a", "b")))
+
+    small = sets(members.select("cls"), whole=False).withColumnRenamed("cls", "_c")
 
     def rows(of: DataFrame) -> DataFrame:
         return of.join(small, F.col("cls") == F.col("_c")).drop("_c")
@@ -525,10 +545,11 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
     hubs = star.where("b is null").groupBy("gid").agg(F.max_by("a", F.struct("score", "a")).alias("hub"))
     large = largest.where("chunks > 1").join(hubs.select(F.col("gid").alias("_g"), "hub"), F.col("gid") == F.col("_g")).drop("_g")
     given = large.select("gid", "chunk", "chunks", F.col("hub").alias("cls")).distinct().withColumn("lead", F.lit(1))
-    more = centre(large.where("cls <> hub").select("gid", "chunk", "chunks", "cls").withColumn("lead", F.lit(0)).unionAll(given))
+    # Written first: groups of several blocks are few, and the bitmaps are then not moved to meet them.
+    more = centre(cut_lineage(large.where("cls <> hub").select("gid", "chunk", "chunks", "cls").withColumn("lead", F.lit(0)).unionAll(given)))
     pairs = star.where("b is not null").select("a", "b").unionAll(more.where("b is not null").select("a", "b"))
-    pairs = pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
-    edges = cut_lineage(verified(pairs.select("a", "b"), sets, parts, limit))
+    pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = cut_lineage(verified(pairs, sets(ends(pairs)), parts, limit))
     parts1 = cut_lineage(components(edges))
     # Round two: what is still apart within a group.
     known = members.join(parts1, F.col("cls") == F.col("node"), "left").select("gid", "chunk", "chunks", "cls", F.coalesce("component", "cls").alias("part"))
@@ -539,12 +560,14 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
     blocks = blocks.select("gid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.col("chunks").alias("blocks"),
                            F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "part", F.lit(0).alias("lead"))
     left = cut_lineage(candidates(rows(blocks), parts, limit, "pairs"))
-    rest = left.where("b is not null").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
-    rest = rest.join(pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    rest = left.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = cut_lineage(rest.join(pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"))
     dense = left.where("b is null").select(F.col("gid").alias("_g"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("a").alias("_m"))
     within = blocks.join(dense, (F.col("gid") == F.col("_g")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & (F.col("cls") == F.col("_m"))).drop("_g", "_i", "_j", "_m")
-    within = within.join(sets.withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c")).drop("_c")
-    more_edges = cut_lineage(verified(rest.select("a", "b"), sets, parts, limit).unionAll(candidates(within, parts, limit, "links").select("a", "b")))
+    within = cut_lineage(within)
+    some = sets(ends(rest).unionAll(dense.select("_m")))
+    within = within.join(some.withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c")).drop("_c")
+    more_edges = cut_lineage(verified(rest, some, parts, limit).unionAll(candidates(within, parts, limit, "links").select("a", "b")))
     return table, components(edges.unionAll(more_edges)).select(F.col("node").alias("cls"), "component")
 
 

@@ -193,3 +193,17 @@ def test_a_dense_group(spark, monkeypatch, dense):
     least = {p: min(i for i, q in enumerate(part) if q == p) for p in part}
     got = {r["doc_id"]: r["component_id"] for r in jaccard.with_components(frame(spark, rows)).collect()}
     assert got == {i: least[p] for i, p in enumerate(part)} and len(set(part)) > 1
+
+
+def test_only_sets_that_are_compared_are_stored(spark, monkeypatch):
+    """Documents that share half of their shingles meet in a group, but their bitmaps tell them apart; near copies are compared."""
+    common = [f"c{i}" for i in range(200)]
+    rows = [(i, " ".join(common + [f"{i}x{j}" for j in range(200)])) for i in range(1, 7)]
+    copy = [f"n{j}" for j in range(300)]
+    rows += [(11, " ".join(copy)), (12, " ".join([*copy[:150], "changed", *copy[151:]]))]
+    held, cut = [], jaccard.cut_lineage
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df: held.append(cut(df)) or held[-1])
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(5)  # equal rows in several tasks
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.with_components(df).collect()}
+    assert got == {i: i for i in range(1, 7)} | {11: 11, 12: 11}
+    assert [df.select("cls").distinct().count() for df in held if "shingles" in df.columns] == [2, 0]
