@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql import types as T
 
 from evenhand.functions import expr as E
 from evenhand.operators.core import same_keys
+from evenhand.session import cut_lineage, scratch_path
+from evenhand.sources import digest
+
+PIECE = 1 << 27  # bytes of a file that one task digests
 
 
 def read_table_csv(spark: SparkSession, path: str, strings: Sequence[str], numbers: Sequence[str]) -> DataFrame:
@@ -75,11 +80,38 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("id")).where(F.col("id") != "")
 
 
-def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 and size per file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, path: str, glob: str = "*", piece: int = PIECE) -> DataFrame:
+    """SHA-256 and size per file; no task holds or reads more than about ``piece`` bytes of a file, or one line of it.
+
+    The bytes are read as lines, which Spark splits, and stored in chunks. The digest of a file is a chain, so one round follows
+    another: a task takes the chunks of one piece and goes on from the state that the round before has left. Spark's readers
+    leave out empty files.
+    """
+    read = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    at = F.col("_metadata.file_path")
+    files = read.format("binaryFile").load(path).select(at.alias("at"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    if not digest.RESUMABLE:
+        whole = read.format("binaryFile").load(path)
+        return whole.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    packed = at.rlike(digest.PACKED)  # what Spark would unpack is read whole
+    lines = read.option("lineSep", "\n").text(path).where(~packed)
+    chunks = scratch_path(spark, "chunks")
+    start = F.col("_metadata.file_block_start")
+    digest.chunks(lines.select(F.xxhash64(at).alias("id"), start.alias("start"), F.col("value").cast("binary").alias("line"))).withColumn(
+        "piece", F.floor(F.col("start") / piece).cast("int")).write.partitionBy("piece").parquet(chunks)
+    chunks = spark.read.schema(f"{digest.CHUNK}, piece int").parquet(chunks)
+    sizes = chunks.groupBy("id").agg(F.sum("size").alias("total"), F.max("piece").alias("last"))
+    todo = files.where(~F.col("at").rlike(digest.PACKED)).withColumn("id", F.xxhash64("at"))
+    todo = cut_lineage(todo.join(sizes.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").drop("_i"))
+    state = todo.select("id", F.lit(None).cast("binary").alias("state"), F.lit(0).cast("long").alias("done"), "total", "bytes", F.coalesce("last", F.lit(0)).alias("last"))
+    ready = []
+    for k in range((todo.agg(F.max("last")).first()[0] or 0) + 1):
+        state = cut_lineage(digest.advance(state, chunks.where(F.col("piece") == k).drop("piece")))
+        ready.append(state.where(F.col("last") == k).select(F.col("id").alias("_i"), "sha256"))
+        state = state.where(F.col("last") > k).drop("sha256")
+    known = todo.join(reduce(DataFrame.unionAll, ready), F.col("id") == F.col("_i")).select("file", "bytes", "sha256")
+    whole = read.format("binaryFile").load(path).where(packed)
+    return known.unionAll(whole.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", by: Sequence[str] = ()) -> str:

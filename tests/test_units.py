@@ -519,3 +519,29 @@ def test_violated_expectations_fail_on_request(spark):
     assert J.paired_predictions(a, b, "key", "y", "score").where("NOT sound").count() == 1
     with pytest.raises(Exception, match="unsound pair: 2"):
         J.paired_predictions(a, b, "key", "y", "score", fail=True).collect()
+
+
+@pytest.mark.parametrize("piece", [1 << 27, 5000])
+def test_file_digests_in_pieces(spark, tmp_path, monkeypatch, piece):
+    import gzip
+    import hashlib
+
+    from evenhand.sources import digest, tables
+
+    rnd = np.random.default_rng(3)
+    noise = rnd.integers(0, 256, 40_000, dtype=np.uint8).tobytes()
+    bodies = {"noise.parquet": noise, "feed.parquet": b"\n", "feeds.parquet": b"a\r\n\n\n", "mark.parquet": b"\xef\xbb\xbf", "marked.parquet": b"\xef\xbb\xbfx\ny\n",
+              "bare.parquet": noise[:999] + b"\nz", "zeros.parquet": bytes(30_000), "deep/er/noise.parquet": noise[7:] + b"\n", "a.gz": gzip.compress(noise[:100]), "space in it.parquet": b"q"}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    rounds, step = [], digest.advance
+    monkeypatch.setattr(digest, "advance", lambda state, part: rounds.append(part.agg(F.sum("size")).first()[0]) or step(state, part))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = sorted(tuple(r) for r in tables.file_digests(spark, str(tmp_path), piece=piece).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((n.rpartition("/")[2], len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items())
+    assert len(rounds) == (1 if piece > 40_000 else 8)
+
