@@ -2,7 +2,8 @@
 
 Equal sets are one class. Two sets at or above the limit share one of their first n - ceil(t n) + 1 shingles in any common
 order; shingles come by fingerprint, except that the most frequent ones of all texts (a bounded list) come last. So linked
-classes meet in a group of a shared shingle. Within a group the members, by size, are the leaves of a tree whose nodes
+classes meet in a group of a shared shingle. What two classes share of their first shingles is counted over the small groups, which
+parts those that meet by chance. Within a group the members, by size, are the leaves of a tree whose nodes
 hold the OR of their members' token bitmaps, their size range and their least number of bits. Two nodes are
 compared no further if their sizes are too far apart, if their bitmaps leave too little overlap, or if all below them is
 one component already. What is left is verified on the whole sets.
@@ -35,6 +36,8 @@ FREQUENT = 1 << 18  # shingles that come last in the order, at most
 COUNTED = 1 << 22  # shingles a task counts at a time
 OFTEN = 4  # occurrences among those from which a shingle is reported
 BLOCK = 1024
+SMALL = 16  # members of a group whose pairs are counted one by one
+FAR = 1 << 40  # more shingles than any set has
 LEAF, FAN = 16, 8
 DENSE = 8  # pairs to verify for each member of a block beyond which the sets come to the block
 STARS = 4  # groups in which a class meets the centre before all others
@@ -178,49 +181,68 @@ def possible(groups: DataFrame, sizes: DataFrame, parts: int, limit: int) -> Dat
     """(gid, chunk, chunks, cls, size): the members of each group that may have a partner in it, and how many they are.
 
     Of two sets, all common shingles up to the end of the shorter lead are counted in both leads, so their overlap is at
-    most the number of leading shingles they share and what follows the longer lead. A class shares at most as
-    many as it has in all its groups. Groups of several chunks keep all members.
+    most the number of leading shingles they share and what follows the longer lead. What two classes share is counted pair by pair
+    over the groups of up to SMALL members; to that comes at most what the lesser of them has in all larger groups. A pair that passes
+    stays in the largest small group it shares. One that shares none must pass by its larger groups alone; of those, the groups of several
+    chunks keep all members.
     """
-    members = groups.select("gid", "chunk", "chunks", "shared", F.explode("members").alias("cls"))
-    shares = members.groupBy("cls").agg(F.sum("shared").alias("most")).join(sizes.select(F.col("cls").alias("_c"), "n"), F.col("cls") == F.col("_c")).select("_c", "most", "n")
-    rows = members.join(shares, F.col("cls") == F.col("_c")).select("gid", "chunk", "chunks", "cls", "most", "n")
-
-    def close(cls, most, n):
-        cls, most, n = np.array(cls), np.array(most), np.array(n)
+    wide = (F.col("chunks") > 1) | (F.size("members") > SMALL)
+    members = groups.select("gid", "chunk", "chunks", "shared", wide.alias("wide"), F.explode("members").alias("cls"))
+    shares = members.groupBy("cls").agg(F.sum("shared").alias("most"), F.sum(F.when(F.col("wide"), F.col("shared")).otherwise(0)).alias("big"))
+    shares = shares.join(sizes.select(F.col("cls").alias("_c"), "n"), F.col("cls") == F.col("_c")).select("_c", "most", "big", "n")
+    rows = members.join(shares, F.col("cls") == F.col("_c")).select("gid", "chunk", "chunks", "wide", "shared", "cls", "most", "big", "n")
+
+    def lacking(most, n):
+        """How many more leading shingles two sets must share than the lesser of their ``most``; beyond any number where sizes are too far apart."""
         after = -(-limit * n // 100) - 1
         least, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-        overlap = np.minimum(most[:, None], most[None, :]) + np.maximum(after[:, None], after[None, :])
-        ok = (100 * least >= limit * large) & ((100 + limit) * overlap >= limit * (n[:, None] + n[None, :]))
-        np.fill_diagonal(ok, False)
-        return cls[ok.any(axis=1)].tolist()
+        overlap = -(-limit * (n[:, None] + n[None, :]) // (100 + limit))
+        out = overlap - np.maximum(after[:, None], after[None, :]) - np.minimum(most[:, None], most[None, :])
+        return np.where(100 * least >= limit * large, out, FAR)
 
     def run(batches):
         def flush():
-            kept = group[0] if key[2] > 1 else close(*group)
-            for c, x in zip(out, (*key, None, len(kept))):
-                c += kept if x is None else [x] * len(kept)
+            gid, chunk, chunks, wide, shared = key
+            cls, most, big, n = (np.array(x) for x in group)
+            if not wide:
+                a, b = np.nonzero(np.triu((lacking(most, n) <= 0), 1))
+                kept, other, need = cls[a].tolist(), cls[b].tolist(), lacking(big, n)[a, b].tolist()
+            elif chunks == 1:
+                ok = lacking(big, n) <= 0
+                np.fill_diagonal(ok, False)
+                kept = cls[ok.any(axis=1)].tolist()
+                other = need = [None] * len(kept)
+            else:
+                kept = cls.tolist()
+                other = need = [None] * len(kept)
+            for c, x in zip(out, (gid, chunk, chunks, kept, len(kept) if wide else len(cls), other, shared, need)):
+                c += x if isinstance(x, list) else [x] * len(kept)
 
         def made():
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gid", "chunk", "chunks", "cls", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds.values())], names=list(kinds))
 
-        key, group, out = None, ([], [], []), ([], [], [], [], [])
+        kinds = {"gid": pa.int64(), "chunk": pa.int32(), "chunks": pa.int32(), "cls": pa.int64(), "size": pa.int32(), "other": pa.int64(), "shared": pa.int64(), "need": pa.int64()}
+        key, group, out = None, ([], [], [], []), tuple([] for _ in kinds)
         for batch in batches:
-            for gid, chunk, chunks, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (gid, chunk, chunks) != key:
+            for *own, cls, most, big, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != key:
                     if group[0]:
                         flush()
-                    key, group = (gid, chunk, chunks), ([], [], [])
-                for c, x in zip(group, row):
+                    key, group = own, ([], [], [], [])
+                for c, x in zip(group, (cls, most, big, n)):
                     c.append(x)
             if len(out[0]) > 100_000:
                 yield made()
-                out = ([], [], [], [], [])
+                out = tuple([] for _ in kinds)
         if group[0]:
             flush()
         yield made()
 
-    return rows.repartition(parts, "gid", "chunk").sortWithinPartitions("gid", "chunk").mapInArrow(run, "gid long, chunk int, chunks int, cls long, size int")
+    schema = "gid long, chunk int, chunks int, cls long, size int, other long, shared long, need long"
+    made = cut_lineage(rows.repartition(parts, "gid", "chunk").sortWithinPartitions("gid", "chunk").mapInArrow(run, schema))
+    pairs = made.where("other is not null").groupBy("cls", "other").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"), F.max(F.struct("size", "gid")).alias("top"))
+    near = pairs.where("shared >= need").select("top.gid", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), F.explode(F.array("cls", "other")).alias("cls"), "top.size").distinct()
+    return made.where("other is null").select(*near.columns).unionAll(near)
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:

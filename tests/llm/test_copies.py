@@ -207,3 +207,37 @@ def test_only_sets_that_are_compared_are_stored(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.with_components(df).collect()}
     assert got == {i: i for i in range(1, 7)} | {11: 11, 12: 11}
     assert [df.select("cls").distinct().count() for df in held if "shingles" in df.columns] == [2, 0]
+
+
+def expected_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    part = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if similar(sets[a], sets[b])])
+    return {i: min(j for (j, _), q in zip(rows, part) if q == p) for (i, _), p in zip(rows, part)}
+
+
+def test_chance_meetings_leave_no_members(spark, monkeypatch):
+    # Each two of 12 texts share a passage of their own: a text has 80% of its shingles in others, but a pair shares 7%.
+    passage = {(a, b): " ".join(f"p{a}_{b}_{k}" for k in range(20)) for a in range(12) for b in range(a)}
+    rows = [(i, " ".join(passage[max(i, j), min(i, j)] for j in range(12) if j != i)) for i in range(12)]
+    own = [f"w{k}" for k in range(220)]
+    rows += [(20, " ".join(own)), (21, " ".join([*own[:210], *"abcdefghij"]))]
+    left, possible = [], jaccard.possible
+    monkeypatch.setattr(jaccard, "possible", lambda *a: left.append(possible(*a)) or left[-1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.with_components(frame(spark, rows)).collect()}
+    assert got == expected_components(rows) and got[21] == 20
+    assert len({r["cls"] for r in left[0].collect()}) == 2
+
+
+@pytest.mark.parametrize("small", [1, 2, 4])
+def test_small_and_wide_groups_lose_no_link(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rng = np.random.default_rng(5)
+    rows = []
+    for family in range(12):  # near copies of 2 to 13 members, close to the limit, which also share passages with other families
+        base = [f"f{family}_{k}" for k in range(int(rng.integers(12, 120)))] + [f"all{k}" for k in range(9)]
+        for _ in range(family + 2):
+            words = [w if rng.random() > 0.025 else f"x{rng.integers(1 << 30)}" for w in base]
+            rows.append((len(rows), " ".join(words[: len(words) - int(rng.integers(0, 9))])))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.with_components(frame(spark, rows)).collect()}
+    want = expected_components(rows)
+    assert got == want and 12 < len(set(want.values())) < len(rows)
