@@ -105,6 +105,22 @@ def test_every_setting_of_the_grid_is_searched():
     assert learn.GRID == L.candidate_grid() and sum(g["kind"] == "gbt" for g in learn.GRID) == 6
 
 
+@pytest.mark.parametrize("name", ["inner_surface", "nested_cv", "fit_once_predict"])
+def test_registered_searches_take_the_whole_grid(spark, name, monkeypatch):
+    from evenhand.plans import catalog
+
+    class Asked(Exception):
+        pass
+
+    def asked(plan, grid, *a, **k):
+        raise Asked(list(grid))
+
+    monkeypatch.setattr(S, "search", asked)
+    with pytest.raises(Asked) as e:
+        catalog()[name].build(spark, "/root/testdata/sf0.001")
+    assert e.value.args[0] == L.candidate_grid()
+
+
 def test_nested_search_chooses_among_boosted_trees(spark, wide):
     plan = S.pooled_plan(wide, seeds=(1,), k=3, inner=2)
     found = S.search(plan, GRID)
