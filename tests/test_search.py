@@ -336,3 +336,26 @@ def test_areas_of_packed_strips_are_those_of_the_rows(spark, case):
     for span in (S.SPAN, 9):
         got = {(r["ctx"], r["candidate"]): r["auc"] for r in S.areas_of_tests(plan, made, shared, beta, grid, ctxs, span).collect()}
         assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()} and got[6, 0] == pytest.approx(0.5)
+
+
+def test_fits_of_many_rows_set_out_from_few_and_end_on_all(spark, monkeypatch):
+    n, rnd = 24_000, np.random.default_rng(6)
+    rows = [(i, "ab"[i % 2], int(x[0] + x[1] ** 2 + rnd.normal() > 1), [float(v) for v in x]) for i, x in enumerate(rnd.normal(size=(n, 3)))]
+    plan = S.pooled_plan(spark.createDataFrame(rows, "key int, site string, y int, features array<double>"), seeds=(1,), k=3, inner=2)
+    grid = [{"candidate": 0, "kind": "svm", "k": 3, "setting": 1.0}, {"candidate": 1, "kind": "ridge_all", "k": 0, "setting": 0.01}]
+    made, shared = S.share(plan, grid, "none")
+    scans, normal = [], S._normal
+    monkeypatch.setattr(S, "_normal", lambda *a: scans.append(a[2][0]["setting"]) or normal(*a))
+    cold = S.fit_all(plan, made, grid, shared, [0], start={})
+    before = len(scans)
+    monkeypatch.setattr(S, "FEW", 3000)
+    warm = S.fit_all(plan, made, grid, shared, [0])
+    after = scans[before:]
+    assert set(after) == {1.0, 8.0} and after[-1] == 1.0 and after.count(1.0) < 0.7 * before  # scans of few rows, and of all
+    got = {r["key"]: r["v"] for r in plan.rows.select("key", "v").collect()}
+    tr = [k for k in range(n) if got[k][0] >= 0]
+    site, y = np.array([made.sites[rows[k][1]] for k in tr]), np.array([rows[k][2] for k in tr])
+    designs = S.Designs(made, 0, made.z(0, np.array([rows[k][3] for k in tr]), site))
+    for c, (g, near) in enumerate(zip(grid, (2e-5, 1e-9))):
+        value = [g["setting"] * S._terms(g["kind"], designs.of(g["kind"], g["k"]) @ b[0, c], y, made.weight[0, site, y])[0].sum() + 0.5 * b[0, c][:-1] @ b[0, c][:-1] for b in (cold, warm)]
+        assert value[1] <= value[0] * (1 + near)
